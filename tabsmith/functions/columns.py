@@ -70,3 +70,22 @@ def explode_structs(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
     Keeps the report inside Spark (no collect) and costs one job.
     """
     return df.agg(F.array(*structs).alias("_rows")).select(F.explode("_rows").alias("_r")).select("_r.*")
+
+
+def melt(df: DataFrame, cols: Sequence[str], value=clean) -> DataFrame:
+    """Long (k int, v) form of ``cols``: one Expand per row, no shuffle.
+
+    Per-column statistics are then a ``groupBy("k")`` whose partial aggregate
+    has one buffer per column, which keeps the generated code small however
+    many columns there are (one aggregate per column and statistic does not).
+    """
+    cols = list(cols)
+    wide = df.select(*[value(c).alias(f"_{i}") for i, c in enumerate(cols)])
+    long = wide.unpivot([], [f"_{i}" for i in range(len(cols))], "k", "v")
+    return long.select(F.substring("k", 2, 12).cast("int").alias("k"), "v")
+
+
+def name_of(cols: Sequence[str], k: Column | str = "k") -> Column:
+    """Column name for an index column produced by :func:`melt`."""
+    idx = F.col(k) if isinstance(k, str) else k
+    return F.element_at(F.array(*[F.lit(c) for c in cols]), idx + 1)

@@ -8,22 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands
-from ..functions.columns import clean, explode_structs, numeric_columns
+from ..functions.columns import explode_structs, melt, name_of, numeric_columns
 from ..functions.stats import kurt_sample, skew_sample
 
 
 def skew_kurtosis(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Bias-adjusted skewness and excess kurtosis per column, one scan."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    structs = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            skew_sample(clean(c)).alias("skewness"),
-            kurt_sample(clean(c)).alias("kurtosis"),
-        )
-        for c in cols
-    ]
-    return explode_structs(df, structs)
+    v = F.col("v")
+    return (
+        melt(df, cols)
+        .groupBy("k")
+        .agg(skew_sample(v).alias("skewness"), kurt_sample(v).alias("kurtosis"))
+        .select(name_of(cols).alias("feature"), "skewness", "kurtosis")
+    )
 
 
 def distribution_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

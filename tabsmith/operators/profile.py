@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import clean, explode_structs, numeric_columns, q
+from ..functions.columns import clean, explode_structs, melt, name_of, numeric_columns, q
 from ..functions.stats import kurt_sample, skew_sample
 from .quantiles import quantiles
 
@@ -42,50 +42,38 @@ def missing_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     """Missing cells per column (NaN counts as missing), percent of rows."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(cols) if cols is not None else list(df.columns)
-    n = F.count(F.lit(1))
-    structs = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.sum(_missing(c, types[c]).cast("long")).alias("missing_count"),
-            F.try_divide(F.sum(_missing(c, types[c]).cast("double")) * 100.0, n).alias("missing_pct"),
-        )
-        for c in cols
-    ]
-    return explode_structs(df, structs).orderBy(F.desc("missing_count"), "column")
+    flags = melt(df, cols, value=lambda c: _missing(c, types[c]).cast("long"))
+    return (
+        flags.groupBy("k")
+        .agg(F.sum("v").alias("missing_count"), F.try_divide(F.sum("v") * 100.0, F.count(F.lit(1))).alias("missing_pct"))
+        .select(name_of(cols).alias("column"), "missing_count", "missing_pct")
+        .orderBy(F.desc("missing_count"), "column")
+    )
 
 
 def zero_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Exact zeros per numeric column."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    n = F.count(F.lit(1))
-    structs = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.count(F.when(clean(c) == 0, 1)).alias("zero_count"),
-            F.try_divide(F.count(F.when(clean(c) == 0, 1)) * 100.0, n).alias("zero_pct"),
-        )
-        for c in cols
-    ]
-    return explode_structs(df, structs).orderBy(F.desc("zero_count"), "column")
+    zero = F.count(F.when(F.col("v") == 0, 1))
+    return (
+        melt(df, cols)
+        .groupBy("k")
+        .agg(zero.alias("zero_count"), F.try_divide(zero * 100.0, F.count(F.lit(1))).alias("zero_pct"))
+        .select(name_of(cols).alias("column"), "zero_count", "zero_pct")
+        .orderBy(F.desc("zero_count"), "column")
+    )
 
 
 def value_ranges(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Min, max, mean, std (ddof 1), range; NULLs and NaNs ignored."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    structs = []
-    for c in cols:
-        v = clean(c)
-        structs.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.min(v).alias("min"),
-                F.max(v).alias("max"),
-                F.avg(v).alias("mean"),
-                F.stddev_samp(v).alias("std"),
-                (F.max(v) - F.min(v)).alias("range"),
-            )
-        )
-    return explode_structs(df, structs)
+    v = F.col("v")
+    return (
+        melt(df, cols)
+        .groupBy("k")
+        .agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"))
+        .select(name_of(cols).alias("column"), "min", "max", "mean", "std", (F.col("max") - F.col("min")).alias("range"))
+    )
 
 
 def skew_bands(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -153,26 +141,26 @@ def quality_check(df: DataFrame, cols: Sequence[str], multiplier: float = 1.5, e
 
 def feature_statistics(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
     """Mean, std (ddof 0), min, max, median, q25, q75, skew, kurtosis."""
+    cols = list(cols)
     qs = quantiles(df, cols, [0.5, 0.25, 0.75], exact=exact)
-    structs = []
-    for c in cols:
-        v = clean(c)
-        med, q25, q75 = qs[c]
-        structs.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.avg(v).alias("mean"),
-                F.stddev_pop(v).alias("std"),
-                F.min(v).alias("min"),
-                F.max(v).alias("max"),
-                F.lit(med).cast("double").alias("median"),
-                F.lit(q25).cast("double").alias("q25"),
-                F.lit(q75).cast("double").alias("q75"),
-                skew_sample(v).alias("skewness"),
-                kurt_sample(v).alias("kurtosis"),
-            )
+    v = F.col("v")
+    lookup = lambda j: F.element_at(F.array(*[F.lit(qs[c][j]).cast("double") for c in cols]), F.col("k") + 1)
+    return (
+        melt(df, cols)
+        .groupBy("k")
+        .agg(
+            F.avg(v).alias("mean"),
+            F.stddev_pop(v).alias("std"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
+            skew_sample(v).alias("skewness"),
+            kurt_sample(v).alias("kurtosis"),
         )
-    return explode_structs(df, structs)
+        .select(
+            name_of(cols).alias("column"), "mean", "std", "min", "max",
+            lookup(0).alias("median"), lookup(1).alias("q25"), lookup(2).alias("q75"), "skewness", "kurtosis",
+        )
+    )
 
 
 def data_summary(df: DataFrame, features: Sequence[str], target: str, exact: bool = True) -> DataFrame:

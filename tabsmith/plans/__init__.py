@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["profiling"]
+_MODULES = ["profiling", "preparation"]
 
 
 def load_all() -> None:
