@@ -77,7 +77,7 @@ def knn_average(
     cuts = d.agg(F.percentile_approx("d_p", [i / nb for i in range(1, nb)], 10000).alias("c")).first()["c"] if nb > 1 else []
     splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
     nbk = len(splits) - 1
-    d = Bucketizer(splits=splits, inputCol="d_p", outputCol="d_b").transform(d).withColumn("d_b", F.col("d_b").cast("int"))
+    d = _bucketize(d, splits, "d_p", "d_b")
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
 
     need = (
@@ -91,7 +91,7 @@ def knn_average(
         *[clean(c).alias(f"r_{i}") for i, c in enumerate(coords)],
         F.explode(need).alias("t"),
     ).filter(F.col("r_p").isNotNull())
-    r = Bucketizer(splits=splits, inputCol="r_p", outputCol="r_b").transform(r).withColumn("r_b", F.col("r_b").cast("int"))
+    r = _bucketize(r, splits, "r_p", "r_b")
 
     edges = F.array(*[F.lit(s) for s in splits])
     dist = _distance(coords, metric)
@@ -134,6 +134,13 @@ def knn_average(
     return out.select(q(key), F.element_at(names, F.col("t") + 1).alias("target"), "value", "n_neighbours")
 
 
+def _bucketize(df: DataFrame, splits: list[float], col: str, out: str) -> DataFrame:
+    """Binary-search bucket id (JVM ``Bucketizer``); a single bucket needs no search."""
+    if len(splits) < 3:
+        return df.withColumn(out, F.lit(0))
+    return Bucketizer(splits=splits, inputCol=col, outputCol=out).transform(df).withColumn(out, F.col(out).cast("int"))
+
+
 def full_or_empty(open_: DataFrame, radius: int, nbk: int) -> bool:
     """True while some open receiver still has buckets left to search."""
     return open_.filter((F.col("r_b") - radius > 0) | (F.col("r_b") + radius < nbk - 1)).limit(1).count() > 0

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["profiling", "preparation"]
+_MODULES = ["profiling", "preparation", "modelling"]
 
 
 def load_all() -> None:
