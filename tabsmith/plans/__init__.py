@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["profiling", "preparation", "modelling"]
+_MODULES = ["profiling", "preparation", "modelling", "scoring"]
 
 
 def load_all() -> None:
