@@ -170,6 +170,7 @@ def knn_fill(
     k: int = 5,
     pivot: str | None = None,
     fallback_mean: bool = True,
+    per_bucket: int = 256,
 ) -> DataFrame:
     """every missing cell of ``cols`` becomes the mean of its k nearest
     donors under the NaN-aware Euclidean distance over ``cols``.
@@ -186,7 +187,7 @@ def knn_fill(
         pivot = complete[0]
     missing_any = F.greatest(*[clean(c).isNull() for c in cols]) if len(cols) > 1 else clean(cols[0]).isNull()
     receivers = df.filter(missing_any)
-    got = knn_average(receivers, df, key, cols, cols, k=k, pivot=pivot)
+    got = knn_average(receivers, df, key, cols, cols, k=k, pivot=pivot, per_bucket=per_bucket)
     filled = got.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("target", "value"))).alias("_fill"))
     means = mean_fill(df, cols)[1] if fallback_mean else {}
     out = df.join(filled, key, "left")

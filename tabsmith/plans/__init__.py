@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["profiling", "preparation", "modelling", "scoring"]
+_MODULES = ["profiling", "preparation", "modelling", "scoring", "flagship"]
 
 
 def load_all() -> None:
