@@ -1,8 +1,9 @@
 """Exact k-nearest-neighbour averages without an all-pairs join.
 
 Distances are bounded below by the gap on one *pivot* coordinate that every
-row has (for the NaN-aware Euclidean distance the weight total/shared is
->= 1, so ``dist >= |a_p - b_p|`` still holds).  Donors are cut into
+row has: for the NaN-aware Euclidean distance ``dist >= sqrt(w) |a_p - b_p|``
+with ``w = total / (coordinates the receiver has)``, since the pair's weight
+total/shared is at least that.  Donors are cut into
 equal-frequency pivot buckets (``percentile_approx`` boundaries, applied by a
 binary-search ``Bucketizer``).  Each round joins the still-open receivers to
 the donors of the buckets within ``radius`` of their own (an equi-join on an
@@ -85,13 +86,17 @@ def knn_average(
         if fill_only_missing
         else F.array(*[F.lit(j) for j in range(len(targets))])
     )
+    # lower bound factor: the NaN-aware weight total/shared is at least total/(coords the receiver has)
+    present = sum((clean(c).isNotNull().cast("double") for c in coords), F.lit(0.0))
+    bound = F.sqrt(F.lit(float(len(coords))) / present) if metric == "nan_euclidean" else F.lit(1.0)
     r = receivers.select(
         q(key).alias("r_key"),
         clean(pivot).alias("r_p"),
+        bound.alias("r_w"),
         *[clean(c).alias(f"r_{i}") for i, c in enumerate(coords)],
         F.explode(need).alias("t"),
     ).filter(F.col("r_p").isNotNull())
-    r = _bucketize(r, splits, "r_p", "r_b")
+    r = _bucketize(r, splits, "r_p", "r_b").persist(StorageLevel.MEMORY_AND_DISK)
 
     edges = F.array(*[F.lit(s) for s in splits])
     dist = _distance(coords, metric)
@@ -102,19 +107,19 @@ def knn_average(
     while True:
         cand = open_.select("*", F.explode(F.sequence(F.greatest(F.col("r_b") - radius, F.lit(0)), F.least(F.col("r_b") + radius, F.lit(nbk - 1)))).alias("d_b"))
         pairs = cand.join(d, "d_b").filter(F.col("d_key") != F.col("r_key"))
-        pairs = pairs.select("r_key", "r_p", "r_b", "t", "d_key", dist.alias("dist"), tval.alias("tv")).filter(
+        pairs = pairs.select("r_key", "r_p", "r_b", "r_w", "t", "d_key", dist.alias("dist"), tval.alias("tv")).filter(
             F.col("dist").isNotNull() & F.col("tv").isNotNull()
         )
         w = Window.partitionBy("r_key", "t").orderBy("dist", "d_key")
         top = pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
-        agg = top.groupBy("r_key", "r_p", "r_b", "t").agg(
+        agg = top.groupBy("r_key", "r_p", "r_b", "r_w", "t").agg(
             F.avg("tv").alias("value"), F.count(F.lit(1)).alias("n_neighbours"), F.max("dist").alias("kth")
         )
         lo_i = F.col("r_b") - radius
         hi_i = F.col("r_b") + radius
         lo_edge = F.when(lo_i <= 0, F.lit(float("-inf"))).otherwise(F.element_at(edges, lo_i + 1))
         hi_edge = F.when(hi_i >= nbk - 1, F.lit(float("inf"))).otherwise(F.element_at(edges, hi_i + 2))
-        margin = F.least(F.col("r_p") - lo_edge, hi_edge - F.col("r_p"))
+        margin = F.least(F.col("r_p") - lo_edge, hi_edge - F.col("r_p")) * F.col("r_w")
         full = (lo_i <= 0) & (hi_i >= nbk - 1)
         # (receiver, target) pairs with no candidate at all keep searching via the anti join below
         agg = agg.withColumn("done", full | ((F.col("n_neighbours") == k) & (F.col("kth") < margin))).persist(StorageLevel.MEMORY_AND_DISK)
@@ -122,7 +127,7 @@ def knn_average(
         if radius >= nbk:
             break
         closed = agg.filter("done").select("r_key", "t")
-        nxt = open_.join(closed, ["r_key", "t"], "left_anti")
+        nxt = open_.join(closed, ["r_key", "t"], "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
         if not full_or_empty(nxt, radius, nbk):
             break
         open_ = nxt

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +101,8 @@ def _le(h: str, key: str, cut: tuple[int, object]) -> Column:
 
 def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, name: str = "split") -> DataFrame:
     """``name`` = 'test' for the first ceil(test_size * n) rows in hash order, else 'train'."""
-    d = df.withColumn("_h", keyed_hash(key, seed, "split"))
+    # count, cut search and the final projection all read the input: keep it (spills to disk)
+    d = df.withColumn("_h", keyed_hash(key, seed, "split")).persist(StorageLevel.MEMORY_AND_DISK)
     n = d.count()
     n_test = int(math.ceil(test_size * n))
     if n_test == 0:
@@ -115,7 +117,7 @@ def fold_sizes(n: int, k: int) -> list[int]:
 
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, name: str = "fold", purpose: str = "fold") -> DataFrame:
     """Contiguous chunks of the hash order; the first n % k folds get one extra row."""
-    d = df.withColumn("_h", keyed_hash(key, seed, purpose))
+    d = df.withColumn("_h", keyed_hash(key, seed, purpose)).persist(StorageLevel.MEMORY_AND_DISK)
     n = d.count()
     sizes = fold_sizes(n, k)
     ends = [sum(sizes[: f + 1]) - 1 for f in range(k - 1) if sizes[f] > 0]

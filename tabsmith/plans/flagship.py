@@ -22,6 +22,10 @@ FEATURES = ["o_totalprice", "q", "p", "n", "d", "t"]
 
 
 def prepare(df: DataFrame, key: str = "o_orderkey", checkpoint: bool = True) -> tuple[DataFrame, dict]:
+    if checkpoint:
+        # every fit below re-reads the features: materialise them once in the shared folder
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     filled, report = impute.handle_missing(df, key, target="p", predictor="o_totalprice", knn_reference=["o_totalprice", "p"])
     filled = filled.select(key, *[F.col(c).cast("double").alias(c) for c in FEATURES])
     if checkpoint:
@@ -49,7 +53,8 @@ def _register() -> None:
         """F10 alone: F1 then exact KNN over the still-missing columns plus reference columns, then B9."""
         from .catalog import rounded
 
-        out, _ = impute.handle_missing(tb.order_features(spark, sf_dir), "o_orderkey", "p", "o_totalprice", knn_reference=["o_totalprice", "p"])
+        ensure_checkpoint_dir(spark)
+        out, _ = impute.handle_missing(tb.order_features(spark, sf_dir).checkpoint(eager=True), "o_orderkey", "p", "o_totalprice", knn_reference=["o_totalprice", "p"])
         return rounded(out.select("o_orderkey", *[F.col(c).cast("double").alias(c) for c in FEATURES]))
 
     @register("flagship_prepare")
