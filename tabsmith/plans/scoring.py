@@ -309,3 +309,97 @@ def e6_high_pairs_wide(spark, sf_dir):
 
 
 del bands
+
+
+# ---------------------------------------------------------------- oracles for tables built on SQL-expressible inputs
+def _add_sql(name: str, sql: str) -> None:
+    from .catalog import REGISTRY
+
+    fn, _ = REGISTRY[name]
+    REGISTRY[name] = (fn, sql)
+
+
+def _late_oracles() -> None:
+    from . import modelling as md
+
+    uni = md._univariate_sql(md.FEATS)
+    _add_sql("m10_metric_normalisation", sql_rounded(
+        f"""SELECT *, CASE WHEN max(mean_r2) OVER () > min(mean_r2) OVER () THEN (mean_r2 - min(mean_r2) OVER ()) / (max(mean_r2) OVER () - min(mean_r2) OVER ()) ELSE 0.5 END AS mean_r2_norm,
+          1 - CASE WHEN max(mean_mae) OVER () > min(mean_mae) OVER () THEN (mean_mae - min(mean_mae) OVER ()) / (max(mean_mae) OVER () - min(mean_mae) OVER ()) ELSE 0.5 END AS mean_mae_norm,
+          1 - CASE WHEN max(mean_rmse) OVER () > min(mean_rmse) OVER () THEN (mean_rmse - min(mean_rmse) OVER ()) / (max(mean_rmse) OVER () - min(mean_rmse) OVER ()) ELSE 0.5 END AS mean_rmse_norm
+          FROM ({uni}) u""",
+        md.K9_COLS + ["mean_r2_norm", "mean_mae_norm", "mean_rmse_norm"], ["model"]))
+    _add_sql("m11_model_ranking", sql_rounded(
+        f"SELECT model, mean_r2, std_r2, min_r2, max_r2, max_r2 - min_r2 AS spread FROM ({uni}) u WHERE mean_r2 IS NOT NULL AND NOT isnan(mean_r2)",
+        ["mean_r2", "std_r2", "min_r2", "max_r2", "spread"], ["model"]))
+    from .profiling import _e1_wide_sql_raw
+
+    _add_sql("e6_high_pairs_wide", sql_rounded(
+        f"SELECT feature_a, feature_b, pos_a, pos_b, n, r FROM (SELECT *, (SELECT count(*) FROM {md.PLANTED} p)::BIGINT AS n FROM ({_e1_wide_sql_raw(md.FEATS + ['y'])}) c) x WHERE abs(r) > 0.3",
+        ["r"], ["feature_a", "feature_b", "pos_a", "pos_b", "n"]))
+    errs = f"""(SELECT abs(q - prediction) AS absolute_error, CASE WHEN q <> 0 THEN abs((q - prediction) / q) * 100 END AS relative_error_pct FROM {_PRED} p)"""
+    parts = []
+    for c in ["absolute_error", "relative_error_pct"]:
+        parts.append(f"""SELECT '{c}' AS "column", bin, lo + bin * (hi - lo) / 20 AS bin_start, lo + (bin + 1) * (hi - lo) / 20 AS bin_end, count(*)::BIGINT AS count
+          FROM (SELECT CASE WHEN hi > lo THEN least(floor(({c} - lo) / ((hi - lo) / 20)), 19) ELSE 0 END::INTEGER AS bin, lo, hi
+                FROM e, (SELECT min({c}) AS lo, max({c}) AS hi FROM e) r WHERE {c} IS NOT NULL) b GROUP BY bin, lo, hi""")
+    # one materialised copy: two evaluations of a parallel regression may differ in the last bit
+    _add_sql("m13_error_histogram", sql_rounded(f"WITH e AS MATERIALIZED {errs} " + "\nUNION ALL\n".join(parts), ["bin_start", "bin_end"],
+                                                ["column", "bin", "count"]))
+    feats = md.FEATS[:8]
+    aug = md._aug_sql(feats)
+    parts = []
+    for c in feats:
+        parts.append(f"""SELECT '{c}' AS feature, (SELECT count(*) FROM {md.PLANTED} o)::BIGINT AS n_original, count(*)::BIGINT AS n_augmented,
+          (SELECT avg({c}) FROM {md.PLANTED} o) AS mean_original, avg({c}) AS mean_augmented,
+          (SELECT stddev_samp({c}) FROM {md.PLANTED} o) AS std_original, stddev_samp({c}) AS std_augmented FROM a""")
+    _add_sql("m14_augmentation_comparison", sql_rounded(f"WITH a AS ({aug}) " + "\nUNION ALL\n".join(parts),
+                                                        ["mean_original", "mean_augmented", "std_original", "std_augmented"],
+                                                        ["feature", "n_original", "n_augmented"]))
+
+
+_late_oracles()
+
+
+# ---------------------------------------------------------------- checks B5, B7, B9 and strategy dispatch F7
+_OF_COLS = ["o_orderkey"] + tb.ORDER_FEATURE_COLS
+
+
+@register("b5_integrity", "SELECT count(*)::BIGINT AS rows, (" + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL OR isnan({c}::DOUBLE))" for c in _OF_COLS)
+          + f")::BIGINT AS missing FROM {OF} x")
+def b5_integrity(spark, sf_dir):
+    r = validate.integrity(tb.order_features(spark, sf_dir), "order_features")
+    return spark.createDataFrame([(r["rows"], r["missing"])], "rows long, missing long")
+
+
+@register("b7_range_check", "SELECT count(*) FILTER (WHERE c_acctbal < 0)::BIGINT AS negative_target FROM customer")
+def b7_range_check(spark, sf_dir):
+    cu = tb.table(spark, sf_dir, "customer")
+    r = validate.range_check(cu, ["c_acctbal"], target="c_acctbal")
+    return spark.createDataFrame([(r["negative_target"],)], "negative_target long")
+
+
+@register("b9_imputation_check", f"""SELECT count(*)::BIGINT AS rows_before, count(*)::BIGINT AS rows_after, true AS shape_ok,
+    ({' + '.join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in ['q', 'p', 'n', 'd', 't'])})::BIGINT AS missing_before, 0::BIGINT AS missing_after FROM {OF} x""")
+def b9_imputation_check(spark, sf_dir):
+    from ..operators import impute
+
+    of = tb.order_features(spark, sf_dir)
+    filled, _ = impute.mean_fill(of, ["q", "p", "n", "d", "t"])
+    r = impute.imputation_check(of, filled, ["q", "p", "n", "d", "t"])
+    return spark.createDataFrame([(r["rows_before"], r["rows_after"], r["shape_ok"], r["missing_before"], r["missing_after"])],
+                                 "rows_before long, rows_after long, shape_ok boolean, missing_before long, missing_after long")
+
+
+@register("f7_apply_strategy")
+def f7_apply_strategy(spark, sf_dir):
+    """F6 picks a strategy per column and F7 applies it; preconditions that fail fall back to mean with the reason."""
+    from ..operators import impute
+
+    of = tb.order_features(spark, sf_dir)
+    rows = []
+    for c in ["q", "d"]:
+        strat = impute.choose_strategy(of, c)
+        out, used = impute.apply_strategy(of, c, strat, key="o_orderkey")
+        rows.append((c, strat, used, out.filter(F.col(c).isNull()).count()))
+    return spark.createDataFrame(rows, "feature string, chosen string, applied string, missing_after long")
