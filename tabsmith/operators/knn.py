@@ -94,26 +94,32 @@ def knn_average(
         clean(pivot).alias("r_p"),
         bound.alias("r_w"),
         *[clean(c).alias(f"r_{i}") for i, c in enumerate(coords)],
-        F.explode(need).alias("t"),
-    ).filter(F.col("r_p").isNotNull())
+        need.alias("need"),
+    ).filter(F.col("r_p").isNotNull() & (F.size("need") > 0))
     r = _bucketize(r, splits, "r_p", "r_b").persist(StorageLevel.MEMORY_AND_DISK)
 
     edges = F.array(*[F.lit(s) for s in splits])
     dist = _distance(coords, metric)
-    tval = F.element_at(F.array(*[F.col(f"dt_{j}") for j in range(len(targets))]), F.col("t") + 1)
+    nt = len(targets)
+    # one distance and one sort per (receiver, donor) pair; per target a running count of
+    # donors that have it picks that target's k nearest from the same ordering
+    wanted = [F.array_contains("need", F.lit(j)) & F.col(f"dt_{j}").isNotNull() for j in range(nt)]
     results = []
     open_ = r
     radius = 1
     while True:
         cand = open_.select("*", F.explode(F.sequence(F.greatest(F.col("r_b") - radius, F.lit(0)), F.least(F.col("r_b") + radius, F.lit(nbk - 1)))).alias("d_b"))
         pairs = cand.join(d, "d_b").filter(F.col("d_key") != F.col("r_key"))
-        pairs = pairs.select("r_key", "r_p", "r_b", "r_w", "t", "d_key", dist.alias("dist"), tval.alias("tv")).filter(
-            F.col("dist").isNotNull() & F.col("tv").isNotNull()
-        )
-        w = Window.partitionBy("r_key", "t").orderBy("dist", "d_key")
-        top = pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
-        agg = top.groupBy("r_key", "r_p", "r_b", "r_w", "t").agg(
-            F.avg("tv").alias("value"), F.count(F.lit(1)).alias("n_neighbours"), F.max("dist").alias("kth")
+        pairs = pairs.select("r_key", "r_p", "r_b", "r_w", "need", "d_key", dist.alias("dist"),
+                             *[F.when(wanted[j], F.col(f"dt_{j}")).alias(f"v_{j}") for j in range(nt)]).filter(F.col("dist").isNotNull())
+        w = Window.partitionBy("r_key").orderBy("dist", "d_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = pairs.select("*", *[F.count(F.col(f"v_{j}")).over(w).alias(f"c_{j}") for j in range(nt)])
+        keep = [F.col(f"v_{j}").isNotNull() & (F.col(f"c_{j}") <= k) for j in range(nt)]
+        ranked = ranked.filter(F.greatest(*keep) if nt > 1 else keep[0])
+        agg = ranked.groupBy("r_key", "r_p", "r_b", "r_w", "need").agg(
+            *[F.avg(F.when(keep[j], F.col(f"v_{j}"))).alias(f"val_{j}") for j in range(nt)],
+            *[F.count(F.when(keep[j], 1)).alias(f"n_{j}") for j in range(nt)],
+            *[F.max(F.when(keep[j], F.col("dist"))).alias(f"kth_{j}") for j in range(nt)],
         )
         lo_i = F.col("r_b") - radius
         hi_i = F.col("r_b") + radius
@@ -121,13 +127,21 @@ def knn_average(
         hi_edge = F.when(hi_i >= nbk - 1, F.lit(float("inf"))).otherwise(F.element_at(edges, hi_i + 2))
         margin = F.least(F.col("r_p") - lo_edge, hi_edge - F.col("r_p")) * F.col("r_w")
         full = (lo_i <= 0) & (hi_i >= nbk - 1)
-        # (receiver, target) pairs with no candidate at all keep searching via the anti join below
-        agg = agg.withColumn("done", full | ((F.col("n_neighbours") == k) & (F.col("kth") < margin))).persist(StorageLevel.MEMORY_AND_DISK)
-        results.append(agg.filter("done").select(F.col("r_key").alias(key), "t", "value", "n_neighbours"))
+        ok = [~F.array_contains("need", F.lit(j)) | ((F.col(f"n_{j}") == k) & (F.col(f"kth_{j}") < margin)) for j in range(nt)]
+        done = full | (F.least(*ok) if nt > 1 else ok[0])
+        agg = agg.withColumn("done", done).persist(StorageLevel.MEMORY_AND_DISK)
+        closed = agg.filter("done")
+        results.append(
+            closed.select(F.col("r_key").alias(key), F.explode(F.arrays_zip(
+                F.array(*[F.lit(j) for j in range(nt)]).alias("t"),
+                F.array(*[F.col(f"val_{j}") for j in range(nt)]).alias("value"),
+                F.array(*[F.col(f"n_{j}") for j in range(nt)]).alias("n_neighbours"),
+                F.array(*[F.array_contains("need", F.lit(j)) for j in range(nt)]).alias("asked"),
+            )).alias("z")).filter("z.asked AND z.n_neighbours > 0").select(key, "z.t", "z.value", "z.n_neighbours")
+        )
         if radius >= nbk:
             break
-        closed = agg.filter("done").select("r_key", "t")
-        nxt = open_.join(closed, ["r_key", "t"], "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+        nxt = open_.join(closed.select("r_key"), "r_key", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
         if not full_or_empty(nxt, radius, nbk):
             break
         open_ = nxt
