@@ -6,7 +6,6 @@ scales with the input rather than plotting one point per row.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -198,5 +197,3 @@ def axis_range(df: DataFrame, x: str, y: str, pad: float = 0.05) -> DataFrame:
     return df.agg(lo.alias("lo"), hi.alias("hi")).select((F.col("lo") - pad * (F.col("hi") - F.col("lo"))).alias("axis_min"),
                                                         (F.col("hi") + pad * (F.col("hi") - F.col("lo"))).alias("axis_max"))
 
-
-del math

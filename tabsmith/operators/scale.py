@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean, melt, q
-from ..functions.stats import skew_sample
 from .base import ColumnEstimator, StateModel
 from .quantiles import quantiles
 
@@ -159,6 +156,3 @@ class LogModel(StateModel):
             *[F.log1p(clean(f.name) + F.lit(sh[f.name])).alias(f.name) if f.name in sh else q(f.name) for f in dataset.schema.fields]
         )
 
-
-def scaled_names(cols: Sequence[str]) -> list[str]:
-    return list(cols)

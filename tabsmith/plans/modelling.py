@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..operators import augment as aug
@@ -238,8 +236,7 @@ def k18_top_importances(spark, sf_dir):
 
 @register("j9_stability")
 def j9_stability(spark, sf_dir):
-    s = search_stability = models.stability(tb.planted(spark, sf_dir), "vec_id", TRIO, "y", linear.LINEAR_SUITE[0], runs=10)
-    del search_stability
+    s = models.stability(tb.planted(spark, sf_dir), "vec_id", TRIO, "y", linear.LINEAR_SUITE[0], runs=10)
     return spark.createDataFrame([(s["mean"], s["std"], s["min"], s["max"], s["cv"])], "mean double, std double, min double, max double, cv double")
 
 
@@ -306,11 +303,7 @@ def k11_final_fit(spark, sf_dir):
     return spark.createDataFrame(rows, "term string, value double")
 
 
-# J4-J7 on the events table: statistics along ts per user, general operators
-def _events_bits_sql() -> str:
-    return ""
-
-
+# J4-J7 on the events and embeddings tables: general operators with group and order columns
 @register("j5_selection_pressure", sql_rounded(
     """SELECT event_type, CASE WHEN count(*) <= 1 THEN 0 WHEN avg(value) = 0 THEN CASE WHEN max(value) > 0 THEN 'inf'::DOUBLE ELSE 0 END
        ELSE max(value) / avg(value) END AS selection_pressure FROM events GROUP BY event_type""", ["selection_pressure"], ["event_type"]))
@@ -372,5 +365,3 @@ def m4_rolling_mean(spark, sf_dir):
 def m5_step_change(spark, sf_dir):
     return rounded(search.step_changes(_events_ordered(spark, sf_dir), "value", "_o", by=["user_id"]).select("event_id", "step"))
 
-
-del math

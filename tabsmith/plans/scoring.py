@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from ..functions import bands
 from ..functions.columns import clean
 from ..operators import chartdata, correlate, moments, outliers, score, split, validate
 from ..operators.linear import LINEAR_SUITE, fit
@@ -90,7 +89,7 @@ def l7_grade_batch(spark, sf_dir):
 def l7_grade_stream(spark, sf_dir):
     """Orders arrive as a file stream; a stream-static join adds the per-order line counts,
     then the saved batch chain scores and grades each micro-batch."""
-    from ..streaming.scoring import run_to_table, score_stream
+    from ..streaming.scoring import run_to_table
 
     of = split.train_test_split(tb.order_features(spark, sf_dir), "o_orderkey").filter(F.col("q").isNotNull())
     model = fitted_pipeline(of.filter(F.col("split") == "train"))
@@ -100,7 +99,6 @@ def l7_grade_stream(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir.rstrip('/')}/orders*.parquet")
     joined = stream.select("o_orderkey").join(lines, "o_orderkey")
     scored = model.transform(joined).withColumn("grade", score.grade("prediction"))
-    del score_stream
     out = run_to_table(scored, f"l7_stream_{abs(hash(sf_dir)) % 10**8}")
     return out.groupBy("grade").agg(F.count(F.lit(1)).alias("n"))
 
@@ -308,8 +306,6 @@ def e6_high_pairs_wide(spark, sf_dir):
     return rounded(correlate.strong_pairs(corr, 0.3, top=None))
 
 
-del bands
-
 
 # ---------------------------------------------------------------- oracles for tables built on SQL-expressible inputs
 def _add_sql(name: str, sql: str) -> None:
