@@ -1,8 +1,10 @@
 """Data-quality profile.
 
-Every statistic of a profile stage is one expression in a single ``agg`` so a
-table is scanned once per stage; per-column results come back as a long table
-(``explode`` of an array of structs) and stay a DataFrame.
+A profile stage scans the table once.  Per-column statistics use the long
+form (``melt`` = one Expand, then ``groupBy`` on the column index), so the
+partial aggregate holds one buffer per column however wide the table is;
+table-level summaries are a single ``agg`` turned into rows by exploding an
+array of structs.  Results stay DataFrames.
 """
 
 from __future__ import annotations
