@@ -99,7 +99,9 @@ def l7_grade_stream(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir.rstrip('/')}/orders*.parquet")
     joined = stream.select("o_orderkey").join(lines, "o_orderkey")
     scored = model.transform(joined).withColumn("grade", score.grade("prediction"))
-    out = run_to_table(scored, f"l7_stream_{abs(hash(sf_dir)) % 10**8}")
+    import uuid
+
+    out = run_to_table(scored, f"l7_stream_{uuid.uuid4().hex[:12]}")
     return out.groupBy("grade").agg(F.count(F.lit(1)).alias("n"))
 
 
