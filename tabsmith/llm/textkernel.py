@@ -76,11 +76,12 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 class Words:
     """Words of the texts ``data[offs[i]:offs[i+1]]``: byte ranges, and the word range of each text."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, separators: np.ndarray = IS_SPACE):
         self.data = LOWER[data] if lower else data
         self.offs = offs
+        self.codes = _WORD_CODES if separators is IS_SPACE else np.where(separators, np.uint64(0), _CODES)
         n = len(data)
-        word = ~IS_SPACE[data]
+        word = ~separators[data]
         first = np.zeros(n + 1, bool)
         first[offs] = True
         before = np.empty(n, bool)
@@ -117,11 +118,24 @@ class Words:
             longest = int((self.ends[a:b] - s).max())
             p = powers(longest)
             np.minimum(rel, longest - 1, out=rel)
-            vals = _WORD_CODES[self.data[lo:hi]] * p[rel]
+            vals = self.codes[self.data[lo:hi]] * p[rel]
             out[a:b] = np.add.reduceat(vals, s - lo)
         out ^= (self.ends - self.starts).astype(np.uint64) * _GRAM
         return mix(out)
 
+    def prefixes(self, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
+        """64-bit hash of the first bytes of each word, for each of the lengths; shorter words give the whole word's."""
+        h = np.zeros(len(self.starts), np.uint64)
+        size = self.ends - self.starts
+        last = max(len(self.data) - 1, 0)
+        out = {}
+        for j in range(max(lengths)):
+            h *= _BASE
+            h += np.where(size > j, self.codes[self.data[np.minimum(self.starts + j, last)]], np.uint64(0)) if len(h) else np.uint64(0)
+            if j + 1 in lengths:
+                out[j + 1] = mix(h + np.uint64(j + 1))
+        return out
+
     def doc_of(self) -> np.ndarray:
         """Index of the text of each word."""
         return np.repeat(np.arange(len(self.offs) - 1, dtype=np.int32), self.counts())
