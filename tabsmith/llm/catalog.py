@@ -11,7 +11,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, tuple[QueryFn, str | None]] = {}
 
-_MODULES = ["jaccard_join", "toxicity", "substring_dedup"]
+_MODULES = ["url_filter", "jaccard_join", "toxicity", "substring_dedup", "host_quality"]
 
 
 def query(name: str, sql: str | None = None):
