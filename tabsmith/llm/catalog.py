@@ -11,7 +11,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, tuple[QueryFn, str | None]] = {}
 
-_MODULES = ["url_filter", "jaccard_join", "toxicity", "substring_dedup", "host_quality", "bpe"]
+_MODULES = ["url_filter", "jaccard_join", "toxicity", "substring_dedup", "pii", "host_quality", "bpe"]
 
 
 def query(name: str, sql: str | None = None):
