@@ -220,11 +220,11 @@ def redact_text(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
 def _find(model: Model, redact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = [spans_of(t, model) for t in texts]
+            texts = batch.column("text").to_pylist()
+            found = [spans_of(t or "", model) for t in texts]
             cols = [batch.column("row"), pa.array([[{"kind": KINDS[k], "start": a, "end": b, "base": s} for a, k, b, s in f] for f in found], _SPAN_ARROW)]
             if redact:
-                cols.append(pa.array([redact_text(t, f) for t, f in zip(texts, found)], pa.string()))
+                cols.append(pa.array([t and redact_text(t, f) for t, f in zip(texts, found)], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=["row", "spans", "redacted"][: len(cols)])
 
     return run

@@ -186,31 +186,39 @@ def _parse_slice(window: int):
     return run
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each text that no factor covers."""
-    for batch in batches:
-        texts, begins, sizes, refs = (batch.column(c).to_pylist() for c in ("text", "starts", "lengths", "refs"))
-        n_words, n_removed, kept, spans = [], [], [], []
-        for text, s, n, r in zip(texts, begins, sizes, refs):
-            words = (text or "").encode().split()
-            n_words.append(len(words))
-            if s is None:
-                n_removed.append(0)
-                kept.append(b" ".join(words).decode())
-                spans.append([])
-                continue
-            s, n, r = np.frombuffer(s, np.int32), np.frombuffer(n, np.int32), np.frombuffer(r, np.int64)
-            edge = np.zeros(len(words) + 1, np.int32)
-            np.add.at(edge, s, 1)
-            np.add.at(edge, s + n, -1)
-            free = np.cumsum(edge[:-1]) == 0
-            n_removed.append(len(words) - int(free.sum()))
-            kept.append(b" ".join(itertools.compress(words, free.tolist())).decode())
-            spans.append([{"start": a, "length": b, "ref": c} for a, b, c in zip(s.tolist(), n.tolist(), r.tolist())])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, _SPANS_ARROW)],
-            names=["row", "n_words", "n_removed", "kept", "spans"],
-        )
+def _kept(keep_whole: bool):
+    """The words of each text that no factor covers, or the text itself where none does and ``keep_whole`` is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _kept_batch(batch, keep_whole)
+
+    return run
+
+
+def _kept_batch(batch: pa.RecordBatch, keep_whole: bool) -> pa.RecordBatch:
+    texts, begins, sizes, refs = (batch.column(c).to_pylist() for c in ("text", "starts", "lengths", "refs"))
+    n_words, n_removed, kept, spans = [], [], [], []
+    for text, s, n, r in zip(texts, begins, sizes, refs):
+        words = (text or "").encode().split()
+        n_words.append(len(words))
+        if s is None:
+            n_removed.append(0)
+            kept.append(text if keep_whole else b" ".join(words).decode())
+            spans.append([])
+            continue
+        s, n, r = np.frombuffer(s, np.int32), np.frombuffer(n, np.int32), np.frombuffer(r, np.int64)
+        edge = np.zeros(len(words) + 1, np.int32)
+        np.add.at(edge, s, 1)
+        np.add.at(edge, s + n, -1)
+        free = np.cumsum(edge[:-1]) == 0
+        n_removed.append(len(words) - int(free.sum()))
+        kept.append(b" ".join(itertools.compress(words, free.tolist())).decode())
+        spans.append([{"start": a, "length": b, "ref": c} for a, b, c in zip(s.tolist(), n.tolist(), r.tolist())])
+    return pa.RecordBatch.from_arrays(
+        [batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, _SPANS_ARROW)],
+        names=["row", "n_words", "n_removed", "kept", "spans"],
+    )
 
 
 _SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref", pa.int64())]))
@@ -227,15 +235,18 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     return answered.groupBy("slice").applyInArrow(_parse_slice(window), _FACTORS).dropDuplicates(["id", "fp"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``row`` (all other input columns and the id, as a struct), n_words, n_removed, kept (text) and spans."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_whole: bool = False) -> DataFrame:
+    """``row`` (all other input columns and the id, as a struct), n_words, n_removed, kept (text) and spans.
+
+    With ``keep_whole`` a text without a repeat is left as it is, white space and null included.
+    """
     others = [quoted(c) for c in docs.columns if c.lower() != text_col.lower()]
     src = docs.select(F.struct(*others).alias("row"), quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).withColumn("fp", F.xxhash64("text"))
     found = factors(docs, id_col, text_col, window)
     joined = src.join(found.hint("shuffle_hash"), ["id", "fp"], "left")
     row = src.schema["row"].dataType
     schema = T.StructType([T.StructField("row", row), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("spans", T._parse_datatype_string(_SPANS))])
-    return joined.select("row", "text", "starts", "lengths", "refs").mapInArrow(_kept, schema)
+    return joined.select("row", "text", "starts", "lengths", "refs").mapInArrow(_kept(keep_whole), schema)
 
 
 @query("op4_substring_dedup", """
