@@ -68,6 +68,8 @@ def augment(
     t = st[target]
     t_inten = F.lit(TARGET_INTENSITY) * (1 + rnd * TARGET_GROWTH)
     tn = normal(seed, rnd, target, q(key)) * F.lit(t["std"]) * t_inten
+    if t["min"] is None:  # no target value, so no noisy rows
+        return orig
     t_lo = max(0.8 * t["min"], 0.1)
     t_hi = t["max"] + 0.05 * (t["max"] - t["min"])
     cols.append(F.least(F.greatest(F.col(target) + tn, F.lit(t_lo)), F.lit(t_hi)).alias(target))

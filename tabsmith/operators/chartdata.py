@@ -83,13 +83,13 @@ def quadratic_trend(df: DataFrame, x: str, y: str) -> dict | None:
 
 
 def series_summary(df: DataFrame, value: str, order: str, last: int = 10) -> DataFrame:
-    """M7: mean, std (ddof 1), max, min, range of a series, and the mean of its last ``last`` rows.
+    """M7: mean, std (ddof 0), max, min, range of a series, and the mean of its last ``last`` rows.
 
     The tail is a distributed top-k (``orderBy(desc).limit``), not a global window.
     """
     v = F.col(value)
     tail = df.orderBy(F.desc(order)).limit(last).agg(F.avg(value)).first()[0]
-    return df.agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.max(v).alias("max"), F.min(v).alias("min"),
+    return df.agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("max"), F.min(v).alias("min"),
                   (F.max(v) - F.min(v)).alias("range"), F.lit(tail).cast("double").alias("mean_last"))
 
 

@@ -41,8 +41,8 @@ def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def strong_pairs(corr: DataFrame, threshold: float = 0.5, top: int | None = 24) -> DataFrame:
-    """Pairs with abs(r) > threshold, strongest first; the top ``top`` kept for plotting."""
+def strong_pairs(corr: DataFrame, threshold: float = 0.5, top: int | None = None) -> DataFrame:
+    """Pairs with abs(r) > threshold, strongest first; a plot may ask for the ``top`` ones."""
     out = corr.filter(F.abs("r") > threshold).orderBy(F.desc(F.abs("r")), "pos_a", "pos_b")
     return out.limit(top) if top else out
 

@@ -175,16 +175,13 @@ def knn_fill(
     """every missing cell of ``cols`` becomes the mean of its k nearest
     donors under the NaN-aware Euclidean distance over ``cols``.
 
-    The pivot (a column present on every row) bounds the search; by default
-    the first complete column.  No usable donor -> column mean.
+    The pivot bounds the search; by default the column with the fewest gaps.
+    No usable donor -> column mean.
     """
     cols = list(cols)
     if pivot is None:
         counts = df.agg(*[F.count(F.when(clean(c).isNull(), 1)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-        complete = [c for i, c in enumerate(cols) if counts[f"m{i}"] == 0]
-        if not complete:
-            raise ValueError("knn_fill needs one column present on every row as pivot")
-        pivot = complete[0]
+        pivot = min(zip((counts[f"m{i}"] for i in range(len(cols))), range(len(cols)), cols))[2]
     missing_any = F.greatest(*[clean(c).isNull() for c in cols]) if len(cols) > 1 else clean(cols[0]).isNull()
     receivers = df.filter(missing_any)
     got = knn_average(receivers, df, key, cols, cols, k=k, pivot=pivot, per_bucket=per_bucket)
@@ -214,7 +211,7 @@ def apply_strategy(df: DataFrame, feature: str, strategy: str, key: str | None =
             if key is None:
                 raise ValueError("knn needs a key column")
             cols = numeric_columns(df, exclude=[key])
-            return knn_fill(df, key, cols, k=5), "knn"
+            return knn_fill(df, key, cols, k=max(1, min(5, df.count() - 1))), "knn"
         raise ValueError(f"unknown strategy {strategy}")
     except ValueError as e:
         return mean_fill(df, [feature])[0], f"mean (fallback: {e})"

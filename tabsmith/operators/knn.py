@@ -12,6 +12,9 @@ window, and closes the receiver when its k-th distance is strictly inside
 the pivot margin the searched buckets guarantee.  Open receivers double their
 radius.  The result is exact; each round costs receivers x (2r+1) x
 donors-per-bucket distance evaluations instead of receivers x donors.
+
+Donors without a pivot value lie in a bucket of their own that every receiver
+searches; a receiver without one has no bound and searches all buckets.
 """
 
 from __future__ import annotations
@@ -50,6 +53,7 @@ def knn_average(
     pivot: str | None = None,
     metric: str = "nan_euclidean",
     fill_only_missing: bool = True,
+    same_key: bool = False,
     per_bucket: int = 256,
     max_buckets: int = 10000,
 ) -> DataFrame:
@@ -57,7 +61,8 @@ def knn_average(
 
     ``fill_only_missing``: only targets NULL in the receiver are answered
     (imputation); otherwise every target (prediction).  Donors for a target
-    are the donor rows where it is present; the receiver itself is excluded.
+    are the donor rows where it is present; a donor with the receiver's key is
+    excluded unless ``same_key`` says that the two tables' keys are unrelated.
     Ties in distance go to the smaller donor key.  No donor -> no row.
     """
     coords = list(coords)
@@ -70,10 +75,10 @@ def knn_average(
         clean(pivot).alias("d_p"),
         *[clean(c).alias(f"d_{i}") for i, c in enumerate(coords)],
         *[clean(t).alias(f"dt_{j}") for j, t in enumerate(targets)],
-    ).filter(F.col("d_p").isNotNull())
+    )
     n_donors = d.count()
     if n_donors == 0:
-        return spark.createDataFrame([], f"{key} long, target string, value double, n_neighbours long")
+        return receivers.select(q(key), F.lit("").alias("target"), F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("n_neighbours")).limit(0)
     nb = max(1, min(max_buckets, n_donors // per_bucket))
     cuts = d.agg(F.percentile_approx("d_p", [i / nb for i in range(1, nb)], 10000).alias("c")).first()["c"] if nb > 1 else []
     splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
@@ -88,14 +93,14 @@ def knn_average(
     )
     # lower bound factor: the NaN-aware weight total/shared is at least total/(coords the receiver has)
     present = sum((clean(c).isNotNull().cast("double") for c in coords), F.lit(0.0))
-    bound = F.sqrt(F.lit(float(len(coords))) / present) if metric == "nan_euclidean" else F.lit(1.0)
+    bound = F.sqrt(F.lit(float(len(coords))) / F.greatest(present, F.lit(1.0))) if metric == "nan_euclidean" else F.lit(1.0)
     r = receivers.select(
         q(key).alias("r_key"),
         clean(pivot).alias("r_p"),
         bound.alias("r_w"),
         *[clean(c).alias(f"r_{i}") for i, c in enumerate(coords)],
         need.alias("need"),
-    ).filter(F.col("r_p").isNotNull() & (F.size("need") > 0))
+    ).filter(F.size("need") > 0)
     r = _bucketize(r, splits, "r_p", "r_b").persist(StorageLevel.MEMORY_AND_DISK)
 
     edges = F.array(*[F.lit(s) for s in splits])
@@ -108,8 +113,13 @@ def knn_average(
     open_ = r
     radius = 1
     while True:
-        cand = open_.select("*", F.explode(F.sequence(F.greatest(F.col("r_b") - radius, F.lit(0)), F.least(F.col("r_b") + radius, F.lit(nbk - 1)))).alias("d_b"))
-        pairs = cand.join(d, "d_b").filter(F.col("d_key") != F.col("r_key"))
+        bounded = F.sequence(F.greatest(F.col("r_b") - radius, F.lit(0)), F.least(F.col("r_b") + radius, F.lit(nbk - 1)))
+        every = F.sequence(F.lit(0), F.lit(nbk))
+        searched = F.when(F.col("r_p").isNull(), every).otherwise(F.concat(bounded, F.array(F.lit(nbk))))
+        cand = open_.select("*", F.explode(searched).alias("d_b"))
+        pairs = cand.join(d, "d_b")
+        if not same_key:
+            pairs = pairs.filter(F.col("d_key") != F.col("r_key"))
         pairs = pairs.select("r_key", "r_p", "r_b", "r_w", "need", "d_key", dist.alias("dist"),
                              *[F.when(wanted[j], F.col(f"dt_{j}")).alias(f"v_{j}") for j in range(nt)]).filter(F.col("dist").isNotNull())
         w = Window.partitionBy("r_key").orderBy("dist", "d_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -126,7 +136,7 @@ def knn_average(
         lo_edge = F.when(lo_i <= 0, F.lit(float("-inf"))).otherwise(F.element_at(edges, lo_i + 1))
         hi_edge = F.when(hi_i >= nbk - 1, F.lit(float("inf"))).otherwise(F.element_at(edges, hi_i + 2))
         margin = F.least(F.col("r_p") - lo_edge, hi_edge - F.col("r_p")) * F.col("r_w")
-        full = (lo_i <= 0) & (hi_i >= nbk - 1)
+        full = F.col("r_p").isNull() | ((lo_i <= 0) & (hi_i >= nbk - 1))
         ok = [~F.array_contains("need", F.lit(j)) | ((F.col(f"n_{j}") == k) & (F.col(f"kth_{j}") < margin)) for j in range(nt)]
         done = full | (F.least(*ok) if nt > 1 else ok[0])
         agg = agg.withColumn("done", done).persist(StorageLevel.MEMORY_AND_DISK)
@@ -154,12 +164,15 @@ def knn_average(
 
 
 def _bucketize(df: DataFrame, splits: list[float], col: str, out: str) -> DataFrame:
-    """Binary-search bucket id (JVM ``Bucketizer``); a single bucket needs no search."""
+    """Binary-search bucket id (JVM ``Bucketizer``); a single bucket needs no search, NULL goes behind the last one."""
+    none = len(splits) - 1
     if len(splits) < 3:
-        return df.withColumn(out, F.lit(0))
-    return Bucketizer(splits=splits, inputCol=col, outputCol=out).transform(df).withColumn(out, F.col(out).cast("int"))
+        return df.withColumn(out, F.when(F.col(col).isNull(), none).otherwise(0))
+    found = Bucketizer(splits=splits, inputCol=col, outputCol=out).transform(df)
+    return found.withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(none)))
 
 
 def full_or_empty(open_: DataFrame, radius: int, nbk: int) -> bool:
     """True while some open receiver still has buckets left to search."""
-    return open_.filter((F.col("r_b") - radius > 0) | (F.col("r_b") + radius < nbk - 1)).limit(1).count() > 0
+    left = (F.col("r_b") - radius > 0) | (F.col("r_b") + radius < nbk - 1)
+    return not open_.filter(F.col("r_p").isNotNull() & left).isEmpty()

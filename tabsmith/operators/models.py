@@ -146,7 +146,7 @@ def evaluate_model(spec: ModelSpec, df: DataFrame, key: str, features: Sequence[
         return s
     except Exception as e:  # noqa: BLE001 - recorded, as the reference does
         nan = float("nan")
-        return dict(model=spec.name, mean_r2=nan, std_r2=nan, min_r2=nan, max_r2=nan, mean_mae=nan, mean_rmse=nan, error=str(e)[:200])
+        return dict(model=spec.name, mean_r2=nan, std_r2=nan, min_r2=nan, max_r2=nan, mean_mae=nan, mean_rmse=nan, error=str(e))
 
 
 def linear_suite_cv(specs: Sequence[ModelSpec], df: DataFrame, features: Sequence[str], target: str, fold: str = "fold",

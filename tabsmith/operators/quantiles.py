@@ -87,8 +87,12 @@ def quantiles(
         entries = []
         for (i, lo, hi), k in ids.items():
             v = F.col(f"v{i}")
-            width = (hi - lo) / buckets
-            bucket = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+            # infinite ends get buckets of their own, the finite values between them are cut on the next round
+            if math.isinf(lo) or math.isinf(hi):
+                bucket = F.when(v == F.lit(-math.inf), -1).when(v == F.lit(math.inf), 1).otherwise(0).cast("int")
+            else:
+                width = hi / buckets - lo / buckets
+                bucket = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
             entries.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), F.struct(F.lit(k).alias("b"), bucket.alias("k"), v.alias("v"))))
         hist = (
             src.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
@@ -103,12 +107,14 @@ def quantiles(
             if s[3] <= final_max:
                 continue
             rows = sorted(by_bracket[ids[(t[0], s[0], s[1])]])
-            seen = s[2]
+            was, seen = tuple(s), s[2]
             for _k, c, mn, mx in rows:
                 if seen + c > t[1]:
                     s[:] = [mn, mx, seen, c]
                     break
                 seen += c
+            if tuple(s) == was and s[0] != s[1]:
+                raise ArithmeticError(f"quantile bracket {was[:2]} of column {cols[t[0]]!r} does not shrink")
         settle()
 
     if state:

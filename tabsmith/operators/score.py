@@ -51,9 +51,9 @@ def prepare(df: DataFrame, features: Sequence[str], scaler: Model | None = None,
 
 
 def prediction_summary(scored: DataFrame, pred: str = "prediction") -> DataFrame:
-    """L2: count, mean, std (ddof 1), min, max of the predictions."""
+    """L2: count, mean, std (ddof 0), min, max of the predictions."""
     p = clean(pred)
-    return scored.agg(F.count(p).alias("n"), F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"))
+    return scored.agg(F.count(p).alias("n"), F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"), F.min(p).alias("min"), F.max(p).alias("max"))
 
 
 def performance_metrics(scored: DataFrame, y: str, pred: str = "prediction", by: Sequence[str] = ()) -> DataFrame:

@@ -20,6 +20,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import linear
 from .sums import gram
@@ -66,106 +67,94 @@ def score_candidates(candidates: DataFrame, folds: dict, spec: linear.LinearSpec
             pdf[out] = [fitness(g, [i for i, b in enumerate(row) if b], spec) for row in pdf[bits]]
             yield pdf
 
-    schema = candidates.schema.add(out, "double")
+    schema = T.StructType([*candidates.schema.fields, T.StructField(out, T.DoubleType())])
     return candidates.mapInPandas(run, schema)
 
 
+def exactly(k: int, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Rows of ``bits`` with exactly k set bits: set bits come first, random keys decide among equals."""
+    first = np.argsort(-(bits + keys), axis=1, kind="stable")[:, :k]
+    out = np.zeros(bits.shape, dtype=bool)
+    np.put_along_axis(out, first, True, axis=1)
+    return out
+
+
 class GeneticSelector:
-    """Tournament selection, uniform crossover, swap mutation, repair, elitism, early stop."""
+    """Search for the best k columns with one boolean matrix (members x columns) per generation.
+
+    Each step treats the whole matrix: tournament winners by an argmax over drawn
+    member numbers, uniform crossover by a mask, a mutation that swaps one set and
+    one unset bit, and ``exactly`` to restore the count.  The scorer gets the
+    distinct new subsets of a generation and returns their fitness.
+    """
 
     def __init__(self, k: int = TARGET_FEATURES, population: int = POPULATION, generations: int = GENERATIONS,
                  mutation_rate: float = MUTATION_RATE, crossover_rate: float = CROSSOVER_RATE, elite: int = ELITE,
                  tournament: int = TOURNAMENT, seed: int = 42, spec: linear.LinearSpec = linear.LINEAR_SUITE[0]):
-        self.k, self.pop, self.gens = k, population, generations
-        self.mr, self.cr, self.elite, self.tour = mutation_rate, crossover_rate, elite, tournament
+        self.k, self.size, self.generations = k, population, generations
+        self.mutation_rate, self.crossover_rate = mutation_rate, crossover_rate
+        self.elite, self.tournament, self.spec = elite, tournament, spec
         self.rng = np.random.default_rng(seed)
-        self.spec = spec
         self.history: list[dict] = []
         self.population_log: list[tuple[int, int, list[bool], float]] = []
 
-    def _random(self, p: int) -> np.ndarray:
-        ind = np.zeros(p, dtype=bool)
-        ind[self.rng.choice(p, self.k, replace=False)] = True
-        return ind
-
-    def _repair(self, ind: np.ndarray) -> np.ndarray:
-        c = int(ind.sum())
-        if c < self.k:
-            off = np.where(~ind)[0]
-            ind[self.rng.choice(off, self.k - c, replace=False)] = True
-        elif c > self.k:
-            on = np.where(ind)[0]
-            ind[self.rng.choice(on, c - self.k, replace=False)] = False
-        return ind
-
-    def _crossover(self, a: np.ndarray, b: np.ndarray):
-        if self.rng.random() > self.cr:
-            return a.copy(), b.copy()
-        swap = self.rng.random(len(a)) < 0.5
-        c1, c2 = np.where(swap, b, a), np.where(swap, a, b)
-        return self._repair(c1), self._repair(c2)
-
-    def _mutate(self, ind: np.ndarray) -> np.ndarray:
-        if self.rng.random() > self.mr:
-            return ind
-        m = ind.copy()
-        on, off = np.where(m)[0], np.where(~m)[0]
-        if len(on) and len(off):
-            m[self.rng.choice(on)] = False
-            m[self.rng.choice(off)] = True
-        return m
-
-    def fit(self, folds: dict, n_features: int) -> GeneticSelector:
+    def _children(self, members: np.ndarray, fit: np.ndarray) -> np.ndarray:
+        """The next generation without its elite: selected, crossed, repaired and mutated."""
+        rng, n, p = self.rng, self.size - self.elite, members.shape[1]
+        pairs = (n + 1) // 2
+        drawn = np.argsort(rng.random((2 * pairs, len(members))), axis=1)[:, : self.tournament]
+        winners = members[drawn[np.arange(2 * pairs), fit[drawn].argmax(axis=1)]]
+        one, two = winners[:pairs], winners[pairs:]
+        mixed = (rng.random((pairs, p)) < 0.5) & (rng.random((pairs, 1)) < self.crossover_rate)
+        out = np.concatenate([np.where(mixed, two, one), np.where(mixed, one, two)])[:n]
+        out = exactly(self.k, out, rng.random(out.shape))
+        keys = rng.random(out.shape)
+        swapped = (rng.random(n) < self.mutation_rate) & (self.k < p)
+        rows = np.flatnonzero(swapped)
+        lost, gained = np.where(out, keys, -1).argmax(axis=1), np.where(out, -1, keys).argmax(axis=1)
+        out[rows, lost[rows]] = False
+        out[rows, gained[rows]] = True
+        return out
+
+    def search(self, score, n_features: int) -> GeneticSelector:
+        """``score``: function from a boolean matrix of different subsets to their fitness."""
         if n_features < self.k:
             raise ValueError(f"{n_features} features < target {self.k}")
-        memo: dict[tuple, float] = {}
-
-        def score(ind):
-            key = tuple(np.where(ind)[0])
-            if key not in memo:
-                memo[key] = fitness(folds, list(key), self.spec)
-            return memo[key]
-
-        popn = np.array([self._random(n_features) for _ in range(self.pop)])
-        best, best_fit = None, -np.inf
-        bests: list[float] = []
-        for g in range(self.gens):
-            fit = np.array([score(ind) for ind in popn])
-            i = int(np.argmax(fit))
-            if fit[i] > best_fit:
-                best_fit, best = float(fit[i]), popn[i].copy()
-            for j, ind in enumerate(popn):
-                self.population_log.append((g, j, ind.tolist(), float(fit[j])))
-            bests.append(float(fit.max()))
-            self.history.append({"generation": g, "mean_fitness": float(fit.mean()), "best_fitness": float(fit.max()),
+        known: dict[bytes, float] = {}
+        members = exactly(self.k, np.zeros((self.size, n_features), dtype=bool), self.rng.random((self.size, n_features)))
+        top: list[float] = []
+        self.best_fitness_ = -np.inf
+        for g in range(self.generations):
+            names = [row.tobytes() for row in members]
+            fresh = {name: i for i, name in enumerate(names) if name not in known}
+            if fresh:
+                known.update(zip(fresh, score(members[list(fresh.values())])))
+            fit = np.array([known[name] for name in names])
+            top.append(float(fit.max()))
+            if top[-1] > self.best_fitness_:
+                self.best_fitness_ = top[-1]
+                self.selected_ = np.flatnonzero(members[fit.argmax()]).tolist()
+            self.population_log += [(g, j, row.tolist(), float(f)) for j, (row, f) in enumerate(zip(members, fit))]
+            self.history.append({"generation": g, "mean_fitness": float(fit.mean()), "best_fitness": top[-1],
                                  "worst_fitness": float(fit.min()), "std_fitness": float(fit.std()),
-                                 "diversity": diversity_np(popn), "selection_pressure": pressure_np(fit)})
-            if len(bests) >= STOP_WINDOW and np.var(bests[-STOP_WINDOW:]) < STOP_VARIANCE:
-                break
-            if g == self.gens - 1:
+                                 "diversity": diversity_np(members), "selection_pressure": pressure_np(fit)})
+            if len(top) >= STOP_WINDOW and np.var(top[-STOP_WINDOW:]) < STOP_VARIANCE:
                 break
-            elite = popn[np.argsort(fit, kind="stable")[-self.elite:]]
-            chosen = []
-            for _ in range(self.pop - self.elite):
-                t = self.rng.choice(len(popn), self.tour, replace=False)
-                chosen.append(popn[t[int(np.argmax(fit[t]))]].copy())
-            new = [e.copy() for e in elite]
-            while len(new) < self.pop:
-                if len(new) < self.pop - 1:
-                    a = chosen[self.rng.integers(len(chosen))]
-                    b = chosen[self.rng.integers(len(chosen))]
-                    c1, c2 = self._crossover(a, b)
-                    new.append(self._mutate(c1))
-                    if len(new) < self.pop:
-                        new.append(self._mutate(c2))
-                else:
-                    new.append(self._mutate(chosen[self.rng.integers(len(chosen))].copy()))
-            popn = np.array(new)
-        self.best_ = best
-        self.best_fitness_ = best_fit
-        self.selected_ = [int(i) for i in np.where(best)[0]]
+            kept = members[np.argsort(fit, kind="stable")[-self.elite:]]
+            members = np.concatenate([kept, self._children(members, fit)])
         return self
 
+    def fit(self, folds: dict, n_features: int, spark=None) -> GeneticSelector:
+        """Search with the linear scorer on fold sums; with a session, a generation is scored on the executors."""
+        if spark is None:
+            return self.search(lambda m: [fitness(folds, np.flatnonzero(row).tolist(), self.spec) for row in m], n_features)
+
+        def score(m):
+            rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "i int, bits array<boolean>")
+            return [r["fitness"] for r in score_candidates(rows, folds, self.spec).orderBy("i").collect()]
+
+        return self.search(score, n_features)
+
     def history_df(self, spark) -> DataFrame:
         cols = ["generation", "mean_fitness", "best_fitness", "worst_fitness", "std_fitness", "diversity", "selection_pressure"]
         return spark.createDataFrame([tuple(h[c] for c in cols) for h in self.history],
@@ -230,21 +219,24 @@ def step_changes(df: DataFrame, value: str, order: str, by: Sequence[str] = ())
 
 
 def convergence_metrics(df: DataFrame, value: str, order: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean step over the last 10 % of rows, std (ddof 0) of the value over
-    the last 20 %, share of positive steps; per group, one window pass."""
+    """Mean of the steps between the last ``max(1, n // 10)`` values (0 when there is no step), std (ddof 0)
+    of the last ``max(1, n // 5)`` values, share of positive steps; zeros for groups of fewer than two rows."""
     w = Window.partitionBy(*by).orderBy(order)
     wall = Window.partitionBy(*by)
     x = (df.withColumn("_step", F.col(value) - F.lag(value).over(w))
          .withColumn("_rn", F.row_number().over(w))
          .withColumn("_n", F.count(F.lit(1)).over(wall)))
-    last10 = F.greatest(F.floor(F.col("_n") * 0.1), F.lit(1))
-    last20 = F.greatest(F.floor(F.col("_n") * 0.2), F.lit(1))
-    in10 = F.col("_rn") > F.col("_n") - last10
-    in20 = F.col("_rn") > F.col("_n") - last20
+    tenth = F.greatest(F.floor(F.col("_n") / 10), F.lit(1))
+    fifth = F.greatest(F.floor(F.col("_n") / 5), F.lit(1))
+    # a step needs both of its values among the last ones
+    recent = F.avg(F.when(F.col("_rn") > F.col("_n") - tenth + 1, F.col("_step")))
+    spread = F.stddev_pop(F.when(F.col("_rn") > F.col("_n") - fifth, F.col(value)))
+    share = F.try_divide(F.sum((F.col("_step") > 0).cast("double")), F.count("_step").cast("double"))
+    few = F.count(F.lit(1)) < 2
     return x.groupBy(*by).agg(
-        F.avg(F.when(in10 & F.col("_step").isNotNull(), F.col("_step"))).alias("recent_improvement"),
-        F.stddev_pop(F.when(in20, F.col(value))).alias("recent_std"),
-        F.try_divide(F.sum((F.col("_step") > 0).cast("double")), F.count("_step").cast("double")).alias("improvement_ratio"),
+        F.when(few, 0.0).otherwise(F.coalesce(recent, F.lit(0.0))).alias("recent_improvement"),
+        F.when(few, 0.0).otherwise(spread).alias("recent_std"),
+        F.when(few, 0.0).otherwise(F.coalesce(share, F.lit(0.0))).alias("improvement_ratio"),
     )
 
 

@@ -212,7 +212,7 @@ def b11_augmentation_check(spark, sf_dir):
 @register("j1_genetic_search")
 def j1_genetic_search(spark, sf_dir):
     g = search.fold_grams(planted_folds(spark, sf_dir), FEATS, "y")
-    sel = search.GeneticSelector(k=3, seed=42).fit(g, len(FEATS))
+    sel = search.GeneticSelector(k=3, seed=42).fit(g, len(FEATS), spark)
     rows = [(int(i), FEATS[i], r + 1, float(sel.best_fitness_)) for r, i in enumerate(sel.selected_)]
     return spark.createDataFrame(rows, "feature_index int, feature_name string, rank int, best_fitness double")
 
@@ -220,7 +220,7 @@ def j1_genetic_search(spark, sf_dir):
 @register("j8_generation_stats")
 def j8_generation_stats(spark, sf_dir):
     g = search.fold_grams(planted_folds(spark, sf_dir), FEATS, "y")
-    sel = search.GeneticSelector(k=3, seed=42, generations=30).fit(g, len(FEATS))
+    sel = search.GeneticSelector(k=3, seed=42).fit(g, len(FEATS), spark)
     return search.generation_stats(sel.population_df(spark))
 
 
@@ -336,9 +336,9 @@ def _events_ordered(spark, sf_dir):
 
 @register("j6_convergence", sql_rounded(f"""WITH x AS (SELECT user_id, value, value - lag(value) OVER w AS step,
       row_number() OVER w AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY {EV_ORDER}))
-    SELECT user_id, avg(step) FILTER (WHERE rn > n - greatest(floor(n * 0.1), 1) AND step IS NOT NULL) AS recent_improvement,
-      stddev_pop(value) FILTER (WHERE rn > n - greatest(floor(n * 0.2), 1)) AS recent_std,
-      sum((step > 0)::DOUBLE) / count(step) AS improvement_ratio FROM x GROUP BY user_id""",
+    SELECT user_id, CASE WHEN count(*) < 2 THEN 0 ELSE coalesce(avg(step) FILTER (WHERE rn > n - greatest(n // 10, 1) + 1), 0) END AS recent_improvement,
+      CASE WHEN count(*) < 2 THEN 0 ELSE stddev_pop(value) FILTER (WHERE rn > n - greatest(n // 5, 1)) END AS recent_std,
+      CASE WHEN count(*) < 2 THEN 0 ELSE coalesce(sum((step > 0)::DOUBLE) / count(step), 0) END AS improvement_ratio FROM x GROUP BY user_id""",
     ["recent_improvement", "recent_std", "improvement_ratio"], ["user_id"]))
 def j6_convergence(spark, sf_dir):
     return rounded(search.convergence_metrics(_events_ordered(spark, sf_dir), "value", "_o", by=["user_id"]))

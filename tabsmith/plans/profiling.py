@@ -266,7 +266,7 @@ def e1_correlation_wide(spark, sf_dir):
 
 
 E2_SQL = sql_rounded(
-    f"SELECT * FROM ({_pairs_sql(OF, OF_COLS)}) c WHERE abs(r) > 0.5 ORDER BY abs(r) DESC, pos_a, pos_b LIMIT 24",
+    f"SELECT * FROM ({_pairs_sql(OF, OF_COLS)}) c WHERE abs(r) > 0.5 ORDER BY abs(r) DESC, pos_a, pos_b",
     ["r"], ["feature_a", "feature_b", "pos_a", "pos_b", "n"])
 
 

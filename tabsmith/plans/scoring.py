@@ -47,7 +47,7 @@ _PRED = f"""(SELECT s.o_orderkey, s.q, a + b * s.n AS prediction FROM {SOF} s,
 
 
 @register("l2_prediction_summary", sql_rounded(
-    f"SELECT count(prediction)::BIGINT AS n, avg(prediction) AS mean, stddev_samp(prediction) AS std, min(prediction) AS min, max(prediction) AS max FROM {_PRED} p",
+    f"SELECT count(prediction)::BIGINT AS n, avg(prediction) AS mean, stddev_pop(prediction) AS std, min(prediction) AS min, max(prediction) AS max FROM {_PRED} p",
     ["mean", "std", "min", "max"], ["n"]))
 def l2_prediction_summary(spark, sf_dir):
     scored, _ = _scored(spark, sf_dir)
@@ -175,7 +175,7 @@ def m6_quadratic_trend(spark, sf_dir):
 
 
 @register("m7_series_summary", sql_rounded(
-    """SELECT avg(value) AS mean, stddev_samp(value) AS std, max(value) AS max, min(value) AS min, max(value) - min(value) AS range,
+    """SELECT avg(value) AS mean, stddev_pop(value) AS std, max(value) AS max, min(value) AS min, max(value) - min(value) AS range,
       (SELECT avg(value) FROM (SELECT value FROM events ORDER BY ts DESC, event_id DESC LIMIT 10)) AS mean_last FROM events""",
     ["mean", "std", "max", "min", "range", "mean_last"], []))
 def m7_series_summary(spark, sf_dir):
@@ -187,7 +187,7 @@ def _importance_and_selection(spark, sf_dir):
     from ..operators import models
     from .modelling import FEATS, TRIO
 
-    imp = models.feature_importance(tb.planted(spark, sf_dir), FEATS, "y", num_trees=50)
+    imp = models.feature_importance(tb.planted(spark, sf_dir), FEATS, "y", num_trees=100)
     sel = spark.createDataFrame([(f,) for f in TRIO], "feature_name string")
     return imp, sel
 
@@ -231,7 +231,13 @@ def m12_qq_points(spark, sf_dir):
 @register("m12_residual_bins")
 def m12_residual_bins(spark, sf_dir):
     scored, _ = _scored(spark, sf_dir)
-    return chartdata.binned_pairs(scored, "q", "prediction", 25)
+    return chartdata.binned_pairs(scored.withColumn("residual", F.col("q") - F.col("prediction")), "prediction", "residual", 25)
+
+
+@register("m12_residual_truth_bins")
+def m12_residual_truth_bins(spark, sf_dir):
+    scored, _ = _scored(spark, sf_dir)
+    return chartdata.binned_pairs(scored.withColumn("residual", F.col("q") - F.col("prediction")), "q", "residual", 25)
 
 
 @register("m13_error_histogram")

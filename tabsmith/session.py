@@ -28,12 +28,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (tests) make one."""
+    """Use the cluster's ``spark.checkpoint.dir``; where it is unset, a local session makes a folder and a cluster fails."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = conf or tempfile.mkdtemp(prefix="tabsmith-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

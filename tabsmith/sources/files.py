@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +53,10 @@ def read_feature_list(spark: SparkSession, path: str | None, all_columns: Sequen
         return fallback, "all"
     try:
         t = spark.read.option("header", True).csv(path)
-    except Exception:  # noqa: BLE001 - a missing list means "use all columns"
-        return fallback, "all"
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # a missing list means "use all columns"
+            return fallback, "all"
+        raise
     col = "feature_name" if "feature_name" in t.columns else "feature" if "feature" in t.columns else None
     if col is None:
         return fallback, "all"
