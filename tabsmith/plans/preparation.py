@@ -60,7 +60,8 @@ def g1_clip_summary(spark, sf_dir):
     return rounded(model.summary(df))
 
 
-def _g2_sql() -> str:
+def clipped_sql() -> str:
+    """Keys and clipped columns, not rounded."""
     sel, joins = [], []
     for i, c in enumerate(CLIP_COLS):
         s = f"s{i}"
@@ -68,11 +69,10 @@ def _g2_sql() -> str:
         x = f"(CASE WHEN {s}.skew_class = 'heavy_skew' THEN ln(1 + t.{c} + {s}.shift) ELSE t.{c} END)"
         clipped = f"least(greatest({x}, {s}.lower), {s}.upper)"
         sel.append(f"CASE WHEN {s}.skew_class = 'heavy_skew' THEN exp({clipped}) - 1 ELSE {clipped} END AS {c}")
-    body = f"SELECT t.o_orderkey, {', '.join(sel)} FROM {CLIP_SQL} t, {', '.join(joins)}"
-    return sql_rounded(body, CLIP_COLS, ["o_orderkey"])
+    return f"SELECT t.o_orderkey, {', '.join(sel)} FROM {CLIP_SQL} t, {', '.join(joins)}"
 
 
-@register("g2_clip_values", _g2_sql())
+@register("g2_clip_values", sql_rounded(clipped_sql(), CLIP_COLS, ["o_orderkey"]))
 def g2_clip_values(spark, sf_dir):
     df = clip_input(spark, sf_dir)
     model = outliers.SkewClipper(inputCols=CLIP_COLS).fit(df)

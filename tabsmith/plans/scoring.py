@@ -157,14 +157,33 @@ def m2_box_summary(spark, sf_dir):
     return rounded(chartdata.box_summary(tb.table(spark, sf_dir, "lineitem"), LI))
 
 
-@register("m3_skew_improvement")
+def _before_after(measure: str) -> str:
+    """feature, before, after: a measure with the column in place of ``{c}``, of the clip columns and their clipped values."""
+    from .preparation import CLIP_COLS, CLIP_SQL, clipped_sql
+
+    of = lambda src, c: f"(SELECT {measure.format(c=c)} FROM {src} z)"
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, {of(CLIP_SQL, c)} AS before, {of(f'({clipped_sql()})', c)} AS after" for c in CLIP_COLS)
+
+
+def _m3_sql() -> str:
+    def part(label: str, group: str) -> str:
+        return f"""SELECT {label} AS skew_class, count(*)::BIGINT AS n, count(*) FILTER (WHERE d > 0)::BIGINT AS improved,
+          count(*) FILTER (WHERE d < 0)::BIGINT AS worse, round(avg(d), 6) AS mean_improvement,
+          arg_max(feature, d) AS best_feature, arg_min(feature, d) AS worst_feature FROM i {group}"""
+
+    return f"""WITH i AS (SELECT feature, CASE WHEN abs(before) < 1 THEN 'light_skew' WHEN abs(before) < 2 THEN 'moderate_skew' ELSE 'heavy_skew' END AS c,
+        abs(before) - abs(after) AS d FROM ({_before_after('skewness({c})')}) z)
+      {part('c', 'GROUP BY c')} UNION ALL {part("'all'", '')}"""
+
+
+@register("m3_skew_improvement", _m3_sql())
 def m3_skew_improvement(spark, sf_dir):
     from .preparation import CLIP_COLS, clip_input
 
     df = clip_input(spark, sf_dir)
     clipped = outliers.SkewClipper(inputCols=CLIP_COLS).fit(df).transform(df)
     imp = chartdata.skew_improvement(moments.skew_kurtosis(df, CLIP_COLS), moments.skew_kurtosis(clipped, CLIP_COLS))
-    return chartdata.skew_improvement_summary(imp)
+    return rounded(chartdata.skew_improvement_summary(imp))
 
 
 @register("m6_quadratic_trend")
@@ -228,13 +247,20 @@ def m12_qq_points(spark, sf_dir):
     return rounded(chartdata.qq_points(res, "residual", 50))
 
 
-@register("m12_residual_bins")
+def _bins_sql(x: str, y: str, bins: int) -> str:
+    bin_ = lambda c: f"least(floor(({c} - lo) / w), {bins - 1})::INTEGER"
+    return f"""WITH p AS (SELECT q, prediction, q - prediction AS residual FROM {_PRED} z),
+      r AS (SELECT least(min({x}), min({y})) AS lo, (greatest(max({x}), max({y})) - least(min({x}), min({y}))) / {bins} AS w FROM p)
+      SELECT {bin_(x)} AS bx, {bin_(y)} AS "by", count(*)::BIGINT AS count FROM p, r GROUP BY ALL"""
+
+
+@register("m12_residual_bins", _bins_sql("prediction", "residual", 25))
 def m12_residual_bins(spark, sf_dir):
     scored, _ = _scored(spark, sf_dir)
     return chartdata.binned_pairs(scored.withColumn("residual", F.col("q") - F.col("prediction")), "prediction", "residual", 25)
 
 
-@register("m12_residual_truth_bins")
+@register("m12_residual_truth_bins", _bins_sql("q", "residual", 25))
 def m12_residual_truth_bins(spark, sf_dir):
     scored, _ = _scored(spark, sf_dir)
     return chartdata.binned_pairs(scored.withColumn("residual", F.col("q") - F.col("prediction")), "q", "residual", 25)
@@ -281,7 +307,16 @@ def b8_matrix_check(spark, sf_dir):
     return validate.matrix_check(tb.table(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice")
 
 
-@register("b10_clip_change_report")
+def _b10_sql() -> str:
+    change = lambda x: f"coalesce(abs({x}_after - {x}_before) * 100 / nullif(abs({x}_before), 0), 0) AS {x}_change_pct"
+    body = f"""SELECT * FROM (SELECT m.feature AS "column", m.before AS mean_before, m.after AS mean_after, {change('mean')},
+        s.before AS std_before, s.after AS std_after, {change('std')}
+      FROM ({_before_after('avg({c})')}) m JOIN ({_before_after('stddev_samp({c})')}) s ON m.feature = s.feature) x
+      WHERE mean_change_pct > 1 OR std_change_pct > 5"""
+    return sql_rounded(body, ["mean_before", "mean_after", "mean_change_pct", "std_before", "std_after", "std_change_pct"], ["column"])
+
+
+@register("b10_clip_change_report", _b10_sql())
 def b10_clip_change_report(spark, sf_dir):
     from .preparation import CLIP_COLS, clip_input
 
@@ -290,7 +325,7 @@ def b10_clip_change_report(spark, sf_dir):
     return rounded(validate.change_report(df, clipped, CLIP_COLS))
 
 
-@register("a4_write_read_splits")
+@register("a4_write_read_splits", f"SELECT split, count(*)::BIGINT AS n FROM {SOF} s GROUP BY split")
 def a4_write_read_splits(spark, sf_dir):
     """A4/A7/A1 round trip: split table written partitioned by split into the shared
     checkpoint folder and read back with partition pruning on split."""
