@@ -16,10 +16,12 @@ care; other columns pass through in ``row``.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, pairwise
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 
 from .automaton import Lexicon, compile_words
 from .catalog import query, table
-from .shared import quoted
+from .shared import most_frequent, quoted
 
 LEXICON_WORDS = 1 << 16
 #: Chunks that a worker remembers at a time.
@@ -166,15 +168,16 @@ class Encoder:
             out.extend((codec.special[part],) if part in codec.special else chain.from_iterable(map(self._piece, codec.pieces(part))))
         return tuple(out)
 
-    def encode(self, text: bytes) -> list[int]:
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a text as packed 32-bit integers."""
         chunks = text.split()
         memo = self.memo
         if len(memo) > MEMO_CHUNKS:
             memo.clear()
             self.seen.clear()
         for c in set(chunks).difference(memo):
-            memo[c] = self._chunk(c)
-        return list(chain.from_iterable(map(memo.__getitem__, chunks)))
+            memo[c] = array("i", self._chunk(c)).tobytes()
+        return b"".join(map(memo.__getitem__, chunks))
 
 
 def _count(codec: Codec):
@@ -204,19 +207,20 @@ def _count(codec: Codec):
 def build_lexicon(docs: DataFrame, codec: Codec, text_col: str = "text", limit: int = LEXICON_WORDS) -> bytes:
     """Automaton of the most frequent pieces of all texts."""
     counted = docs.select(quoted(text_col).alias("text")).mapInArrow(_count(codec), "piece string, n long")
-    top = counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(limit).collect()
+    top = most_frequent(counted.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1"), limit).collect()
     return compile_words({raw: codec.merge(raw) for r in top if 0 < len(raw := r["piece"].encode()) <= 64})
 
 
 def _encode(codec: Codec, lexicon: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(codec, lexicon)
+        gc.freeze()  # the merge table is no garbage: collections need not walk it
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for lo in range(0, len(texts), 1000):
-                part = [np.asarray(encoder.encode(t or b""), np.int32) for t in texts[lo : lo + 1000].to_pylist()]
-                offsets = np.concatenate(([0], np.cumsum([len(p) for p in part]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part)))
+                part = [encoder.encode(t or b"") for t in texts[lo : lo + 1000].to_pylist()]
+                offsets = np.cumsum([0] + [len(p) // 4 for p in part], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(part), np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, len(part)), ids], names=["row", "ids"])
 
     return run
@@ -235,7 +239,9 @@ def _decode(names: list[bytes]):
             ids = batch.column("ids")
             for lo in range(0, len(ids), 1000):
                 part = batch.slice(lo, 1000)
-                texts = [b" ".join(map(names.__getitem__, x or ())).decode() for x in part.column("ids").to_pylist()]
+                column = part.column("ids").fill_null([]) if part.column("ids").null_count else part.column("ids")
+                flat, ends = np.asarray(column.flatten()), np.cumsum(np.asarray(column.value_lengths()))
+                texts = [b" ".join(map(names.__getitem__, x.tolist())).decode() for x in np.split(flat, ends[:-1])]
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("ids"), pa.array(texts, pa.string())], names=["row", "ids", "decoded"])
 
     return run
