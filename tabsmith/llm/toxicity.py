@@ -38,7 +38,6 @@ OFFENDING = 0.5
 PREFIXES = (3, 4, 5, 6)
 ROUNDS = 200
 PENALTY = 1e-3
-EVIDENCE = 25.0
 
 _SEPARATORS = np.ones(256, bool)
 _SEPARATORS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -87,7 +86,8 @@ def _tell_apart(code: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     ratio = 2 * (pos * np.log(rate / share) + (total - pos) * np.log((1 - rate) / max(1 - share, 1e-12)))
     ratio[rate <= share] = 0
     best = np.argsort(-ratio, kind="stable")[: FEATURES // (len(PREFIXES) + 1)]
-    return np.sort(best[ratio[best] >= EVIDENCE])
+    # so much evidence that about one feature in all would show it by chance
+    return np.sort(best[ratio[best] >= 1.5 * np.log(max((total >= 3).sum(), 2))])
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
