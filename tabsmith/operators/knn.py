@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean, q
+from ..session import ensure_checkpoint_dir
 
 
 def _distance(coords: Sequence[str], metric: str) -> Column:
@@ -109,6 +110,8 @@ def knn_average(
     # one distance and one sort per (receiver, donor) pair; per target a running count of
     # donors that have it picks that target's k nearest from the same ordering
     wanted = [F.array_contains("need", F.lit(j)) & F.col(f"dt_{j}").isNotNull() for j in range(nt)]
+    ensure_checkpoint_dir(spark)
+    cached = [d, r]
     results = []
     open_ = r
     radius = 1
@@ -139,7 +142,7 @@ def knn_average(
         full = F.col("r_p").isNull() | ((lo_i <= 0) & (hi_i >= nbk - 1))
         ok = [~F.array_contains("need", F.lit(j)) | ((F.col(f"n_{j}") == k) & (F.col(f"kth_{j}") < margin)) for j in range(nt)]
         done = full | (F.least(*ok) if nt > 1 else ok[0])
-        agg = agg.withColumn("done", done).persist(StorageLevel.MEMORY_AND_DISK)
+        agg = agg.withColumn("done", done).checkpoint()  # the answers outlive the cached tables below
         closed = agg.filter("done")
         results.append(
             closed.select(F.col("r_key").alias(key), F.explode(F.arrays_zip(
@@ -152,10 +155,13 @@ def knn_average(
         if radius >= nbk:
             break
         nxt = open_.join(closed.select("r_key"), "r_key", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(nxt)
         if not full_or_empty(nxt, radius, nbk):
             break
         open_ = nxt
         radius *= 2
+    for table in cached:
+        table.unpersist()
     out = results[0]
     for x in results[1:]:
         out = out.unionByName(x)

@@ -194,13 +194,15 @@ def compare_models(specs: Sequence[ModelSpec], df: DataFrame, key: str, features
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     lin = [s for s in specs if s.kind == "linear"]
     rest = [s for s in specs if s.kind != "linear"]
-    rows = [evaluate_model(s, cached, key, features, target, fold, augment_factor, seed) for s in rest]
+    try:
+        rows = [evaluate_model(s, cached, key, features, target, fold, augment_factor, seed) for s in rest]
+        if lin:  # a row for each model
+            rows += [r.asDict() for r in linear_suite_cv(lin, cached, features, target, fold, augment_factor, seed, key).collect()]
+    finally:
+        cached.unpersist()
     cols = ["model", "mean_r2", "std_r2", "min_r2", "max_r2", "mean_mae", "mean_rmse", "error"]
     schema = "model string, mean_r2 double, std_r2 double, min_r2 double, max_r2 double, mean_mae double, mean_rmse double, error string"
-    out = df.sparkSession.createDataFrame([tuple(r[c] for c in cols) for r in rows], schema)
-    if lin:
-        out = out.unionByName(linear_suite_cv(lin, cached, features, target, fold, augment_factor, seed, key))
-    return out
+    return df.sparkSession.createDataFrame([tuple(r[c] for c in cols) for r in rows], schema)
 
 
 def leaderboard(results: DataFrame, r2: str = "mean_r2", mae: str = "mean_mae", cuts: Sequence[float] = bands.TRAIN_LEVELS) -> DataFrame:

@@ -12,7 +12,8 @@ split/fold column is then a narrow projection against literal cut points.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +29,7 @@ def keyed_hash(key_col: str, seed: int, purpose: str) -> Column:
     return hash32(seed, purpose, q(key_col))
 
 
-def rank_cuts(df: DataFrame, h: str, key: str, ranks: Sequence[int], final_max: int = 1_000_000) -> list[tuple[int, object]]:
+def rank_cuts(df: DataFrame, h: str, key: str, ranks: Sequence[int]) -> list[tuple[int, object]]:
     """(h, key) of the rows at the 0-based ``ranks`` in (h, key) order."""
     ranks = sorted(set(ranks))
     if not ranks:
@@ -40,7 +41,6 @@ def rank_cuts(df: DataFrame, h: str, key: str, ranks: Sequence[int], final_max:
         groups = sorted(set(todo.values()))
         if not groups:
             break
-        # a bracket that is already small goes straight to ranking
         cnt_cond = F.lit(False)
         for lo, hi, _ in groups:
             cnt_cond = cnt_cond | F.col(h).between(lo, hi)
@@ -65,7 +65,7 @@ def rank_cuts(df: DataFrame, h: str, key: str, ranks: Sequence[int], final_max:
         todo = {}
         small = {}
         for r, (blo, bhi, seen, c) in new.items():
-            if c <= final_max or shift == 0:
+            if shift == 0:  # rows of one hash value are ranked by key
                 small[r] = (blo, bhi, seen)
             else:
                 todo[r] = (blo, bhi, seen)
@@ -99,16 +99,25 @@ def _le(h: str, key: str, cut: tuple[int, object]) -> Column:
     return (F.col(h) < F.lit(cut[0])) | ((F.col(h) == F.lit(cut[0])) & (q(key) <= F.lit(cut[1])))
 
 
+@contextmanager
+def _hashed(df: DataFrame, key: str, seed: int, purpose: str) -> Iterator[DataFrame]:
+    """Hash and key of every row, kept (spilling to disk) while the cuts are searched."""
+    d = df.select(keyed_hash(key, seed, purpose).alias("_h"), q(key)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield d
+    finally:
+        d.unpersist()
+
+
 def train_test_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42, name: str = "split") -> DataFrame:
     """``name`` = 'test' for the first ceil(test_size * n) rows in hash order, else 'train'."""
-    # count, cut search and the final projection all read the input: keep it (spills to disk)
-    d = df.withColumn("_h", keyed_hash(key, seed, "split")).persist(StorageLevel.MEMORY_AND_DISK)
-    n = d.count()
-    n_test = int(math.ceil(test_size * n))
-    if n_test == 0:
-        return df.withColumn(name, F.lit("train"))
-    cut = rank_cuts(d, "_h", key, [n_test - 1])[0]
-    return d.withColumn(name, F.when(_le("_h", key, cut), F.lit("test")).otherwise(F.lit("train"))).drop("_h")
+    with _hashed(df, key, seed, "split") as d:
+        n_test = int(math.ceil(test_size * d.count()))
+        if n_test == 0:
+            return df.withColumn(name, F.lit("train"))
+        cut = rank_cuts(d, "_h", key, [n_test - 1])[0]
+    marked = df.withColumn("_h", keyed_hash(key, seed, "split"))
+    return marked.withColumn(name, F.when(_le("_h", key, cut), F.lit("test")).otherwise(F.lit("train"))).drop("_h")
 
 
 def fold_sizes(n: int, k: int) -> list[int]:
@@ -117,17 +126,16 @@ def fold_sizes(n: int, k: int) -> list[int]:
 
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, name: str = "fold", purpose: str = "fold") -> DataFrame:
     """Contiguous chunks of the hash order; the first n % k folds get one extra row."""
-    d = df.withColumn("_h", keyed_hash(key, seed, purpose)).persist(StorageLevel.MEMORY_AND_DISK)
-    n = d.count()
-    sizes = fold_sizes(n, k)
-    ends = [sum(sizes[: f + 1]) - 1 for f in range(k - 1) if sizes[f] > 0]
-    cuts = rank_cuts(d, "_h", key, ends)
+    with _hashed(df, key, seed, purpose) as d:
+        sizes = fold_sizes(d.count(), k)
+        ends = [sum(sizes[: f + 1]) - 1 for f in range(k - 1) if sizes[f] > 0]
+        cuts = rank_cuts(d, "_h", key, ends)
     expr = None
     for f, cut in enumerate(cuts):
         cond = _le("_h", key, cut)
         expr = F.when(cond, F.lit(f)) if expr is None else expr.when(cond, F.lit(f))
     fold = F.lit(k - 1) if expr is None else expr.otherwise(F.lit(len(cuts)))
-    return d.withColumn(name, fold.cast("int")).drop("_h")
+    return df.withColumn("_h", keyed_hash(key, seed, purpose)).withColumn(name, fold.cast("int")).drop("_h")
 
 
 def split_sql(key: str, seed: int, purpose: str) -> str:

@@ -24,10 +24,10 @@ def score_stream(spark: SparkSession, model: PipelineModel, source: str, schema:
 
 
 def run_to_table(scored: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Drain the available input into a memory table (trigger availableNow) and return it."""
+    """Drain the available input into Parquet files of the shared folder (trigger availableNow) and return that table."""
     spark = scored.sparkSession
     base = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-    q = (scored.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", base).trigger(availableNow=True).start())
+    q = (scored.writeStream.format("parquet").queryName(name).outputMode("append").option("path", f"{base}/rows")
+         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(scored.schema).parquet(f"{base}/rows")

@@ -19,5 +19,5 @@ def test_split_and_folds_exact_sizes_and_stable(spark):
 def test_rank_cuts_multi_level(spark):
     df = spark.range(0, 5000).withColumnRenamed("id", "key").withColumn("_h", split.keyed_hash("key", 1, "x"))
     rows = sorted((r["_h"], r["key"]) for r in df.collect())
-    cuts = split.rank_cuts(df, "_h", "key", [0, 1234, 4999], final_max=10)
+    cuts = split.rank_cuts(df, "_h", "key", [0, 1234, 4999])
     assert cuts == [rows[0], rows[1234], rows[4999]]
