@@ -224,6 +224,12 @@ def j8_generation_stats(spark, sf_dir):
     return search.generation_stats(sel.population_df(spark))
 
 
+def chosen(folds, k: int = 3) -> list[str]:
+    """Names of the k columns that the genetic search selects."""
+    found = search.GeneticSelector(k=k, seed=42).fit(search.fold_grams(folds, FEATS, "y"), len(FEATS))
+    return [FEATS[i] for i in found.selected_]
+
+
 @register("j3_feature_importance")
 def j3_feature_importance(spark, sf_dir):
     return models.feature_importance(tb.planted(spark, sf_dir), FEATS, "y", num_trees=100)
@@ -236,14 +242,15 @@ def k18_top_importances(spark, sf_dir):
 
 @register("j9_stability")
 def j9_stability(spark, sf_dir):
-    s = models.stability(tb.planted(spark, sf_dir), "vec_id", TRIO, "y", linear.LINEAR_SUITE[0], runs=10)
+    s = models.stability(tb.planted(spark, sf_dir), "vec_id", chosen(planted_folds(spark, sf_dir)), "y", linear.LINEAR_SUITE[0], runs=10)
     return spark.createDataFrame([(s["mean"], s["std"], s["min"], s["max"], s["cv"])], "mean double, std double, min double, max double, cv double")
 
 
 def _suite_query(kinds, augment_factor=0):
     def run(spark, sf_dir):
         specs = [s for s in models.SUITE if s.kind in kinds]
-        return models.compare_models(specs, planted_folds(spark, sf_dir), "vec_id", TRIO, "y", augment_factor=augment_factor)
+        folds = planted_folds(spark, sf_dir)
+        return models.compare_models(specs, folds, "vec_id", chosen(folds), "y", augment_factor=augment_factor)
 
     return run
 
@@ -264,8 +271,9 @@ def _linear_compare(spark, sf_dir):
     pf = planted_folds(spark, sf_dir)
     g = search.fold_grams(pf, FEATS, "y")
     rows = []
+    selected = search.GeneticSelector(k=3, seed=42).fit(g, len(FEATS)).selected_
     for spec in linear.LINEAR_SUITE:
-        for label, idx in (("baseline", list(range(1, len(FEATS) + 1))), ("selected", [FEATS.index(f) + 1 for f in TRIO])):
+        for label, idx in (("baseline", list(range(1, len(FEATS) + 1))), ("selected", [i + 1 for i in selected])):
             s = linear.summarise(linear.cv_scores(g, idx, spec))
             rows.append((spec.name, label, s["mean"], s["std"], s["min"], s["max"]))
     return spark.createDataFrame(rows, "model string, features string, mean_r2 double, std_r2 double, min_r2 double, max_r2 double")
@@ -291,14 +299,15 @@ def k16_selection_comparison(spark, sf_dir):
 def k11_final_fit(spark, sf_dir):
     """Final fit on all rows augmented (seed 42+999), then a second CV with other folds (seed 42+1000)."""
     p = tb.planted(spark, sf_dir)
-    full = aug.augment(p, "vec_id", TRIO, "y", factor=3, seed=42 + 999)
+    cols = chosen(planted_folds(spark, sf_dir))
+    full = aug.augment(p, "vec_id", cols, "y", factor=3, seed=42 + 999)
     from ..operators.sums import gram
 
-    g, c = gram(full, TRIO + ["y"])
-    w, b = linear.fit(g[0], [1, 2, 3], linear.LINEAR_SUITE[0])
+    g, c = gram(full, cols + ["y"])
+    w, b = linear.fit(g[0], list(range(1, len(cols) + 1)), linear.LINEAR_SUITE[0])
     folds2 = split.kfold(p, "vec_id", 5, 42 + 1000)
-    res = models.evaluate_model(models.SUITE[3], folds2, "vec_id", TRIO, "y", augment_factor=3, seed=42 + 999)
-    rows = [(TRIO[i], float(w[i])) for i in range(3)] + [("intercept", float(c[-1] + b - sum(w[i] * c[i] for i in range(3)))),
+    res = models.evaluate_model(models.SUITE[3], folds2, "vec_id", cols, "y", augment_factor=3, seed=42 + 999)
+    rows = [(f, float(w[i])) for i, f in enumerate(cols)] + [("intercept", float(c[-1] + b - sum(w[i] * c[i] for i in range(len(cols))))),
                                                          ("final_cv_r2", float(res["mean_r2"]))]
     return spark.createDataFrame(rows, "term string, value double")
 
