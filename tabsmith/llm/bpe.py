@@ -35,11 +35,11 @@ from pyspark.sql import types as T
 
 from .automaton import Lexicon, compile_words
 from .catalog import query, table
-from .shared import most_frequent, quoted
+from .shared import bound_batches, most_frequent, quoted
 
 LEXICON_WORDS = 1 << 16
 #: Chunks that a worker remembers at a time.
-MEMO_CHUNKS = 1 << 19
+MEMO_CHUNKS = 1 << 17
 #: Pieces of up to so many symbols are merged by a scan, longer ones with a heap.
 SHORT = 48
 _NEVER = 1 << 60
@@ -206,12 +206,18 @@ def _count(codec: Codec):
 
 def build_lexicon(docs: DataFrame, codec: Codec, text_col: str = "text", limit: int = LEXICON_WORDS) -> bytes:
     """Automaton of the most frequent pieces of all texts."""
+    bound_batches(docs)
     counted = docs.select(quoted(text_col).alias("text")).mapInArrow(_count(codec), "piece string, n long")
     top = most_frequent(counted.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1"), limit).collect()
     return compile_words({raw: codec.merge(raw) for r in top if 0 < len(raw := r["piece"].encode()) <= 64})
 
 
-def _encode(codec: Codec, lexicon: bytes):
+def _decoded(names: list[bytes], ids: pa.ListArray) -> pa.Array:
+    flat, ends = np.asarray(ids.flatten()), np.cumsum(np.asarray(ids.value_lengths()))
+    return pa.array([b" ".join(map(names.__getitem__, x.tolist())).decode() for x in np.split(flat, ends[:-1])], pa.string())
+
+
+def _encode(codec: Codec, lexicon: bytes, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(codec, lexicon)
         gc.freeze()  # the merge table is no garbage: collections need not walk it
@@ -221,16 +227,22 @@ def _encode(codec: Codec, lexicon: bytes):
                 part = [encoder.encode(t or b"") for t in texts[lo : lo + 1000].to_pylist()]
                 offsets = np.cumsum([0] + [len(p) // 4 for p in part], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(part), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, len(part)), ids], names=["row", "ids"])
+                cols = [batch.column("row").slice(lo, len(part)), ids]
+                if decoded:
+                    cols.append(_decoded(codec.names, ids))
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "ids", "decoded"][: len(cols)])
 
     return run
 
 
-def encode(docs: DataFrame, codec: Codec, lexicon: bytes, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``row`` (the carried columns, by default all, as a struct) and ``ids``."""
+def encode(docs: DataFrame, codec: Codec, lexicon: bytes, text_col: str = "text", carry: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """``row`` (the carried columns, by default all, as a struct), ``ids`` and, on request, the ids ``decoded`` by the same worker."""
+    bound_batches(docs)
     src = docs.select(F.struct(*[quoted(c) for c in carry or docs.columns]).alias("row"), quoted(text_col).alias("text"))
     schema = T.StructType([T.StructField("row", src.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return src.mapInArrow(_encode(codec, lexicon), schema)
+    if decoded:
+        schema = schema.add("decoded", "string")
+    return src.mapInArrow(_encode(codec, lexicon, decoded), schema)
 
 
 def _decode(names: list[bytes]):
@@ -239,10 +251,7 @@ def _decode(names: list[bytes]):
             ids = batch.column("ids")
             for lo in range(0, len(ids), 1000):
                 part = batch.slice(lo, 1000)
-                column = part.column("ids").fill_null([]) if part.column("ids").null_count else part.column("ids")
-                flat, ends = np.asarray(column.flatten()), np.cumsum(np.asarray(column.value_lengths()))
-                texts = [b" ".join(map(names.__getitem__, x.tolist())).decode() for x in np.split(flat, ends[:-1])]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("ids"), pa.array(texts, pa.string())], names=["row", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("ids"), _decoded(names, part.column("ids"))], names=["row", "ids", "decoded"])
 
     return run
 
@@ -262,6 +271,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op10_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     codec = Codec.read(tokenizer_path())
-    out = decode(encode(docs, codec, build_lexicon(docs, codec), carry=["doc_id"]), codec)
+    out = encode(docs, codec, build_lexicon(docs, codec), carry=["doc_id"], decoded=True)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
     return out.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

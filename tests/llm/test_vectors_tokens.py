@@ -83,6 +83,16 @@ def test_bpe_on_odd_texts(library):
         assert b" ".join(map(codec.names.__getitem__, want)).decode() == library.decode(want, skip_special_tokens=False)
 
 
+def test_decode_of_stored_ids(spark, library):
+    codec = bpe.Codec.read(bpe.tokenizer_path())
+    rows = [(1, "The café's 3 cats", "", "", 0), (2, None, "", "", 0), (3, "", "", "", 0), (4, "a " * 3000, "", "", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    both = bpe.encode(df, codec, bpe.build_lexicon(df, codec), decoded=True).collect()
+    again = bpe.decode(bpe.encode(df, codec, compile_words({})), codec).collect()
+    want = {i: library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for i, t, *_ in rows}
+    assert {r["row"]["doc_id"]: r["decoded"] for r in both} == {r["row"]["doc_id"]: r["decoded"] for r in again} == want
+
+
 def test_automaton():
     rnd = random.Random(2)
     words = {"".join(rnd.choice("abé") for _ in range(rnd.randint(1, 7))).encode(): tuple(rnd.sample(range(99), rnd.randint(1, 3))) for _ in range(800)}
