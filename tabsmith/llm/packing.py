@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import query, table
-from .shared import quoted
+from .shared import bound_batches, quoted
 from .textkernel import Words, mix, slices, text_buffers
 
 SIZES = (512, 1024, 2048, 4096)
@@ -127,6 +127,7 @@ def _pack_shard(sizes: tuple[int, ...]):
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, ...] = SIZES, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """id, piece, start (first token of the piece in its document), n_tokens, bin_id, capacity, position (in the bin)."""
+    bound_batches(docs)
     sizes = tuple(sorted(sizes))
     src = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text"))
     # a text of b bytes has at most (b + 1) / 2 words

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import boosting
 from .catalog import query, table
-from .shared import quoted
+from .shared import bound_batches, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 4000
@@ -232,6 +232,7 @@ def _find(model: Model, redact: bool):
 
 def find(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None, redact: bool = False) -> DataFrame:
     """``row`` (the carried columns, by default all, as a struct), ``spans`` and, on request, the ``redacted`` text."""
+    bound_batches(docs)
     src = docs.select(F.struct(*[quoted(c) for c in carry or docs.columns]).alias("row"), quoted(text_col).alias("text"))
     schema = T.StructType([T.StructField("row", src.schema["row"].dataType), T.StructField("spans", T._parse_datatype_string(_SPAN))])
     if redact:

@@ -21,6 +21,20 @@ def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Bounds the Arrow batches that Python workers get by bytes, unless the session has its own bound.
+
+    The default bounds rows only, and ten thousand long texts do not fit a worker.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, None) is None:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """A column name that ``df`` does not use (Spark compares names without case)."""
     used = {c.lower() for c in df.columns}

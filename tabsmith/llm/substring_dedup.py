@@ -41,11 +41,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalog import query, table
-from .shared import quoted, text_bytes
+from .shared import bound_batches, quoted, text_bytes
 from .textkernel import Words, slices, text_buffers
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 MIN_BLOCKS = 24
 
 _PARTS = "block int, slice long, kind int, a binary, b binary, c binary, d binary"
@@ -240,6 +240,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     With ``keep_whole`` a text without a repeat is left as it is, white space and null included.
     """
+    bound_batches(docs)
     others = [quoted(c) for c in docs.columns if c.lower() != text_col.lower()]
     src = docs.select(F.struct(*others).alias("row"), quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).withColumn("fp", F.xxhash64("text"))
     found = factors(docs, id_col, text_col, window)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalog import query, table
-from .shared import quoted
+from .shared import bound_batches, quoted
 from .textkernel import Words, slices, text_buffers
 
 SAMPLE_ROWS = 5000
@@ -189,6 +189,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def _apply(src: DataFrame, model: Model) -> DataFrame:
+    bound_batches(src)
     schema = T.StructType([T.StructField("row", src.schema["row"].dataType), T.StructField("score", T.DoubleType())])
     schema = schema.add("sentences", T._parse_datatype_string("array<struct<start:bigint,length:bigint,score:double>>"))
     return src.mapInArrow(_score(model), schema)
