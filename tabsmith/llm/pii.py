@@ -3,25 +3,40 @@
 Four strict patterns give the base spans: e-mail addresses, IPv4 addresses, card
 numbers (Luhn) and international phone numbers.  High-recall generators propose
 further, overlapping spans (spelled-out addresses, numbers in groups, digit runs
-that fail a check).  Boosted trees over format and context features, fitted to
-the agreement with the base patterns, score them; a threshold for each kind,
-calibrated on rows that the fit has not seen, selects what is added.  Base spans
-always stay.
-
-Fitting uses a sample of about ``SAMPLE_DOCS`` documents (by a hash of the text)
-and at most ``SAMPLE_SPANS`` candidates.  Finding reads every whole text once,
-without a shuffle.  All scans are linear in the text.
-
-Edge rows: a null text is empty; an empty text or table has no spans.  Without
-enough candidates to calibrate a kind nothing is added for it.  Rows are
+that fail a check).  Boosted trees over format and context features score those
+that touch no base span, and a threshold for each kind selects what is added.
+Base spans always stay.
+
+The tables have no labels of personal data, so the labels are made.  Positive: a
+base span rewritten in its place into a form that no base pattern matches
+(spelled out or regrouped), and a candidate that a base pattern accepts once it
+is written plainly.  Negative: every other candidate that touches no base span.
+Base spans themselves are no examples: they need no selection.
+
+Two passes read every document.  The first takes, of each kind and label, the
+``SAMPLE_SPANS`` distinct feature vectors with the smallest hashes: copies and
+frequent formats count once, and a rare kind keeps all it has.  Trees are fitted
+to ``FOLDS`` folds of vectors, and a vector is always scored by the trees that
+have not seen it.  The second counts the scores of all examples by kind, score
+and label; a threshold is the lowest score above which at least ``PRECISION`` of
+the kind's examples are positive, whatever their number.  Finding reads every
+whole text once more.  Only sampled vectors and score counts are shuffled.  All
+scans are linear in the text.
+
+Edge rows: a null text is empty; an empty text or table has no spans.  A kind
+without a positive example in the whole table gets no added span.  Rows are
 independent, so repeated rows and null ids need no care; other columns pass
 through in ``row``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +46,15 @@ from pyspark.sql import types as T
 
 from . import boosting
 from .catalog import query, table
-from .shared import bound_batches, quoted
+from .shared import bound_batches, quoted, stored
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 4000
-SAMPLE_SPANS = 20000
+#: distinct feature vectors of each kind and label that the trees are fitted to
+SAMPLE_SPANS = 2500
+FOLDS = 3
+#: classes of scores
+LEVELS = 1024
 PRECISION = 0.95
-MIN_CALIBRATION = 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -48,6 +65,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,8}")
+_SPELLED_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\(dot\)|\[dot\]) ?[0-9]{1,3}){3}(?![0-9])")
+_AT = re.compile(r" ?(?:@|\(at\)|\[at\]) ?")
+_DOT = re.compile(r" ?(?:\[\.\]|\(\.\)|\(dot\)|\[dot\]|\.) ?")
 _GROUPS = re.compile(r"(?<![0-9])\+?\(?[0-9]{1,5}\)?(?:[ ./-]\(?[0-9]{2,5}\)?){1,6}(?![0-9])")
 _RUN = re.compile(r"(?<![0-9])[0-9]{9,24}(?![0-9])")
 
@@ -102,6 +122,8 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         out.update((m.start(), 0, m.end()) for m in _SPELLED.finditer(text))
     if _DIGIT.search(text):
         out.update((m.start(), 1, m.end()) for m in _IP.finditer(text))
+        if "[.]" in text or "(.)" in text or "(dot)" in text or "[dot]" in text:
+            out.update((m.start(), 1, m.end()) for m in _SPELLED_IP.finditer(text))
         out.update((m.start(), 2, m.end()) for m in _RUN.finditer(text))
         for m in _GROUPS.finditer(text):
             n = sum(map(str.isdigit, m.group()))
@@ -147,53 +169,152 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
 _N_FEATURES = 18 + len(_CUES)
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def addable(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Candidates that touch no base span."""
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max, initial=0))
+    # of the base spans that start before the candidate's end, the furthest end decides
+    return [c for c in candidates(text) if reach[bisect_left(starts, c[2])] <= c[0]]
+
+
+def _plain(span: str, kind: int) -> bool:
+    """Whether a base pattern accepts the candidate once it is written plainly; phone numbers show no such sign."""
+    if kind == 0:
+        written = _DOT.sub(".", _AT.sub("@", span, count=1))
+        if "(at)" not in span and "[at]" not in span and (". " in span or " ." in span):
+            return False  # the end of a sentence
+        tail = written.rsplit(".", 1)[-1]
+        return len(tail) >= 2 and tail.isalpha() and (0, 0, len(written)) in base_spans(written)
+    if kind == 1:
+        return all(map(_small, _DOT.sub(".", span).split(".")))
+    digits = "".join(filter(str.isdigit, span))
+    return kind == 2 and 12 <= len(digits) <= 19 and luhn(digits)
+
+
+def _rewritten(span: str, kind: int, pick: int) -> str:
+    """A base span in a form that its base pattern does not match, one of several by ``pick``."""
+    if kind == 0:
+        local, domain = span.split("@", 1)
+        at, dot = ((" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "."), (" @ ", "."), ("@", " [dot] "), ("[at]", "[dot]"))[pick % 6]
+        return local + at + domain.replace(".", dot)
+    if kind == 1:
+        return span.replace(".", ("[.]", "(.)", " (dot) ", "[dot]")[pick % 4])
+    digits = "".join(c for c in span if c in "0123456789")
+    if kind == 2:
+        cuts = list(range(0, len(digits) - 1, 4))  # a last single digit joins its neighbour
+        return "./"[pick % 2].join(digits[a:b] for a, b in zip(cuts, [*cuts[1:], len(digits)]))
+    sep = "- ./"[pick % 4]
+    ends = [len(digits) - 10, len(digits) - 7, len(digits) - 4, len(digits)]
+    parts = [digits[a:b] for a, b in zip([0, *[max(e, 0) for e in ends]], ends) if b > a]
+    if pick // 4 % 2:
+        parts[-3] = f"({parts[-3]})"
+    return sep.join(parts)
+
+
+_AROUND = 64
+
+
+def _hash(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big") >> 1
+
+
+def examples(text: str) -> Iterator[tuple[int, int, list[float]]]:
+    """(kind, label, features) of the text's candidates and of its base spans in another form."""
+    base = base_spans(text)
+    for c in addable(text, base):
+        yield c[1], int(_plain(text[c[0] : c[2]], c[1])), features(text, c)
+    for a, k, b in base:
+        if b - a > 256:
+            continue
+        new = _rewritten(text[a:b], k, _hash(text[a:b].encode("utf-8", "replace")))
+        before = text[max(0, a - _AROUND) : a]
+        near, span = before + new + text[b : b + _AROUND], (len(before), k, len(before) + len(new))
+        if span in addable(near, base_spans(near)):
+            yield k, 1, features(near, span)
+
+
+def _vector_hashes(x: np.ndarray) -> np.ndarray:
+    return np.array([_hash(v.tobytes()) for v in x], np.int64)
+
+
+def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each kind and label the task's distinct vectors with the smallest hashes."""
+    kept: dict[tuple[int, int], dict[int, list[float]]] = {(k, y): {} for k in range(len(KINDS)) for y in (0, 1)}
+
+    def cut(own: dict[int, list[float]]) -> dict[int, list[float]]:
+        return {h: own[h] for h in sorted(own)[:SAMPLE_SPANS]}
+
     for batch in batches:
-        x, y = [], []
         for text in batch.column("text").to_pylist():
-            base = {(a, k, b) for a, k, b in base_spans(text or "")}
-            for span in candidates(text or ""):
-                x.append(features(text, span))
-                y.append(int(span in base))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
+            for k, y, x in examples(text or ""):
+                own = kept[k, y]
+                own[_hash(np.array(x).tobytes())] = x
+                if len(own) >= 2 * SAMPLE_SPANS:
+                    kept[k, y] = cut(own)
+    for (k, y), own in kept.items():
+        own = cut(own)
+        cols = [pa.array([k] * len(own), pa.int32()), pa.array([y] * len(own), pa.int32()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["kind", "y", "h", "x"])
 
 
 class Model:
-    def __init__(self, trees: boosting.Trees, limits: list[float]):
-        self.trees, self.limits = trees, limits
+    def __init__(self, folds: list[boosting.Trees], limits: list[float]):
+        self.folds, self.limits = folds, limits
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Class 0 .. LEVELS - 1 of each row's probability, by the trees that were not fitted to its vector."""
+        fold = _vector_hashes(x) % FOLDS
+        p = np.zeros(len(x))
+        for i, trees in enumerate(self.folds):
+            p[fold == i] = trees.predict(x[fold == i])
+        return np.minimum(p * LEVELS, LEVELS - 1).astype(np.int64)
+
+
+def _counts(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for batch in batches:
+            found = [e for t in batch.column("text").to_pylist() for e in examples(t or "")]
+            if found:
+                n.update(zip((k for k, _, _ in found), model.score(np.array([x for _, _, x in found])).tolist(), (y for _, y, _ in found)))
+        cols = [pa.array([key[i] for key in n], pa.int32()) for i in range(3)] + [pa.array(list(n.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["kind", "score", "y", "n"])
+
+    return run
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Trees and thresholds from a sample of the documents."""
-    n = max(docs.count(), 1)
-    keep = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_DOCS / n) * (1 << 30))
-    texts = docs.select(quoted(text_col).alias("text")).where(F.col("text").isNotNull()).where(keep)
-    rows = texts.mapInArrow(_examples, "x array<double>, y int").orderBy(F.xxhash64("x"), "x", "y").limit(SAMPLE_SPANS).collect()
+    """Trees from distinct vectors and thresholds from the score counts of all documents."""
+    bound_batches(docs)
+    texts = docs.select(quoted(text_col).alias("text")).where(F.col("text").isNotNull())
+    drawn = stored(texts.mapInArrow(_smallest, "kind int, y int, h long, x array<double>").dropDuplicates(["kind", "y", "h"]))
+    rows = [r for k in range(len(KINDS)) for y in (0, 1) for r in drawn.where((F.col("kind") == k) & (F.col("y") == y)).orderBy("h").limit(SAMPLE_SPANS).collect()]
     x = np.array([r["x"] for r in rows], float).reshape(-1, _N_FEATURES)
     y = np.array([r["y"] for r in rows], float)
-    held = np.arange(len(y)) % 3 == 2
-    trees = boosting.fit(x[~held], y[~held])
-    return Model(trees, [_limit(trees.predict(x[held])[x[held][:, 0] == k], y[held][x[held][:, 0] == k]) for k in range(len(KINDS))])
+    fold = np.array([r["h"] for r in rows], np.int64) % FOLDS
+    model = Model([boosting.fit(x[fold != i], y[fold != i]) for i in range(FOLDS)], [])
+    counted = texts.mapInArrow(_counts(model), "kind int, score int, y int, n long").groupBy("kind", "score", "y").agg(F.sum("n").alias("n")).collect()
+    model.limits = [_limit({(r["score"], r["y"]): r["n"] for r in counted if r["kind"] == k}) for k in range(len(KINDS))]
+    return model
 
 
-def _limit(p: np.ndarray, y: np.ndarray) -> float:
-    """Smallest threshold whose selection is right often enough on the held-out candidates."""
-    if len(y) < MIN_CALIBRATION:
-        return np.inf
-    order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    last = np.concatenate((np.diff(p[order]) != 0, [True]))  # a threshold takes all ties
-    good = np.flatnonzero((right >= PRECISION) & last & (np.arange(1, len(y) + 1) >= MIN_CALIBRATION))
-    return float(p[order][good[-1]]) if len(good) else np.inf
+def _limit(counts: dict[tuple[int, int], int]) -> float:
+    """Lowest score whose selection is right often enough, from counts by score and label."""
+    limit, right, wrong = np.inf, 0, 0
+    for score in sorted({s for s, _ in counts}, reverse=True):
+        right += counts.get((score, 1), 0)
+        wrong += counts.get((score, 0), 0)
+        if right >= PRECISION * (right + wrong):
+            limit = float(score)
+    return limit
 
 
 def spans_of(text: str, model: Model) -> list[tuple[int, int, int, bool]]:
     """(start, kind, end, is base): base spans and the selected candidates that touch none of them, best first."""
     base = base_spans(text)
     out = [(a, k, b, True) for a, k, b in base]
-    open_ = [c for c in candidates(text) if np.isfinite(model.limits[c[1]]) and not any(a < c[2] and c[0] < b for a, _, b in base)]
+    open_ = [c for c in addable(text, base) if np.isfinite(model.limits[c[1]])]
     if open_:
-        p = model.trees.predict(np.array([features(text, c) for c in open_]))
+        p = model.score(np.array([features(text, c) for c in open_]))
         taken: list[tuple[int, int]] = []
         for i in np.lexsort((np.arange(len(p)), -p)):
             a, k, b = open_[i]
