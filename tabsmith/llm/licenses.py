@@ -9,6 +9,16 @@ template of t bigrams can reach the coefficient ``LEAST`` only with
 short for every template, or too long, are never cut into bigrams, and the
 others meet the templates of a fitting size only.
 
+``passages`` finds the notices that are no unit of their own: runs of consecutive
+words of the whole text, across line ends and within lines, against the notices
+and the full-length texts of ``license_texts``.  A run has at most
+``t * (2 - LEAST) / LEAST`` bigrams.  The best run begins and ends with a bigram
+of the template, so only such runs are compared; from each start all ends are
+scored in one pass, since a bigram is new in a run if its previous place lies
+before the start.  A text is searched for a template only if it has
+``t * LEAST / (2 - LEAST)`` of its bigrams.  Of overlapping passages of one
+template the better one stays, then the first.
+
 All comparisons happen within a row: nothing is shuffled, broadcast or exploded,
 so copies and frequent lines cost no more than their own text.
 
@@ -19,6 +29,7 @@ same result; other columns pass through in ``row``.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, table
 from .host_quality import let
+from .license_texts import TEXTS
 from .shared import quoted
 
 LEAST = 0.8
@@ -97,6 +109,69 @@ def scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, least: fl
     return docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), found.alias("found"))
 
 
+def passages(docs: DataFrame, text_col: str = "text", templates=TEMPLATES + TEXTS, least: float = LEAST) -> DataFrame:
+    """``row`` (the input row as a struct) and ``found``: licence, dice, first word and number of words of every passage.
+
+    The passage with the most bigrams of its template comes first, then the best dice: a whole text before a sentence of it.
+
+    Words are those of the normalised text, from 0.
+    """
+    sets = [_bigrams(t) for _, t in templates]
+    bounds = [_bounds(len(s), least) for s in sets]
+    table_ = F.array(*[
+        F.struct(F.lit(-i).alias("rank"), F.lit(name).alias("license"), F.lit(len(s)).alias("size"), F.lit(math.ceil(low - 1e-9)).alias("need"),
+                 F.lit(math.floor(high + 1e-9)).alias("most"), F.array(*map(F.lit, s)).alias("grams"))
+        for i, ((name, _), s, (low, high)) in enumerate(zip(templates, sets, bounds))
+    ])
+    all_ = F.array(*map(F.lit, dict.fromkeys(g for s in sets for g in s)))
+
+    def grams(words: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1)))
+        return F.when(F.size(words) >= 2, pairs)
+
+    def linked(g: Column) -> Column:
+        """Place, previous place of the same bigram (or -1) and bigram, by place."""
+        by_gram = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+        last = lambda s, x, k: F.when((k > 0) & (F.get(s, k - 1)["g"] == x["g"]), F.get(s, k - 1)["i"]).otherwise(F.lit(-1))
+        return let(by_gram, lambda s: F.sort_array(F.transform(s, lambda x, k: F.struct(x["i"].alias("i"), last(s, x, k).alias("prev"), x["g"].alias("g")))))
+
+    def best(marked: Column, start: Column, t: Column) -> Column:
+        """The best run from a start: dice, start and end; the shortest of equal ones."""
+        new = F.filter(F.slice(marked, start + 1, t["most"]), lambda x: x["prev"] < start)
+        ends = F.filter(F.transform(new, lambda x, r: F.struct(x["i"].alias("i"), x["hit"].alias("hit"), (r + 1).alias("n"))), lambda x: x["hit"])
+        scored = F.transform(ends, lambda x, k: F.struct((F.lit(2.0) * (k + 1) / (x["n"] + t["size"])).alias("dice"), (-x["i"]).alias("end"), (k + 1).alias("common")))
+        return let(F.array_max(scored), lambda x: F.struct(x["dice"].alias("dice"), start.alias("start"), (-x["end"]).alias("end"), x["common"].alias("common")))
+
+    def apart(acc: Column, h: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        added = F.concat(acc, F.array(h))
+        better = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(h))
+        return F.when(F.size(acc) == 0, added).when(last["end"] < h["start"], added).when(h["dice"] > last["dice"], better).otherwise(acc)
+
+    def of_template(places: Column, t: Column) -> Column:
+        marked = F.transform(places, lambda x: F.struct(x["i"].alias("i"), x["prev"].alias("prev"), F.array_contains(t["grams"], x["g"]).alias("hit")))
+
+        def search(m: Column) -> Column:
+            hits = F.transform(F.filter(m, lambda x: x["hit"]), lambda x: x["i"])
+            starts = let(hits, lambda p: F.filter(p, lambda i, a: F.get(p, a + t["need"] - 1) < i + t["most"]))
+            good = F.filter(F.transform(starts, lambda i: best(m, i, t)), lambda h: h["dice"] >= least)
+            return F.aggregate(good, F.array().cast("array<struct<dice:double,start:int,end:int,common:int>>"), apart)
+
+        named = lambda h: F.struct(h["common"].alias("common"), h["dice"].alias("dice"), t["rank"].alias("rank"), (-h["start"]).alias("start"), (h["end"] - h["start"] + 2).alias("words"), t["license"].alias("license"))
+        return F.transform(let(marked, search), named)
+
+    def of_grams(g: Column) -> Column:
+        fits = lambda c: F.filter(table_, lambda t: F.size(F.array_intersect(t["grams"], c)) >= t["need"])
+        found = lambda f: F.when(F.size(f) > 0, let(linked(g), lambda w: F.flatten(F.transform(f, lambda t: of_template(w, t)))))
+        return let(let(F.array_intersect(g, all_), fits), found)
+
+    words = F.split(normalised(F.coalesce(quoted(text_col), F.lit(""))), " ")
+    hits = let(let(words, grams), of_grams)
+    found = F.transform(F.sort_array(hits, asc=False), lambda h: F.struct(h["license"].alias("license"), h["dice"].alias("dice"), (-h["start"]).alias("start"), h["words"].alias("words")))
+    empty = F.array().cast("array<struct<license:string,dice:double,start:int,words:int>>")
+    return docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), F.coalesce(found, empty).alias("found"))
+
+
 def _sql() -> str:
     rows = ",\n  ".join("({}, '{}', [{}])".format(i, name, ", ".join(f"'{g}'" for g in _bigrams(t))) for i, (name, t) in enumerate(TEMPLATES))
     return f"""
@@ -119,3 +194,10 @@ def op9_licenses(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scan(docs).select("row.doc_id", F.get("found", F.lit(0)).alias("f"), F.size("found").cast("long").alias("n_hits"))
     return out.select("doc_id", "f.license", F.round("f.dice", 9).alias("dice"), F.col("f.unit").cast("long").alias("unit"), "n_hits")
+
+
+@query("op9_license_passages")
+def op9_license_passages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = passages(docs).select("row.doc_id", F.get("found", F.lit(0)).alias("f"), F.size("found").cast("long").alias("n_passages"))
+    return out.select("doc_id", "f.license", F.round("f.dice", 9).alias("dice"), F.col("f.start").cast("long").alias("start"), F.col("f.words").cast("long").alias("words"), "n_passages")
