@@ -149,6 +149,27 @@ def evaluate_model(spec: ModelSpec, df: DataFrame, key: str, features: Sequence[
         return dict(model=spec.name, mean_r2=nan, std_r2=nan, min_r2=nan, max_r2=nan, mean_mae=nan, mean_rmse=nan, error=str(e))
 
 
+def final_terms(spec: ModelSpec, train: DataFrame, features: Sequence[str], target: str, seed: int = 42) -> dict[str, float]:
+    """What the final fit holds: coefficients, importances, or the number of neighbours' rows."""
+    features = list(features)
+    if spec.kind == "linear":
+        g, c = gram(train, features + [target])
+        w, b = linear.fit(g[0], list(range(1, len(features) + 1)), spec.linear)
+        return {f: float(x) for f, x in zip(features, w)} | {"intercept": float(c[-1] + b - np.dot(w, c[: len(features)]))}
+    if spec.kind == "knn":
+        return {"n_fit": float(train.count())}
+    model = _ml_estimator(spec, seed).fit(_assemble(train, features, target))
+    return {f"importance_{f}": float(x) for f, x in zip(features, model.featureImportances.toArray())}
+
+
+def final_cv(spec: ModelSpec, df: DataFrame, key: str, features: Sequence[str], target: str, fold: str = "fold",
+             augment_factor: int = 0, seed: int = 42) -> dict[str, float]:
+    """Mean and std (ddof 0) of the fold R2, MAE and RMSE."""
+    per = regression_metrics(cv_predictions(spec, df, key, features, target, fold, augment_factor, seed), "y", "pred", by=[fold])
+    aggs = [f(m).alias(f"final_cv_{m}{end}") for m in ("r2", "mae", "rmse") for f, end in ((F.avg, ""), (F.stddev_pop, "_std"))]
+    return per.agg(*aggs).first().asDict()
+
+
 def linear_suite_cv(specs: Sequence[ModelSpec], df: DataFrame, features: Sequence[str], target: str, fold: str = "fold",
                     augment_factor: int = 0, seed: int = 42, key: str | None = None) -> DataFrame:
     """K9/K10 for every linear model at once.

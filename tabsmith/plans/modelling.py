@@ -259,7 +259,7 @@ register("k2_linear_models")(_suite_query({"linear"}))
 register("k3_random_forest_cv")(_suite_query({"rf"}))
 register("k4_gradient_boosting_cv")(_suite_query({"gbt"}))
 register("k5_decision_tree_cv")(_suite_query({"dt"}))
-register("k10_cv_augmented")(_suite_query({"linear", "dt"}, augment_factor=3))
+register("k10_cv_augmented")(_suite_query({"linear", "rf", "gbt", "dt", "knn"}, augment_factor=3))
 
 
 @register("k12_compare_models")
@@ -267,49 +267,41 @@ def k12_compare_models(spark, sf_dir):
     return models.leaderboard(_suite_query({"linear", "rf", "gbt", "dt", "knn"})(spark, sf_dir))
 
 
-def _linear_compare(spark, sf_dir):
-    pf = planted_folds(spark, sf_dir)
-    g = search.fold_grams(pf, FEATS, "y")
-    rows = []
-    selected = search.GeneticSelector(k=3, seed=42).fit(g, len(FEATS)).selected_
-    for spec in linear.LINEAR_SUITE:
-        for label, idx in (("baseline", list(range(1, len(FEATS) + 1))), ("selected", [i + 1 for i in selected])):
-            s = linear.summarise(linear.cv_scores(g, idx, spec))
-            rows.append((spec.name, label, s["mean"], s["std"], s["min"], s["max"]))
-    return spark.createDataFrame(rows, "model string, features string, mean_r2 double, std_r2 double, min_r2 double, max_r2 double")
+def _suite_compare(folds, label: str, features):
+    """Fold R2 of every model of the suite on the given columns; a failed model has its error."""
+    t = models.compare_models(models.SUITE, folds, "vec_id", features, "y")
+    return t.select("model", F.lit(label).alias("features"), "mean_r2", "std_r2", "min_r2", "max_r2", "error")
 
 
 @register("k14_baseline_all_features")
 def k14_baseline_all_features(spark, sf_dir):
-    return _linear_compare(spark, sf_dir).filter(F.col("features") == "baseline")
+    return _suite_compare(planted_folds(spark, sf_dir), "baseline", FEATS)
 
 
 @register("k15_selected_features")
 def k15_selected_features(spark, sf_dir):
-    return _linear_compare(spark, sf_dir).filter(F.col("features") == "selected")
+    folds = planted_folds(spark, sf_dir)
+    return _suite_compare(folds, "selected", chosen(folds))
 
 
 @register("k16_selection_comparison")
 def k16_selection_comparison(spark, sf_dir):
-    t = _linear_compare(spark, sf_dir)
-    return models.compare_selection(t.filter(F.col("features") == "baseline"), t.filter(F.col("features") == "selected"))
+    folds = planted_folds(spark, sf_dir)
+    return models.compare_selection(_suite_compare(folds, "baseline", FEATS), _suite_compare(folds, "selected", chosen(folds)))
 
 
 @register("k11_final_fit")
 def k11_final_fit(spark, sf_dir):
-    """Final fit on all rows augmented (seed 42+999), then a second CV with other folds (seed 42+1000)."""
+    """Every model: final fit on all rows augmented (seed 42+999), then a second CV with other folds (seed 42+1000)."""
     p = tb.planted(spark, sf_dir)
     cols = chosen(planted_folds(spark, sf_dir))
     full = aug.augment(p, "vec_id", cols, "y", factor=3, seed=42 + 999)
-    from ..operators.sums import gram
-
-    g, c = gram(full, cols + ["y"])
-    w, b = linear.fit(g[0], list(range(1, len(cols) + 1)), linear.LINEAR_SUITE[0])
     folds2 = split.kfold(p, "vec_id", 5, 42 + 1000)
-    res = models.evaluate_model(models.SUITE[3], folds2, "vec_id", cols, "y", augment_factor=3, seed=42 + 999)
-    rows = [(f, float(w[i])) for i, f in enumerate(cols)] + [("intercept", float(c[-1] + b - sum(w[i] * c[i] for i in range(len(cols))))),
-                                                         ("final_cv_r2", float(res["mean_r2"]))]
-    return spark.createDataFrame(rows, "term string, value double")
+    rows = []
+    for spec in models.SUITE:
+        terms = models.final_terms(spec, full, cols, "y") | models.final_cv(spec, folds2, "vec_id", cols, "y", augment_factor=3, seed=42 + 999)
+        rows += [(spec.name, term, value) for term, value in terms.items()]
+    return spark.createDataFrame(rows, "model string, term string, value double")
 
 
 # J4-J7 on the events and embeddings tables: general operators with group and order columns
