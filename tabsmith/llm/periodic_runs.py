@@ -88,9 +88,11 @@ def find_runs(codes: np.ndarray, bounds: np.ndarray, n_words: int) -> tuple[np.n
         return none
     w, begins = _joined(codes, bounds, docs, n_words)
     at, p = _candidates(w, sizes[docs], begins)
+    owner = np.searchsorted(begins, at, "right") - 1
+    inside = at + p < begins[owner + 1] - 1
+    at, p, owner = at[inside], p[inside], owner[inside]
     if not len(at):
         return none
-    owner = np.searchsorted(begins, at, "right") - 1
     named = np.zeros(len(docs), bool)
     named[owner] = True
     shift = begins[owner]

@@ -84,6 +84,15 @@ def test_runs_against_brute_force(seed):
         assert sorted(zip(s[d == k].tolist(), n[d == k].tolist(), q[d == k].tolist())) == brute(t.tolist())
 
 
+def test_candidates_across_documents():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 40, n) for n in rng.integers(6, 30, 300)]
+    texts[7] = np.tile([1, 2], 9)
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    d, s, n, q = find_runs(np.concatenate(texts).astype(np.int32), bounds, 40)
+    assert [(k, *r) for k, t in enumerate(texts) for r in brute(t.tolist())] == list(zip(d.tolist(), s.tolist(), n.tolist(), q.tolist()))
+
+
 def check(df, docs):
     got = sorted((tuple(r) for r in df.collect()), key=str)
     want = sorted((expected(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()), key=str)
