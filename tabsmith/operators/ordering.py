@@ -38,9 +38,9 @@ def row_numbers(df: DataFrame, order: list[Column | str], within: list[str] | No
     within = list(within or [])
     keys = [f"__group_{i}" for i in range(len(within))]
     cols = df.columns
-    marked = df.select("*", *[F.col(q(w)).alias(k) for w, k in zip(within, keys)], *[_column(o).alias(f"__order_{i}") for i, o in enumerate(order)], F.monotonically_increasing_id().alias("__tie"))
+    marked = df.select("*", *[q(w).alias(k) for w, k in zip(within, keys)], *[_column(o).alias(f"__order_{i}") for i, o in enumerate(order)], F.monotonically_increasing_id().alias("__tie"))
     by = [*keys, *[f"__order_{i}" for i in range(len(order))], "__tie"]
-    placed = written(marked.repartitionByRange(*by).sortWithinPartitions(*by).select(*[F.col(q(c)) for c in cols], *keys, F.monotonically_increasing_id().alias("__place")))
+    placed = written(marked.repartitionByRange(*by).sortWithinPartitions(*by).select(*[q(c) for c in cols], *keys, F.monotonically_increasing_id().alias("__place")))
     part = F.shiftright("__place", 33).alias("__part")
     counts = placed.groupBy(*keys, part).agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range of a group
@@ -56,8 +56,8 @@ def row_numbers(df: DataFrame, order: list[Column | str], within: list[str] | No
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"{k}_"))
     number = (F.col("__place") - F.col("__first") + F.col("__offset")).cast("long").alias(name)
-    return placed.join(offsets, match).select(*[F.col(q(c)) for c in cols], number, *([F.col("__total").cast("long").alias(total)] if total else []))
+    return placed.join(offsets, match).select(*[q(c) for c in cols], number, *([F.col("__total").cast("long").alias(total)] if total else []))
 
 
 def _column(c: Column | str) -> Column:
-    return F.col(q(c)) if isinstance(c, str) else c
+    return q(c) if isinstance(c, str) else c
