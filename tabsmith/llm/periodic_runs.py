@@ -38,6 +38,8 @@ from .textkernel import slices, text_buffers
 
 LEAST = 6
 POWER = 4
+#: Texts that share a grammar, in bytes; a longer text has its own.
+SLICE_BYTES = 1 << 20
 _CHUNK = 1 << 18
 
 _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
@@ -139,7 +141,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
         _, offs = text_buffers(texts)
-        for i, j in slices(offs):
+        for i, j in slices(offs, SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), *_of_slice(texts.slice(i, j - i))], names=["row", "n_words", "runs", "collapsed"])
 
 
