@@ -11,7 +11,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, tuple[QueryFn, str | None]] = {}
 
-_MODULES = ["url_filter", "jaccard_join", "toxicity", "substring_dedup", "packing", "pii", "neighbours", "host_quality", "licenses", "bpe", "periodic_runs", "merkle"]
+_MODULES = ["url_filter", "jaccard_join", "toxicity", "substring_dedup", "packing", "pii", "neighbours", "host_quality", "licenses", "bpe", "periodic_runs", "merkle", "pivot_index"]
 
 
 def query(name: str, sql: str | None = None):
