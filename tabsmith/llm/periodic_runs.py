@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .catalog import query, table
 from .recompression import Grammar
 from .shared import bound_batches, quoted
-from .textkernel import slices, text_buffers
+from .textkernel import slices, text_buffers, words_of
 
 LEAST = 6
 POWER = 4
@@ -46,17 +46,6 @@ _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.i
 _RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
 
 
-def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words one behind the other, and the bounds of each text among them."""
-    lists = pc.ascii_split_whitespace(texts.fill_null(""))
-    flat, offsets = lists.flatten(), np.asarray(lists.offsets)
-    full = np.asarray(pc.binary_length(flat)) > 0
-    if not full.all():
-        offsets = np.concatenate(([0], np.cumsum(full)))[offsets - offsets[0]]
-        flat = flat.filter(pa.array(full))
-    return flat, offsets - offsets[0]
-
-
 def _joined(codes: np.ndarray, bounds: np.ndarray, docs: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """The chosen documents as one sequence with a separator around each, and the first place of each."""
     sizes = np.diff(bounds)[docs]

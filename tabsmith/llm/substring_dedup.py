@@ -1,12 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing (operator 4).
-
-Every document is parsed greedily against an index of all documents with a
-smaller id.  The index entries are the ``window``-word sequences of the corpus,
-dealt into hash blocks; each block answers, for every window of every document,
-which earliest document holds it.  A factor is a maximal run of consecutive
-windows held by the same earliest document.  Windows that straddle the border of
-two factors have an answer of their own, so a factor border never hides a
-repeat.  Every factor is at least ``window`` words long and becomes a duplicate
+"""Substring dedup by runs of windows that an earlier document holds (operator 4).
+
+This stands in for a relative Lempel-Ziv parse: nothing is matched greedily
+against a reference text.  The index entries are the ``window``-word sequences of
+the corpus, dealt into hash blocks; each block answers, for every window of every
+document, which earliest document holds it.  A factor is a maximal run of
+consecutive windows with the same earliest holder; it need not occur there as one
+phrase, as no positions are kept.  Windows that straddle the border of two factors
+have an answer of their own, so a factor border never hides a repeat.  Every factor is at least ``window`` words long and becomes a duplicate
 span; the words under the spans are removed.
 
 Plan (no text is shuffled before the last join):
@@ -20,7 +20,8 @@ Plan (no text is shuffled before the last join):
 4. Each slice turns them into factors per document.
 5. Factors join the texts on (id, text hash), and the kept words are written.
 
-Windows are compared by a 64-bit hash.  Blocks have a fixed size in text bytes;
+A slice is named by a hash of all its ids and text hashes.  Windows are compared by
+a 64-bit hash.  Blocks have a fixed size in text bytes;
 their number follows the corpus.
 
 Edge rows: a null or empty text has no words.  A row with a null id is neither
@@ -87,8 +88,8 @@ def _slice_rows(ids: np.ndarray, known: np.ndarray, fps: np.ndarray, words: Word
     if not known.all():
         use = known[doc]
         hashes, doc = hashes[use], doc[use]
-    name = np.array([ids[0], fps[0], len(ids), fps[-1], len(words)], np.int64).view(np.uint64)
-    slice_id = int.from_bytes(hashlib.blake2b(name.tobytes(), digest_size=8).digest(), "little", signed=True)
+    name = hashlib.blake2b(np.int64(len(ids)).tobytes() + ids.tobytes() + fps.tobytes() + known.tobytes(), digest_size=8)
+    slice_id = int.from_bytes(name.digest(), "little", signed=True)
     n_windows = np.bincount(doc, minlength=len(ids)).astype(np.int64)
     rows = [(slice_id % blocks, slice_id, _DIRECTORY, _planes(ids), _planes(fps), _planes(n_windows), None)]
     if not len(hashes):
@@ -169,8 +170,8 @@ def _parse_slice(window: int):
             return _FACTORS_ARROW.empty_table()
         at = np.concatenate([_ungaps(r["a"]) for r in found])
         ref = np.concatenate([_unplanes(r["b"], np.int64) if r["c"] is None else _unplanes(r["b"], np.int64)[_unplanes(r["c"], np.uint32)] for r in found])
-        order = np.argsort(at, kind="stable")
-        at, ref = at[order], ref[order]
+        at, order = np.unique(at, return_index=True)  # slices of the same rows share a name and have the same answers
+        ref = ref[order]
         ids, fps = _unplanes(head["a"], np.int64), _unplanes(head["b"], np.int64)
         ends = np.cumsum(_unplanes(head["c"], np.int64))
         doc = np.searchsorted(ends, at, "right")

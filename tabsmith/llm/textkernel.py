@@ -8,12 +8,16 @@ longest single text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+#: Bytes beyond which a word has a cryptographic hash: a polynomial modulo 2^64 maps some unequal words of 1,024 letters to one value.
+LONG_WORD = 64
 
 _MIX1 = np.uint64(0xFF51AFD7ED558CCD)
 _MIX2 = np.uint64(0xC4CEB9FE1A85EC53)
@@ -73,6 +77,17 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words one behind the other, and the bounds of each text among them."""
+    lists = pc.ascii_split_whitespace(texts.fill_null(""))
+    flat, offsets = lists.flatten(), np.asarray(lists.offsets)
+    full = np.asarray(pc.binary_length(flat)) > 0
+    if not full.all():
+        offsets = np.concatenate(([0], np.cumsum(full)))[offsets - offsets[0]]
+        flat = flat.filter(pa.array(full))
+    return flat, offsets - offsets[0]
+
+
 class Words:
     """Words of the texts ``data[offs[i]:offs[i+1]]``: byte ranges, and the word range of each text."""
 
@@ -102,7 +117,7 @@ class Words:
         return np.diff(self.bounds)
 
     def hashes(self) -> np.ndarray:
-        """64-bit hash of each word."""
+        """64-bit hash of each word: a polynomial, or a cryptographic one where unequal long words could share it."""
         n = len(self.starts)
         if not n:
             return np.zeros(0, np.uint64)
@@ -120,8 +135,13 @@ class Words:
             np.minimum(rel, longest - 1, out=rel)
             vals = self.codes[self.data[lo:hi]] * p[rel]
             out[a:b] = np.add.reduceat(vals, s - lo)
-        out ^= (self.ends - self.starts).astype(np.uint64) * _GRAM
-        return mix(out)
+        size = self.ends - self.starts
+        out ^= size.astype(np.uint64) * _GRAM
+        out = mix(out)
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            word = self.data[self.starts[i] : self.ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return out
 
     def prefixes(self, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
         """64-bit hash of the first bytes of each word, for each of the lengths; shorter words give the whole word's."""
@@ -136,6 +156,11 @@ class Words:
                 out[j + 1] = mix(h + np.uint64(j + 1))
         return out
 
+    def exact(self) -> pa.Array:
+        """The words themselves."""
+        texts = pa.Array.from_buffers(pa.large_string(), len(self.offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(self.offs, np.int64)), pa.py_buffer(np.ascontiguousarray(self.data))])
+        return words_of(texts)[0]
+
     def doc_of(self) -> np.ndarray:
         """Index of the text of each word."""
         return np.repeat(np.arange(len(self.offs) - 1, dtype=np.int32), self.counts())
