@@ -155,14 +155,16 @@ def _score(model: Model):
             data, offs = text_buffers(batch.column("text"))
             for i, j in slices(offs):
                 words, heads, doc = sentences(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                z = np.full(len(words), 0.0)
+                sentence = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(words))))
+                found = [np.zeros(0, np.int64)]
                 if len(model.features) and len(words):
                     for h in _features(words):
                         at = np.flatnonzero(bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)])
                         place = np.minimum(np.searchsorted(model.features, h[at]), len(model.features) - 1)
                         hit = model.features[place] == h[at]
-                        z[at[hit]] += model.weights[place[hit]]
-                z = (np.add.reduceat(z, heads) if len(heads) else np.zeros(0)) + model.bias
+                        found.append(sentence[at[hit]] * len(model.features) + place[hit])
+                found = np.unique(np.concatenate(found))  # a feature counts once a sentence, as in the fit
+                z = np.bincount(found // max(len(model.features), 1), model.weights[found % max(len(model.features), 1)], len(heads)) + model.bias
                 p = 1 / (1 + np.exp(-np.clip(z, -700, 700))) if np.isfinite(model.bias) else np.zeros(len(z))
                 free = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), j - i)
                 score = np.clip(-np.expm1(free), 0, 1)
