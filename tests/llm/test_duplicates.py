@@ -1,7 +1,10 @@
 import hashlib
 import random
 
-from tabsmith.llm.jaccard_join import jaccard_groups
+import numpy as np
+import pyarrow as pa
+
+from tabsmith.llm.jaccard_join import jaccard_groups, one_of_each
 from tabsmith.llm.substring_dedup import remove_repeats
 
 from .conftest import DOCS, words
@@ -113,3 +116,69 @@ def test_factors_name_an_earlier_document(spark):
     got = {r["row"]["doc_id"]: r for r in remove_repeats(spark.createDataFrame(rows, DOCS), keep_whole=True).collect()}
     assert [(s["start"], s["length"], s["ref"]) for s in got[3]["spans"]] == [(0, 40, 1), (40, 40, 2)]
     assert got[3]["kept"] == "" and got[1]["kept"] == a
+
+
+def _thue_morse(flip):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(1024))
+
+
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    one, two = _thue_morse(0), _thue_morse(1)
+    rows = [(1, " ".join([one] * 13), "", "", 0), (2, " ".join([two] * 13), "", "", 0), (3, " ".join([one] * 13), "", "", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert sorted(tuple(r) for r in jaccard_groups(df).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+    assert {r["row"]["doc_id"]: r["n_removed"] for r in remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_words_that_share_a_hash_are_told_apart():
+    from tabsmith.llm import jaccard_join
+    from tabsmith.llm.textkernel import Words, text_buffers
+
+    class Same(Words):
+        def hashes(self):
+            return super().hashes() & np.uint64(7)
+
+    one, two = (Same(*text_buffers(pa.array([words(s, 40)]))) for s in (1, 2))
+    codes = jaccard_join.exact_codes(one, two)
+    assert len(set(codes[0].tolist()) | set(codes[1].tolist())) == len(set(words(1, 40).split()) | set(words(2, 40).split()))
+    assert jaccard_join.exact_codes(*(Words(*text_buffers(pa.array([words(s, 40)]))) for s in (1, 2))) is None
+
+
+def test_slices_of_equal_ends(spark):
+    """Two partitions that agree on their first and last rows and on all counts."""
+    a, x, b = words(1, 30), words(2, 30), words(3, 30)
+    y = " ".join(x.split()[:20] + words(4, 10).split())
+    parts = [[(5, a), (1, x), (9, b)], [(5, a), (7, y), (9, b)]]
+    rdd = spark.sparkContext.parallelize(parts, 2).flatMap(lambda p: p)
+    df = spark.createDataFrame(rdd, "doc_id long, text string")
+    got = sorted((r["row"]["doc_id"], r["n_removed"]) for r in remove_repeats(df).collect())
+    assert got == [(1, 0), (5, 0), (5, 0), (7, 20), (9, 0), (9, 0)]
+
+
+def test_a_table_united_with_itself(spark):
+    rnd = random.Random(5)
+    passages = [words(600 + k, rnd.randint(13, 40)) for k in range(12)]
+    rows = [(i, " ".join(rnd.choice([*passages, words(rnd.randrange(10**6), 9)]) for _ in range(6)), "en", "s", 0) for i in range(40)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    for both in (df.union(df), df.union(df.orderBy("text")).repartition(4)):
+        out = remove_repeats(both)
+        assert _digest(out) == _kept(rows + rows)
+        spans = {r["row"]["doc_id"]: sorted((s["start"], s["length"]) for s in r["spans"]) for r in out.collect()}
+        assert all(len(set(v)) == len(v) for v in spans.values())
+
+
+def test_one_of_each(spark):
+    k, z, m = words(1, 40), words(2, 40), words(3, 40)
+    rows = [(3, k, "en", "a", 1), (5, k, "en", "a", 1), (5, z, "en", "a", 1), (6, m, "en", "a", 1), (6, m, "en", "a", 1), (None, k, "en", "a", 1), (None, None, None, None, None), (8, "", "", "", 0), (8, "", "", "", 0), (9, m + " end", "en", "b", 2), (2, None, "de", "c", 3)]
+    df = spark.createDataFrame(rows, DOCS).withColumnRenamed("source", "label").withColumnRenamed("lang", "fp")
+    got = sorted((tuple(r) for r in one_of_each(df).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[3], *rows[5:9], rows[10]], key=str)
+    assert one_of_each(df.limit(0)).count() == 0
+
+
+def test_exact_words_are_the_hashed_words():
+    from tabsmith.llm.textkernel import Words, text_buffers
+
+    texts = ["", " a  b\t\x0bc ", "x", None, "\n", "é ß 日 \x1c\x1f z", "long " * 50]
+    w = Words(*text_buffers(pa.array(texts)))
+    assert [x.encode() for x in w.exact().to_pylist()] == [w.data[a:b].tobytes() for a, b in zip(w.starts, w.ends)]
