@@ -5,8 +5,9 @@ result is written as Parquet to the shared folder and read again as the next
 one's input.  All but the last return the columns of ``documents``.
 
 1. toxicity: documents with a score of at least the threshold go.
-2. near_duplicates: of each component of similar documents the one with the
-   smallest id stays; a row with a null id stays.
+2. near_duplicates: of each component of similar rows the one with the smallest id
+   stays, of several with that id the one with the smallest text hash, of equal rows
+   one; rows with a null id, and rows without words, stay.
 3. repeated_passages: words under a window that an earlier document has are cut.
    A text without a repeat is left as it is; a cut text is the kept words with
    one space between them, and a text that is repeated as a whole becomes empty.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.llm import packing, pii, substring_dedup, toxicity
 from tabsmith.llm.catalog import table
-from tabsmith.llm.jaccard_join import jaccard_groups
+from tabsmith.llm.jaccard_join import one_of_each
 from tabsmith.llm.shared import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -42,8 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = jaccard_groups(docs).where("component_id <> id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
