@@ -143,10 +143,14 @@ class Codec:
 
 
 class Encoder:
-    """Ids of white-space separated chunks; remembers a bounded number of them."""
+    """Ids of white-space separated chunks; remembers a bounded number of them, as packed ids or as written out."""
 
     def __init__(self, codec: Codec, lexicon: bytes):
-        self.codec, self.lexicon, self.memo, self.seen = codec, Lexicon(lexicon), {}, {}
+        self.codec, self.lexicon, self.seen = codec, Lexicon(lexicon), {}
+        self.packed: dict[bytes, bytes] = {}
+        self.listed: dict[bytes, bytes] = {}  # decimal ids with one space between them
+        self.decoded: dict[bytes, bytes] = {}
+        self.hollow: set[bytes] = set()  # chunks without ids
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         ids = self.seen.get(piece)
@@ -168,17 +172,35 @@ class Encoder:
             out.extend((codec.special[part],) if part in codec.special else chain.from_iterable(map(self._piece, codec.pieces(part))))
         return tuple(out)
 
+    def _room(self) -> None:
+        if len(self.packed) + len(self.listed) > MEMO_CHUNKS:
+            for memo in (self.packed, self.listed, self.decoded, self.seen, self.hollow):
+                memo.clear()
+
     def encode(self, text: bytes) -> bytes:
         """Ids of a text as packed 32-bit integers."""
         chunks = text.split()
-        memo = self.memo
-        if len(memo) > MEMO_CHUNKS:
-            memo.clear()
-            self.seen.clear()
+        self._room()
+        memo = self.packed
         for c in set(chunks).difference(memo):
             memo[c] = array("i", self._chunk(c)).tobytes()
         return b"".join(map(memo.__getitem__, chunks))
 
+    def write(self, text: bytes) -> tuple[bytes, bytes]:
+        """Decimal ids of a text, and its tokens' names, each with one space between them."""
+        chunks = text.split()
+        self._room()
+        listed, decoded, names = self.listed, self.decoded, self.codec.names
+        for c in set(chunks).difference(listed):
+            ids = self._chunk(c)
+            listed[c] = " ".join(map(str, ids)).encode()
+            decoded[c] = b" ".join(map(names.__getitem__, ids))
+            if not ids:
+                self.hollow.add(c)
+        if self.hollow:
+            chunks = [c for c in chunks if c not in self.hollow]
+        return b" ".join(map(listed.__getitem__, chunks)), b" ".join(map(decoded.__getitem__, chunks))
+
 
 def _count(codec: Codec):
     def rows(counts: Counter) -> pa.RecordBatch:
@@ -217,7 +239,7 @@ def _decoded(names: list[bytes], ids: pa.ListArray) -> pa.Array:
     return pa.array([b" ".join(map(names.__getitem__, x.tolist())).decode() for x in np.split(flat, ends[:-1])], pa.string())
 
 
-def _encode(codec: Codec, lexicon: bytes, decoded: bool):
+def _encode(codec: Codec, lexicon: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(codec, lexicon)
         gc.freeze()  # the merge table is no garbage: collections need not walk it
@@ -227,22 +249,42 @@ def _encode(codec: Codec, lexicon: bytes, decoded: bool):
                 part = [encoder.encode(t or b"") for t in texts[lo : lo + 1000].to_pylist()]
                 offsets = np.cumsum([0] + [len(p) // 4 for p in part], dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(part), np.int32)))
-                cols = [batch.column("row").slice(lo, len(part)), ids]
-                if decoded:
-                    cols.append(_decoded(codec.names, ids))
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "ids", "decoded"][: len(cols)])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, len(part)), ids], names=["row", "ids"])
+
+    return run
+
+
+def _write(codec: Codec, lexicon: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(codec, lexicon)
+        gc.freeze()
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary())
+            for lo in range(0, len(texts), 1000):
+                part = [encoder.write(t or b"") for t in texts[lo : lo + 1000].to_pylist()]
+                listed, decoded = (pa.array(list(c), pa.binary()).cast(pa.string()) for c in zip(*part))
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, len(part)), listed, decoded], names=["row", "listed", "decoded"])
 
     return run
 
 
-def encode(docs: DataFrame, codec: Codec, lexicon: bytes, text_col: str = "text", carry: list[str] | None = None, decoded: bool = False) -> DataFrame:
-    """``row`` (the carried columns, by default all, as a struct), ``ids`` and, on request, the ids ``decoded`` by the same worker."""
+def _rows(docs: DataFrame, text_col: str, carry: list[str] | None) -> DataFrame:
     bound_batches(docs)
-    src = docs.select(F.struct(*[quoted(c) for c in carry or docs.columns]).alias("row"), quoted(text_col).alias("text"))
+    return docs.select(F.struct(*[quoted(c) for c in carry or docs.columns]).alias("row"), quoted(text_col).alias("text"))
+
+
+def encode(docs: DataFrame, codec: Codec, lexicon: bytes, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the carried columns, by default all, as a struct) and ``ids``."""
+    src = _rows(docs, text_col, carry)
     schema = T.StructType([T.StructField("row", src.schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    if decoded:
-        schema = schema.add("decoded", "string")
-    return src.mapInArrow(_encode(codec, lexicon, decoded), schema)
+    return src.mapInArrow(_encode(codec, lexicon), schema)
+
+
+def encode_written(docs: DataFrame, codec: Codec, lexicon: bytes, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """As ``encode``, with the ids written out (``listed``: decimal, one space between them) and ``decoded``, each chunk once a worker."""
+    src = _rows(docs, text_col, carry)
+    schema = T.StructType([T.StructField("row", src.schema["row"].dataType), T.StructField("listed", T.StringType()), T.StructField("decoded", T.StringType())])
+    return src.mapInArrow(_write(codec, lexicon), schema)
 
 
 def _decode(names: list[bytes]):
@@ -271,6 +313,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op10_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     codec = Codec.read(tokenizer_path())
-    out = encode(docs, codec, build_lexicon(docs, codec), carry=["doc_id"], decoded=True)
-    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
-    return out.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    out = encode_written(docs, codec, build_lexicon(docs, codec), carry=["doc_id"])
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{'ids' if c == 'listed' else c}_sha256")
+    n = F.when(F.col("listed") == "", 0).otherwise(F.regexp_count("listed", F.lit(" ")) + 1)
+    return out.select("row.doc_id", n.cast("long").alias("n_tokens"), digest("listed"), digest("decoded"))

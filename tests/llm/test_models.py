@@ -89,3 +89,51 @@ def test_pii_query_keeps_base_spans(spark):
 
 def test_redaction():
     assert pii.redact_text("a x@y.z b 1.2.3.4", [(2, 0, 7, True), (4, 3, 6, False), (10, 1, 17, True)]) == "a <EMAIL> b <IP>"
+
+
+def test_a_feature_counts_once_a_sentence(spark):
+    """Scores against the model's own definition, sentence by sentence."""
+    from tabsmith.llm.textkernel import Words, text_buffers
+    import pyarrow as pa
+
+    name = Words(*text_buffers(pa.array(["grubbling"]))).hashes()
+    model = toxicity.Model(-5.0, name, np.ones(1))
+    texts = ["grubbling " * n for n in (1, 3, 5, 8)] + ["grubbling a. grubbling b! c"]
+    got = [r["score"] for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("row.doc_id").collect()]
+    p = 1 / (1 + np.exp(4.0))
+    free = 1 / (1 + np.exp(-5.0))
+    assert np.allclose(got[:4], p) and np.isclose(got[4], 1 - (1 - p) ** 2 * free)
+
+
+class _Always:
+    limits = [0.0] * 4
+
+    def score(self, x):
+        return (np.arange(len(x)) * 7919 % 1021).astype(np.int64)
+
+
+def test_selection_against_plain_greedy_on_many_candidates():
+    rng = np.random.default_rng(2)
+    text = " ".join(str(rng.integers(10, 99999)) + rng.choice(["", "-", "/", "."]) + str(rng.integers(100, 99999)) for _ in range(3000))
+    base = pii.base_spans(text)
+    open_ = pii.addable(text, base)
+    p, taken = _Always().score(np.zeros((len(open_), 1))), []
+    for i in np.lexsort((np.arange(len(p)), -p)):
+        a, k, b = open_[i]
+        if not any(x < b and a < y for x, y, _ in taken):
+            taken.append((a, b, k))
+    assert len(open_) > 500 and sorted((a, k, b) for a, k, b, s in pii.spans_of(text, _Always()) if not s) == sorted((a, k, b) for a, b, k in taken)
+
+
+def test_long_candidates_are_kept():
+    ip = "0" * 300 + "1.2.3.999"
+    assert any(b - a > 256 for a, _, b in pii.candidates(f"host {ip} end"))
+
+
+def test_clashing_columns_of_models(spark):
+    rows = [(1, "You grubbling! Mail a.b@c.example.org", 7, 8, 9), (2, None, 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, score int, spans int")
+    out = toxicity.score(df, toxicity.fit(["a b. c", "d grubbling"], [0, 1]))
+    assert out.select("row.row", "row.score", "row.spans").distinct().collect() == [(7, 8, 9)]
+    found = pii.find(df, pii.train(df), redact=True)
+    assert found.select("row.row", "row.score", "row.spans").distinct().collect() == [(7, 8, 9)] and found.where("redacted LIKE '%<EMAIL>%'").count() == 1

@@ -87,7 +87,10 @@ def test_decode_of_stored_ids(spark, library):
     codec = bpe.Codec.read(bpe.tokenizer_path())
     rows = [(1, "The café's 3 cats", "", "", 0), (2, None, "", "", 0), (3, "", "", "", 0), (4, "a " * 3000, "", "", 0)]
     df = spark.createDataFrame(rows, DOCS)
-    both = bpe.encode(df, codec, bpe.build_lexicon(df, codec), decoded=True).collect()
+    lexicon = bpe.build_lexicon(df, codec)
+    both = bpe.encode_written(df, codec, lexicon).collect()
+    ids = {r["row"]["doc_id"]: r["ids"] for r in bpe.encode(df, codec, lexicon).collect()}
+    assert {r["row"]["doc_id"]: r["listed"] for r in both} == {i: " ".join(map(str, x)) for i, x in ids.items()}
     again = bpe.decode(bpe.encode(df, codec, compile_words({})), codec).collect()
     want = {i: library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for i, t, *_ in rows}
     assert {r["row"]["doc_id"]: r["decoded"] for r in both} == {r["row"]["doc_id"]: r["decoded"] for r in again} == want
