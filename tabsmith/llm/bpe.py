@@ -28,6 +28,7 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +37,15 @@ from pyspark.sql import types as T
 from .automaton import Lexicon, compile_words
 from .catalog import query, table
 from .shared import bound_batches, most_frequent, quoted
+from .textkernel import slices, text_buffers, words_of
 
 LEXICON_WORDS = 1 << 16
-#: Chunks that a worker remembers at a time.
+#: Chunks that a worker remembers at a time, twice.
 MEMO_CHUNKS = 1 << 17
 #: Pieces of up to so many symbols are merged by a scan, longer ones with a heap.
 SHORT = 48
+_BITS = 24
+_ID = (1 << _BITS) - 1
 _NEVER = 1 << 60
 
 
@@ -74,8 +78,8 @@ class Codec:
         symbols = byte_symbols()
         self.inner = [vocab.get(s) for s in symbols]
         self.outer = [vocab.get(s + self.suffix) for s in symbols]
-        # (left id, right id) -> (rank, id of both)
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        # left id and right id -> rank and id of both, each pair as one number
+        self.merges = {vocab[a] << _BITS | vocab[b]: rank << _BITS | vocab[a + b] for rank, (a, b) in enumerate(model["merges"])}
 
     @classmethod
     def read(cls, path: str) -> Codec:
@@ -106,25 +110,27 @@ class Codec:
         return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
 
     def _merge_short(self, ids: list[int]) -> tuple[int, ...]:
-        merges, none = self.merges, (_NEVER, 0)
-        found = [merges.get(p, none) for p in pairwise(ids)]
+        get = self.merges.get
+        found = [get(a << _BITS | b, _NEVER) for a, b in pairwise(ids)]
         while found:
             best = min(found)
-            if best is none or best[0] == _NEVER:
+            if best == _NEVER:
                 break
             i = found.index(best)
-            ids[i : i + 2] = [best[1]]
+            both = best & _ID
+            ids[i : i + 2] = [both]
             del found[i]
             if i:
-                found[i - 1] = merges.get((ids[i - 1], ids[i]), none)
+                found[i - 1] = get(ids[i - 1] << _BITS | both, _NEVER)
             if i < len(found):
-                found[i] = merges.get((ids[i], ids[i + 1]), none)
+                found[i] = get(both << _BITS | ids[i + 1], _NEVER)
         return tuple(ids)
 
     def _merge_long(self, ids: list[int | None]) -> tuple[int, ...]:
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
+        get = self.merges.get
+        queue = [(m >> _BITS, i, ids[i], ids[i + 1], m & _ID) for i in range(n - 1) if (m := get(ids[i] << _BITS | ids[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
             _, i, a, b, both = heapq.heappop(queue)
@@ -135,71 +141,78 @@ class Codec:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := self.merges.get((both, ids[k])):
-                    heapq.heappush(queue, (m[0], i, both, ids[k], m[1]))
-            if (h := before[i]) >= 0 and (m := self.merges.get((ids[h], both))):
-                heapq.heappush(queue, (m[0], h, ids[h], both, m[1]))
+                if (m := get(both << _BITS | ids[k])) is not None:
+                    heapq.heappush(queue, (m >> _BITS, i, both, ids[k], m & _ID))
+            if (h := before[i]) >= 0 and (m := get(ids[h] << _BITS | both)) is not None:
+                heapq.heappush(queue, (m >> _BITS, h, ids[h], both, m & _ID))
         return tuple(i for i in ids if i is not None)
 
 
+class Recent(dict):
+    """A memo of the last ``limit`` entries or more: when it is full it becomes the old half, and what is used again comes back."""
+
+    def __init__(self, make, limit: int = MEMO_CHUNKS):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Ids of white-space separated chunks; remembers a bounded number of them, as packed ids or as written out."""
 
     def __init__(self, codec: Codec, lexicon: bytes):
-        self.codec, self.lexicon, self.seen = codec, Lexicon(lexicon), {}
-        self.packed: dict[bytes, bytes] = {}
-        self.listed: dict[bytes, bytes] = {}  # decimal ids with one space between them
-        self.decoded: dict[bytes, bytes] = {}
-        self.hollow: set[bytes] = set()  # chunks without ids
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.seen.get(piece)
-        if ids is None:
-            raw = piece.encode()
-            ids = self.lexicon.find(raw)
-            if ids is None:
-                ids = self.codec.merge(raw)
-            self.seen[piece] = ids
-        return ids
+        self.codec, self.lexicon = codec, Lexicon(lexicon)
+        self.seen = Recent(self._ids)
+        self.packed = Recent(lambda c: array("i", self._chunk(c)).tobytes())
+        self.written = Recent(self._written)
+
+    def _ids(self, piece: str) -> tuple[int, ...]:
+        raw = piece.encode()
+        ids = self.lexicon.find(raw)
+        return self.codec.merge(raw) if ids is None else ids
+
+    def _written(self, chunk: bytes) -> tuple[int, bytes, bytes]:
+        """Number of ids, the decimal ids and their names, with one space between them."""
+        ids = self._chunk(chunk)
+        return len(ids), " ".join(map(str, ids)).encode(), b" ".join(map(self.codec.names.__getitem__, ids))
 
     def _chunk(self, raw: bytes) -> tuple[int, ...]:
         codec = self.codec
         if b"<|" not in raw:
             pieces = codec.pieces(raw.decode())
-            return self._piece(pieces[0]) if len(pieces) == 1 else tuple(chain.from_iterable(map(self._piece, pieces)))
+            return self.seen[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(self.seen.__getitem__, pieces)))
         out: list[int] = []
         for part in codec.sections(raw.decode()):
-            out.extend((codec.special[part],) if part in codec.special else chain.from_iterable(map(self._piece, codec.pieces(part))))
+            out.extend((codec.special[part],) if part in codec.special else chain.from_iterable(map(self.seen.__getitem__, codec.pieces(part))))
         return tuple(out)
 
-    def _room(self) -> None:
-        if len(self.packed) + len(self.listed) > MEMO_CHUNKS:
-            for memo in (self.packed, self.listed, self.decoded, self.seen, self.hollow):
-                memo.clear()
-
     def encode(self, text: bytes) -> bytes:
         """Ids of a text as packed 32-bit integers."""
-        chunks = text.split()
-        self._room()
-        memo = self.packed
-        for c in set(chunks).difference(memo):
-            memo[c] = array("i", self._chunk(c)).tobytes()
-        return b"".join(map(memo.__getitem__, chunks))
-
-    def write(self, text: bytes) -> tuple[bytes, bytes]:
-        """Decimal ids of a text, and its tokens' names, each with one space between them."""
-        chunks = text.split()
-        self._room()
-        listed, decoded, names = self.listed, self.decoded, self.codec.names
-        for c in set(chunks).difference(listed):
-            ids = self._chunk(c)
-            listed[c] = " ".join(map(str, ids)).encode()
-            decoded[c] = b" ".join(map(names.__getitem__, ids))
-            if not ids:
-                self.hollow.add(c)
-        if self.hollow:
-            chunks = [c for c in chunks if c not in self.hollow]
-        return b" ".join(map(listed.__getitem__, chunks)), b" ".join(map(decoded.__getitem__, chunks))
+        return b"".join(map(self.packed.__getitem__, text.split()))
+
+    def write(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Number of ids, decimal ids and names of the tokens of each text; every different chunk is looked up once."""
+        flat, bounds = words_of(texts)
+        coded = flat.dictionary_encode()
+        found = [self.written[c] for c in coded.dictionary.cast(pa.binary()).to_pylist()]
+        n, listed, decoded = zip(*found) if found else ((), (), ())
+        n, at = np.array(n, np.int64), np.asarray(coded.indices)
+        total = np.concatenate(([0], np.cumsum(n[at])))[bounds]
+        if len(n) and not n.all():  # chunks without ids leave no space behind
+            full = n[at] > 0
+            at, bounds = at[full], np.concatenate(([0], np.cumsum(full)))[bounds]
+        ends, at = pa.array(bounds.astype(np.int32)), pa.array(at)
+        listed, decoded = (pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(x, pa.binary()).cast(pa.string()).take(at)), " ") for x in (listed, decoded))
+        return pa.array(np.diff(total)), listed, decoded
 
 
 def _count(codec: Codec):
@@ -215,12 +228,11 @@ def _count(codec: Codec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                if text:
-                    counts.update(text.split())
-                if len(counts) > MEMO_CHUNKS:
-                    yield rows(counts)
-                    counts.clear()
+            coded = words_of(batch.column("text"))[0].dictionary_encode()
+            counts.update(dict(zip(coded.dictionary.cast(pa.binary()).to_pylist(), np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary)).tolist())))
+            if len(counts) > MEMO_CHUNKS:
+                yield rows(counts)
+                counts.clear()
         yield rows(counts)
 
     return run
@@ -259,11 +271,10 @@ def _write(codec: Codec, lexicon: bytes):
         encoder = Encoder(codec, lexicon)
         gc.freeze()
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for lo in range(0, len(texts), 1000):
-                part = [encoder.write(t or b"") for t in texts[lo : lo + 1000].to_pylist()]
-                listed, decoded = (pa.array(list(c), pa.binary()).cast(pa.string()) for c in zip(*part))
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, len(part)), listed, decoded], names=["row", "listed", "decoded"])
+            texts = batch.column("text")
+            _, offs = text_buffers(texts)
+            for i, j in slices(offs):
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), *encoder.write(texts.slice(i, j - i))], names=["row", "n", "listed", "decoded"])
 
     return run
 
@@ -281,9 +292,9 @@ def encode(docs: DataFrame, codec: Codec, lexicon: bytes, text_col: str = "text"
 
 
 def encode_written(docs: DataFrame, codec: Codec, lexicon: bytes, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """As ``encode``, with the ids written out (``listed``: decimal, one space between them) and ``decoded``, each chunk once a worker."""
+    """As ``encode``, with the number of ids, the ids written out (``listed``: decimal, one space between them) and ``decoded``."""
     src = _rows(docs, text_col, carry)
-    schema = T.StructType([T.StructField("row", src.schema["row"].dataType), T.StructField("listed", T.StringType()), T.StructField("decoded", T.StringType())])
+    schema = T.StructType([T.StructField("row", src.schema["row"].dataType), T.StructField("n", T.LongType()), T.StructField("listed", T.StringType()), T.StructField("decoded", T.StringType())])
     return src.mapInArrow(_write(codec, lexicon), schema)
 
 
@@ -315,5 +326,4 @@ def op10_bpe(spark, sf_dir):
     codec = Codec.read(tokenizer_path())
     out = encode_written(docs, codec, build_lexicon(docs, codec), carry=["doc_id"])
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{'ids' if c == 'listed' else c}_sha256")
-    n = F.when(F.col("listed") == "", 0).otherwise(F.regexp_count("listed", F.lit(" ")) + 1)
-    return out.select("row.doc_id", n.cast("long").alias("n_tokens"), digest("listed"), digest("decoded"))
+    return out.select("row.doc_id", F.col("n").alias("n_tokens"), digest("listed"), digest("decoded"))

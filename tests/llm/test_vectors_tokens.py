@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,13 @@ def test_bpe_on_odd_texts(library):
         want = library.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(encoder.encode(t.encode()), np.int32).tolist() == want
         assert b" ".join(map(codec.names.__getitem__, want)).decode() == library.decode(want, skip_special_tokens=False)
+    bpe_memo = bpe.Recent(str, 3)
+    assert [bpe_memo[i % 7] for i in range(50)] == [str(i % 7) for i in range(50)] and len(bpe_memo) <= 3 and len(bpe_memo.old) <= 3
+    encoder.written.limit = 50
+    n, listed, decoded = encoder.write(pa.array([*texts, None]))
+    for t, k, a, b in zip([*texts, ""], n.to_pylist(), listed.to_pylist(), decoded.to_pylist()):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert (k, a, b) == (len(want), " ".join(map(str, want)), library.decode(want, skip_special_tokens=False))
 
 
 def test_decode_of_stored_ids(spark, library):
