@@ -41,7 +41,7 @@ from .textkernel import slices, text_buffers, words_of
 
 LEXICON_WORDS = 1 << 16
 #: Chunks that a worker remembers at a time, twice.
-MEMO_CHUNKS = 1 << 17
+MEMO_CHUNKS = 1 << 16
 #: Pieces of up to so many symbols are merged by a scan, longer ones with a heap.
 SHORT = 48
 _BITS = 24
@@ -171,7 +171,7 @@ class Encoder:
 
     def __init__(self, codec: Codec, lexicon: bytes):
         self.codec, self.lexicon = codec, Lexicon(lexicon)
-        self.seen = Recent(self._ids)
+        self.seen = Recent(self._ids, MEMO_CHUNKS // 4)
         self.packed = Recent(lambda c: array("i", self._chunk(c)).tobytes())
         self.written = Recent(self._written)
 
