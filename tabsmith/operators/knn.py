@@ -1,47 +1,282 @@
 """Exact k-nearest-neighbour averages without an all-pairs join.
 
-Distances are bounded below by the gap on one *pivot* coordinate that every
-row has: for the NaN-aware Euclidean distance ``dist >= sqrt(w) |a_p - b_p|``
-with ``w = total / (coordinates the receiver has)``, since the pair's weight
-total/shared is at least that.  Donors are cut into
-equal-frequency pivot buckets (``percentile_approx`` boundaries, applied by a
-binary-search ``Bucketizer``).  Each round joins the still-open receivers to
-the donors of the buckets within ``radius`` of their own (an equi-join on an
-exploded bucket id), keeps the k nearest per (receiver, target) with a
-window, and closes the receiver when its k-th distance is strictly inside
-the pivot margin the searched buckets guarantee.  Open receivers double their
-radius.  The result is exact; each round costs receivers x (2r+1) x
-donors-per-bucket distance evaluations instead of receivers x donors.
-
-Donors without a pivot value lie in a bucket of their own that every receiver
-searches; a receiver without one has no bound and searches all buckets.
+Donors are dealt to cells around reference rows (k-means centres of a sample of
+``SAMPLE_ROWS`` donors, at most ``CELLS``), and each cell knows the range of every
+coordinate in it.  For a receiver those boxes bound its distance to any donor of a
+cell from below, in all coordinates at once; for the NaN-aware Euclidean distance
+with the factor total / (coordinates the receiver has), since the weight
+total / shared of a pair is at least that, and over the coordinates that no donor
+of the cell lacks.
+
+A receiver takes the cells in the order of their bounds, in rounds that each read
+``GROWTH`` times as many donors as the one before, only cells that it has not read,
+and stops when the next bound is beyond its k-th distance for every target it
+needs.  So the result is that of a search of all donors; sampling and centres
+decide the cost only.  ``exact=False`` stops after the first round.
+
+A round meets cells and receivers in blocks: a cell of any size is dealt into
+pieces of ``PIECE_ROWS`` donors and its receivers into blocks of ``BLOCK_ROWS``, so
+a value that many donors share makes more pieces, not a larger task.  The boxes
+travel with the tasks: at most ``CELLS`` rows of two numbers a coordinate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark import StorageLevel
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import clean, q
-from ..session import ensure_checkpoint_dir
+from .ordering import written
+
+SAMPLE_ROWS = 4096
+CELLS = 256
+CELL_ROWS = 1024
+GROWTH = 8
+PIECE_ROWS = 16384
+BLOCK_ROWS = 2048
+#: Bounds are lowered by this share, far above the rounding error of a distance.
+SLACK = 1e-12
+_CHUNK = 1 << 20
+
 
+def matrix(column, width: int) -> np.ndarray:
+    """Rows of a list column of doubles as a matrix; NULL is NaN."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
-def _distance(coords: Sequence[str], metric: str) -> Column:
-    both = [F.col(f"r_{i}").isNotNull() & F.col(f"d_{i}").isNotNull() for i in range(len(coords))]
+
+def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """All distances between rows of a and rows of b, summed coordinate by coordinate; NaN where there is none."""
+    out = np.zeros((len(a), len(b)))
+    shared = np.zeros((len(a), len(b))) if metric == "nan_euclidean" else None
+    for c in range(a.shape[1]):
+        gap = a[:, c, None] - b[None, :, c]
+        if metric == "manhattan":
+            out += np.abs(gap)
+            continue
+        known = ~np.isnan(gap)
+        out += np.where(known, gap * gap, 0.0)
+        if shared is not None:
+            shared += known
     if metric == "manhattan":
-        return sum((F.abs(F.col(f"r_{i}") - F.col(f"d_{i}")) for i in range(len(coords))), F.lit(0.0))
-    sq = sum(
-        (F.when(both[i], (F.col(f"r_{i}") - F.col(f"d_{i}")) ** 2).otherwise(F.lit(0.0)) for i in range(len(coords))),
-        F.lit(0.0),
-    )
-    if metric == "euclidean":
-        return F.sqrt(sq)
-    shared = sum((both[i].cast("double") for i in range(len(coords))), F.lit(0.0))
-    return F.when(shared > 0, F.sqrt(F.lit(float(len(coords))) / shared * sq))
+        return out
+    if shared is None:
+        return np.sqrt(out)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(shared > 0, np.sqrt(a.shape[1] / shared * out), np.nan)
+
+
+def centres(sample: np.ndarray, number: int, rounds: int = 4) -> np.ndarray:
+    """Reference rows: k-means centres of complete rows from far-apart starts."""
+    rng = np.random.default_rng(17)
+    found = [sample[rng.integers(len(sample))]]
+    near = ((sample - found[0]) ** 2).sum(1)
+    while len(found) < number and near.max() > 0:
+        found.append(sample[rng.choice(len(sample), p=near / near.sum())])
+        near = np.minimum(near, ((sample - found[-1]) ** 2).sum(1))
+    found = np.array(found)
+    for _ in range(rounds):
+        own = _nearest(sample, found)
+        for c in np.unique(own):
+            found[c] = sample[own == c].mean(0)
+    return found
+
+
+def _nearest(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Number of a point that is (up to rounding) nearest to each row."""
+    return ((points**2).sum(1)[None] - 2 * (x @ points.T)).argmin(1)
+
+
+def _dealt(points: np.ndarray, means: np.ndarray, scale: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column("x"), len(means))
+            x = np.where(np.isfinite(x), x, means) / scale
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_nearest(x, points).astype(np.int32))], names=[*batch.schema.names, "cell"])
+
+    return run
+
+
+def _ranges(width: int):
+    """Per task and cell: rows, and of each coordinate the range and the number of missing values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for batch in batches:
+            x, cell = matrix(batch.column("x"), width), np.asarray(batch.column("cell"))
+            order = np.argsort(cell, kind="stable")
+            x, cell = x[order], cell[order]
+            heads = np.flatnonzero(np.diff(cell, prepend=-1))
+            if not len(heads):
+                continue
+            low, high = np.fmin.reduceat(x, heads), np.fmax.reduceat(x, heads)
+            gone, n = np.add.reduceat(np.isnan(x).astype(np.int64), heads), np.diff(np.append(heads, len(cell)))
+            for i, c in enumerate(cell[heads].tolist()):
+                was = found.get(c)
+                found[c] = [low[i], high[i], gone[i], n[i]] if was is None else [np.fmin(was[0], low[i]), np.fmax(was[1], high[i]), was[2] + gone[i], was[3] + n[i]]
+        for c, (low, high, gone, n) in found.items():
+            cols = [pa.array([c] * width, pa.int32()), pa.array(range(width), pa.int32()), pa.array(low), pa.array(high), pa.array(gone), pa.array([n] * width, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["cell", "c", "low", "high", "gone", "n"])
+
+    return run
+
+
+def bounds(a: np.ndarray, low: np.ndarray, high: np.ndarray, gone: np.ndarray, metric: str) -> np.ndarray:
+    """Least possible distance of each row of a to any donor of each cell."""
+    out = np.zeros((len(a), len(low)))
+    for c in range(a.shape[1]):
+        gap = np.maximum(np.maximum(low[None, :, c] - a[:, c, None], a[:, c, None] - high[None, :, c]), 0.0)
+        gap = np.where(np.isnan(gap), 0.0, gap)
+        if metric != "manhattan":
+            gap = np.where(gone[None, :, c] > 0, 0.0, gap) ** 2
+        out += gap
+    if metric == "nan_euclidean":
+        out *= (a.shape[1] / np.maximum((~np.isnan(a)).sum(1), 1))[:, None]
+    return (out if metric == "manhattan" else np.sqrt(out)) * (1 - SLACK)
+
+
+def _plan(cells: tuple, width: int, targets: int, metric: str, budget: int):
+    """The cells that each receiver reads this round."""
+    code, low, high, gone, size = cells
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = bounds(matrix(batch.column("x"), width), low, high, gone, metric)
+            order = np.argsort(least, axis=1, kind="stable")
+            need, kth = matrix(batch.column("need"), targets) > 0, matrix(batch.column("kth"), targets)
+            limit = np.where(need, kth, -np.inf).max(1)
+            done = np.asarray(batch.column("done")).copy()
+            visits = []
+            for i in range(len(done)):
+                ahead = order[i, done[i] :]
+                room = np.concatenate(([True], np.cumsum(size[ahead])[:-1] < budget))[: len(ahead)]
+                take = room & (least[i, ahead] <= limit[i])
+                n = len(take) if take.all() else int(take.argmin())
+                visits.append(code[ahead[:n]])
+                done[i] += n
+            ends = np.concatenate(([0], np.cumsum([len(v) for v in visits]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *visits]), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("r_key", "x", "need", "kth")), pa.array(done, pa.int64()), lists], names=["r_key", "x", "need", "kth", "done", "visits"])
+
+    return run
+
+
+def _meet(width: int, targets: int, k: int, metric: str, same_key: bool, schema: pa.Schema):
+    """The k nearest donors of one piece for each receiver of one block and each target that it needs."""
+
+    def run(donors: pa.Table, receivers: pa.Table) -> pa.Table:
+        if not donors.num_rows or not receivers.num_rows:
+            return schema.empty_table()
+        donors = donors.take(pc.sort_indices(donors.column("d_key")))  # ties go to the smaller key
+        b, t = matrix(donors.column("x"), width), matrix(donors.column("t"), targets)
+        a, need, kth = (matrix(receivers.column(c), w) for c, w in (("x", width), ("need", targets), ("kth", targets)))
+        own: dict = {}
+        if not same_key:
+            for j, key in enumerate(donors.column("d_key").to_pylist()):
+                own.setdefault(key, []).append(j)
+        keys = receivers.column("r_key").to_pylist() if own else []
+        out, step = [], max(1, _CHUNK // len(b))
+        for i in range(0, len(a), step):
+            dist = distances(a[i : i + step], b, metric)
+            for r, key in enumerate(keys[i : i + step]):
+                dist[r, own.get(key, [])] = np.nan
+            for j in range(targets):
+                d = np.where(np.isnan(dist) | np.isnan(t[None, :, j]) | (need[i : i + step, j, None] <= 0), np.inf, dist)
+                cut = kth[i : i + step, j]
+                if len(b) > k:
+                    cut = np.minimum(cut, np.partition(d, k - 1, axis=1)[:, k - 1])
+                row, col = np.nonzero((d <= cut[:, None]) & np.isfinite(d))
+                order = np.lexsort((col, d[row, col], row))
+                row, col = row[order], col[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[first], col[first]
+                out.append(pa.table([
+                    receivers.column("r_key").take(pa.array(row + i)), pa.array(np.full(len(row), j, np.int32)), pa.array(d[row, col]),
+                    donors.column("d_key").take(pa.array(col)), pa.array(t[col, j]),
+                ], schema=schema))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def nearest(
+    receivers: DataFrame,
+    donors: DataFrame,
+    key: str,
+    coords: Sequence[str],
+    targets: Sequence[str],
+    k: int = 5,
+    metric: str = "nan_euclidean",
+    fill_only_missing: bool = True,
+    same_key: bool = False,
+    exact: bool = True,
+    per_bucket: int = CELL_ROWS,
+) -> DataFrame:
+    """r_key, t (number of the target), dist, d_key, value: the k nearest donors that have the target, of each receiver that needs it."""
+    coords, targets = list(coords), list(targets)
+    width, nt = len(coords), len(targets)
+    doubles = "array<double>"
+    d = donors.select(q(key).alias("d_key"), F.array(*[clean(c).cast("double") for c in coords]).cast(doubles).alias("x"), F.array(*[clean(t).cast("double") for t in targets]).cast(doubles).alias("t"))
+    d = written(d.where("exists(t, v -> v IS NOT NULL) AND (exists(x, v -> v IS NOT NULL))" if metric == "nan_euclidean" else "exists(t, v -> v IS NOT NULL)"))
+    need = F.array(*[clean(t).isNull().cast("double") if fill_only_missing else F.lit(1.0) for t in targets])
+    r = receivers.select(q(key).alias("r_key"), F.array(*[clean(c).cast("double") for c in coords]).cast(doubles).alias("x"), need.cast(doubles).alias("need")).where("exists(need, v -> v > 0)")
+    d_type, r_type = d.schema["d_key"].dataType, r.schema["r_key"].dataType
+    found_type = T.StructType([T.StructField("r_key", r_type), T.StructField("t", T.IntegerType()), T.StructField("dist", T.DoubleType()), T.StructField("d_key", d_type), T.StructField("value", T.DoubleType())])
+    spark = donors.sparkSession
+    n = d.count()
+    if not n:
+        return spark.createDataFrame([], found_type)
+
+    # cells around reference rows
+    whole = [F.avg(F.when(F.abs(F.col("x")[c]) < float("inf"), F.col("x")[c])).alias(f"m{c}") for c in range(width)]
+    spread = [F.stddev_pop(F.when(F.abs(F.col("x")[c]) < float("inf"), F.col("x")[c])).alias(f"s{c}") for c in range(width)]
+    sample = matrix(d.orderBy(F.xxhash64("d_key"), "d_key").limit(SAMPLE_ROWS).select("x").toArrow().column("x"), width)
+    stats = d.agg(*whole, *spread).first()
+    means = np.array([stats[f"m{c}"] or 0.0 for c in range(width)])
+    scale = np.ones(width) if metric != "nan_euclidean" else np.array([s if (s := stats[f"s{c}"]) and np.isfinite(s) else 1.0 for c in range(width)])
+    points = centres(np.where(np.isfinite(sample), sample, means) / scale, min(CELLS, max(1, n // per_bucket)))
+    dealt = written(d.mapInArrow(_dealt(points, means, scale), T.StructType([*d.schema.fields, T.StructField("cell", T.IntegerType())])))
+    ranges = dealt.mapInArrow(_ranges(width), "cell int, c int, low double, high double, gone long, n long")
+    box = ranges.groupBy("cell", "c").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("gone").alias("gone"), F.sum("n").alias("n")).orderBy("cell", "c").toArrow()
+    code = np.asarray(box.column("cell"))[::width].astype(np.int32)
+    cells = (code, *(box.column(c).to_numpy().astype(np.float64).reshape(-1, width) for c in ("low", "high", "gone")), np.asarray(box.column("n"))[::width])
+    pieces = {int(c): -(-int(m) // PIECE_ROWS) for c, m in zip(code, cells[-1])}
+
+    far = F.array(*[F.lit(float("inf"))] * nt)
+    budget = 4 * per_bucket
+    state = r.withColumn("kth", far).withColumn("done", F.lit(0).cast("long"))
+    best = spark.createDataFrame([], found_type)
+    plan_type = T.StructType([T.StructField("r_key", r_type), *T._parse_datatype_string(f"x {doubles}, need {doubles}, kth {doubles}, done long, visits array<int>").fields])
+    # Spark's own mapping of the key types to Arrow
+    arrow = spark.createDataFrame([], found_type).toArrow().schema
+    rank = F.row_number().over(Window.partitionBy("r_key", "t").orderBy("dist", "d_key"))
+    while True:
+        planned = written(state.mapInArrow(_plan(cells, width, nt, metric, budget), plan_type))
+        visits = planned.select(F.explode("visits").alias("cell"), "r_key", "x", "need", "kth")
+        wanted = [(row["cell"], pieces[row["cell"]], -(-row["n"] // BLOCK_ROWS)) for row in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most CELLS rows
+        if not wanted:
+            return best
+        deal = F.broadcast(spark.createDataFrame(wanted, "cell int, pieces int, blocks int"))
+        part = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+        store = dealt.join(deal, "cell").select("cell", "d_key", "x", "t", part("d_key", "pieces").alias("piece"), every("blocks").alias("block"))
+        seek = visits.join(deal, "cell").select("cell", "r_key", "x", "need", "kth", part("r_key", "blocks").alias("block"), every("pieces").alias("piece"))
+        by = ["cell", "piece", "block"]
+        found = store.groupBy(*by).cogroup(seek.groupBy(*by)).applyInArrow(_meet(width, nt, k, metric, same_key, arrow), found_type)
+        best = written(best.union(found).withColumn("place", rank).where(F.col("place") <= k).drop("place"))
+        if not exact:
+            return best
+        last = best.groupBy("r_key", "t").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("dist")).where(F.col("n") >= k)
+        last = last.groupBy("r_key").agg(F.map_from_entries(F.collect_list(F.struct("t", "dist"))).alias("last"))
+        kth = F.transform(F.sequence(F.lit(0), F.lit(nt - 1)), lambda j: F.coalesce(F.try_element_at("last", j), F.lit(float("inf"))))
+        state = planned.join(last, "r_key", "left").select("r_key", "x", "need", kth.alias("kth"), "done")
+        budget *= GROWTH
 
 
 def knn_average(
@@ -51,12 +286,12 @@ def knn_average(
     coords: Sequence[str],
     targets: Sequence[str],
     k: int = 5,
-    pivot: str | None = None,
     metric: str = "nan_euclidean",
     fill_only_missing: bool = True,
     same_key: bool = False,
-    per_bucket: int = 256,
-    max_buckets: int = 10000,
+    exact: bool = True,
+    pivot: str | None = None,
+    per_bucket: int = CELL_ROWS,
 ) -> DataFrame:
     """(key, target, value, n_neighbours) for each receiver and target column.
 
@@ -65,120 +300,10 @@ def knn_average(
     are the donor rows where it is present; a donor with the receiver's key is
     excluded unless ``same_key`` says that the two tables' keys are unrelated.
     Ties in distance go to the smaller donor key.  No donor -> no row.
+    ``per_bucket``: donors that a cell should hold, a quarter of what the first
+    round reads.  Cells use all coordinates, so ``pivot`` has no effect.
     """
-    coords = list(coords)
-    targets = list(targets)
-    pivot = pivot or coords[0]
-    spark = donors.sparkSession
-
-    d = donors.select(
-        q(key).alias("d_key"),
-        clean(pivot).alias("d_p"),
-        *[clean(c).alias(f"d_{i}") for i, c in enumerate(coords)],
-        *[clean(t).alias(f"dt_{j}") for j, t in enumerate(targets)],
-    )
-    n_donors = d.count()
-    if n_donors == 0:
-        return receivers.select(q(key), F.lit("").alias("target"), F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("n_neighbours")).limit(0)
-    nb = max(1, min(max_buckets, n_donors // per_bucket))
-    cuts = d.agg(F.percentile_approx("d_p", [i / nb for i in range(1, nb)], 10000).alias("c")).first()["c"] if nb > 1 else []
-    splits = [float("-inf")] + sorted(set(cuts)) + [float("inf")]
-    nbk = len(splits) - 1
-    d = _bucketize(d, splits, "d_p", "d_b")
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
-
-    need = (
-        F.filter(F.array(*[F.when(clean(t).isNull(), F.lit(j)) for j, t in enumerate(targets)]), lambda x: x.isNotNull())
-        if fill_only_missing
-        else F.array(*[F.lit(j) for j in range(len(targets))])
-    )
-    # lower bound factor: the NaN-aware weight total/shared is at least total/(coords the receiver has)
-    present = sum((clean(c).isNotNull().cast("double") for c in coords), F.lit(0.0))
-    bound = F.sqrt(F.lit(float(len(coords))) / F.greatest(present, F.lit(1.0))) if metric == "nan_euclidean" else F.lit(1.0)
-    r = receivers.select(
-        q(key).alias("r_key"),
-        clean(pivot).alias("r_p"),
-        bound.alias("r_w"),
-        *[clean(c).alias(f"r_{i}") for i, c in enumerate(coords)],
-        need.alias("need"),
-    ).filter(F.size("need") > 0)
-    r = _bucketize(r, splits, "r_p", "r_b").persist(StorageLevel.MEMORY_AND_DISK)
-
-    edges = F.array(*[F.lit(s) for s in splits])
-    dist = _distance(coords, metric)
-    nt = len(targets)
-    # one distance and one sort per (receiver, donor) pair; per target a running count of
-    # donors that have it picks that target's k nearest from the same ordering
-    wanted = [F.array_contains("need", F.lit(j)) & F.col(f"dt_{j}").isNotNull() for j in range(nt)]
-    ensure_checkpoint_dir(spark)
-    cached = [d, r]
-    results = []
-    open_ = r
-    radius = 1
-    while True:
-        bounded = F.sequence(F.greatest(F.col("r_b") - radius, F.lit(0)), F.least(F.col("r_b") + radius, F.lit(nbk - 1)))
-        every = F.sequence(F.lit(0), F.lit(nbk))
-        searched = F.when(F.col("r_p").isNull(), every).otherwise(F.concat(bounded, F.array(F.lit(nbk))))
-        cand = open_.select("*", F.explode(searched).alias("d_b"))
-        pairs = cand.join(d, "d_b")
-        if not same_key:
-            pairs = pairs.filter(F.col("d_key") != F.col("r_key"))
-        pairs = pairs.select("r_key", "r_p", "r_b", "r_w", "need", "d_key", dist.alias("dist"),
-                             *[F.when(wanted[j], F.col(f"dt_{j}")).alias(f"v_{j}") for j in range(nt)]).filter(F.col("dist").isNotNull())
-        w = Window.partitionBy("r_key").orderBy("dist", "d_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = pairs.select("*", *[F.count(F.col(f"v_{j}")).over(w).alias(f"c_{j}") for j in range(nt)])
-        keep = [F.col(f"v_{j}").isNotNull() & (F.col(f"c_{j}") <= k) for j in range(nt)]
-        ranked = ranked.filter(F.greatest(*keep) if nt > 1 else keep[0])
-        agg = ranked.groupBy("r_key", "r_p", "r_b", "r_w", "need").agg(
-            *[F.avg(F.when(keep[j], F.col(f"v_{j}"))).alias(f"val_{j}") for j in range(nt)],
-            *[F.count(F.when(keep[j], 1)).alias(f"n_{j}") for j in range(nt)],
-            *[F.max(F.when(keep[j], F.col("dist"))).alias(f"kth_{j}") for j in range(nt)],
-        )
-        lo_i = F.col("r_b") - radius
-        hi_i = F.col("r_b") + radius
-        lo_edge = F.when(lo_i <= 0, F.lit(float("-inf"))).otherwise(F.element_at(edges, lo_i + 1))
-        hi_edge = F.when(hi_i >= nbk - 1, F.lit(float("inf"))).otherwise(F.element_at(edges, hi_i + 2))
-        margin = F.least(F.col("r_p") - lo_edge, hi_edge - F.col("r_p")) * F.col("r_w")
-        full = F.col("r_p").isNull() | ((lo_i <= 0) & (hi_i >= nbk - 1))
-        ok = [~F.array_contains("need", F.lit(j)) | ((F.col(f"n_{j}") == k) & (F.col(f"kth_{j}") < margin)) for j in range(nt)]
-        done = full | (F.least(*ok) if nt > 1 else ok[0])
-        agg = agg.withColumn("done", done).checkpoint()  # the answers outlive the cached tables below
-        closed = agg.filter("done")
-        results.append(
-            closed.select(F.col("r_key").alias(key), F.explode(F.arrays_zip(
-                F.array(*[F.lit(j) for j in range(nt)]).alias("t"),
-                F.array(*[F.col(f"val_{j}") for j in range(nt)]).alias("value"),
-                F.array(*[F.col(f"n_{j}") for j in range(nt)]).alias("n_neighbours"),
-                F.array(*[F.array_contains("need", F.lit(j)) for j in range(nt)]).alias("asked"),
-            )).alias("z")).filter("z.asked AND z.n_neighbours > 0").select(key, "z.t", "z.value", "z.n_neighbours")
-        )
-        if radius >= nbk:
-            break
-        nxt = open_.join(closed.select("r_key"), "r_key", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(nxt)
-        if not full_or_empty(nxt, radius, nbk):
-            break
-        open_ = nxt
-        radius *= 2
-    for table in cached:
-        table.unpersist()
-    out = results[0]
-    for x in results[1:]:
-        out = out.unionByName(x)
+    near = nearest(receivers, donors, key, coords, targets, k, metric, fill_only_missing, same_key, exact, per_bucket)
+    out = near.groupBy("r_key", "t").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n_neighbours"))
     names = F.array(*[F.lit(t) for t in targets])
-    return out.select(q(key), F.element_at(names, F.col("t") + 1).alias("target"), "value", "n_neighbours")
-
-
-def _bucketize(df: DataFrame, splits: list[float], col: str, out: str) -> DataFrame:
-    """Binary-search bucket id (JVM ``Bucketizer``); a single bucket needs no search, NULL goes behind the last one."""
-    none = len(splits) - 1
-    if len(splits) < 3:
-        return df.withColumn(out, F.when(F.col(col).isNull(), none).otherwise(0))
-    found = Bucketizer(splits=splits, inputCol=col, outputCol=out).transform(df)
-    return found.withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(none)))
-
-
-def full_or_empty(open_: DataFrame, radius: int, nbk: int) -> bool:
-    """True while some open receiver still has buckets left to search."""
-    left = (F.col("r_b") - radius > 0) | (F.col("r_b") + radius < nbk - 1)
-    return not open_.filter(F.col("r_p").isNotNull() & left).isEmpty()
+    return out.select(F.col("r_key").alias(key), F.element_at(names, F.col("t") + 1).alias("target"), "value", "n_neighbours")
