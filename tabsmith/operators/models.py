@@ -1,10 +1,9 @@
 """Regression models, metrics and cross-validation.
 
 * Linear models score every fold from per-fold Gram matrices (one pass).
-* Tree models are ``pyspark.ml`` estimators fitted per fold on a cached,
-  fold-tagged input; predictions of all folds land in one table and K8
-  scores them with a single ``groupBy(fold)``.
-* KNN regression is the exact bucketed neighbour search of :mod:`knn`.
+* Tree models are ``pyspark.ml`` estimators; :mod:`suite` fits all models and
+  folds side by side on one stored, fold-tagged table.
+* KNN regression is the exact neighbour search of :mod:`knn`.
 
 The reference's XGBoost models are re-aimed at ``GBTRegressor`` (no leaf
 penalties), and kernel SVR is not built (no Spark counterpart).
@@ -16,7 +15,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -26,8 +24,6 @@ from ..functions import bands
 from ..functions.columns import clean, q
 from ..functions.stats import r2_expr
 from . import linear
-from .augment import augment
-from .knn import knn_average
 from .sums import gram
 
 
@@ -48,10 +44,42 @@ SUITE = [
     ModelSpec("Ridge Regression", "linear", linear=linear.LINEAR_SUITE[1]),
     ModelSpec("Lasso Regression", "linear", linear=linear.LINEAR_SUITE[2]),
     ModelSpec("ElasticNet", "linear", linear=linear.LINEAR_SUITE[3]),
-    ModelSpec("Decision Tree", "dt", dict(maxDepth=4, minInstancesPerNode=6)),
+    ModelSpec("Decision Tree", "dt", dict(maxDepth=4, minInstancesPerNode=6, featureSubsetStrategy="0.6")),
     ModelSpec("K-Nearest Neighbors", "knn", dict(k=8, metric="manhattan")),
 ]
 
+# Fixed hyper-parameters of the reference's validation suite; the least rows of a split (5) become 2 rows in each part.
+_VALIDATION_TREES = dict(maxDepth=3)
+VALIDATION = [
+    ModelSpec("Random Forest", "rf", dict(numTrees=30, **_VALIDATION_TREES)),
+    ModelSpec("Linear Regression", "linear", linear=linear.LinearSpec("Linear Regression", "ols")),
+    ModelSpec("Ridge Regression", "linear", linear=linear.LinearSpec("Ridge Regression", "ridge", alpha=1.0)),
+    ModelSpec("Lasso Regression", "linear", linear=linear.LinearSpec("Lasso Regression", "lasso", alpha=0.1)),
+    ModelSpec("ElasticNet", "linear", linear=linear.LinearSpec("ElasticNet", "elasticnet", alpha=0.1, l1_ratio=0.5)),
+    ModelSpec("Decision Tree", "dt", dict(minInstancesPerNode=2, **_VALIDATION_TREES)),
+    ModelSpec("KNN", "knn", dict(k=5, metric="euclidean")),
+    ModelSpec("Gradient Boosting", "gbt", dict(maxIter=30, stepSize=0.1, **_VALIDATION_TREES)),
+    ModelSpec("XGBoost", "gbt", dict(maxIter=30, stepSize=0.1, **_VALIDATION_TREES)),
+]
+
+# Fixed values of the reference's linear, neighbour, tree and ensemble grids.
+LINEAR_GRID = [
+    ModelSpec("Linear", "linear", linear=linear.LinearSpec("Linear", "ols")),
+    *[ModelSpec(n, "linear", linear=linear.LinearSpec(n, "ridge", alpha=a)) for a in (0.1, 1.0, 10.0) for n in [f"Ridge_Alpha_{a}"]],
+    *[ModelSpec(n, "linear", linear=linear.LinearSpec(n, "lasso", alpha=a)) for a in (0.01, 0.1, 1.0) for n in [f"Lasso_Alpha_{a}"]],
+    *[ModelSpec(n, "linear", linear=linear.LinearSpec(n, "elasticnet", alpha=0.1, l1_ratio=r)) for r in (0.1, 0.5, 0.9) for n in [f"ElasticNet_L1_{r}"]],
+]
+NONLINEAR_GRID = [
+    *[ModelSpec(f"KNN_{k}", "knn", dict(k=k, metric="euclidean")) for k in (3, 5, 7)],
+    *[ModelSpec(f"Decision_Tree_Depth_{d}", "dt", dict(maxDepth=d, minInstancesPerNode=2)) for d in (3, 5, 10)],
+]
+ENSEMBLE_GRID = [
+    ModelSpec("RF_Deep", "rf", dict(numTrees=100, maxDepth=10)),
+    ModelSpec("RF_Wide", "rf", dict(numTrees=200, maxDepth=5)),
+    ModelSpec("GB_Conservative", "gbt", dict(maxIter=50, maxDepth=3, stepSize=0.05)),
+    ModelSpec("GB_Aggressive", "gbt", dict(maxIter=100, maxDepth=6, stepSize=0.2)),
+]
+
 
 def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
     """K8: R2, MAE, RMSE and n per group (rows where both are present)."""
@@ -75,6 +103,8 @@ def _ml_estimator(spec: ModelSpec, seed: int = 42):
     if spec.kind == "gbt":
         return GBTRegressor(seed=seed, **common, **p)
     if spec.kind == "dt":
+        if "featureSubsetStrategy" in p:  # one tree that draws a share of the columns at each node
+            return RandomForestRegressor(seed=seed, numTrees=1, bootstrap=False, subsamplingRate=1.0, **common, **p)
         return DecisionTreeRegressor(seed=seed, **common, **p)
     raise ValueError(spec.kind)
 
@@ -85,70 +115,12 @@ def _assemble(df: DataFrame, features: Sequence[str], target: str | None) -> Dat
     return VectorAssembler(inputCols=[f"_x{i}" for i in range(len(features))], outputCol="_features", handleInvalid="skip").transform(base)
 
 
-def fit_predict(spec: ModelSpec, train: DataFrame, test: DataFrame, key: str, features: Sequence[str], target: str, seed: int = 42) -> DataFrame:
-    """(key, y, pred) for ``test`` from a model fitted on ``train``."""
-    features = list(features)
-    if spec.kind == "linear":
-        g, c = gram(train, features + [target])
-        w, b = linear.fit(g[0], list(range(1, len(features) + 1)), spec.linear)
-        pred = F.lit(b) + sum((F.lit(float(wi)) * (clean(f) - F.lit(ci)) for wi, f, ci in zip(w, features, c)), F.lit(0.0)) + F.lit(c[-1])
-        return test.select(q(key), clean(target).alias("y"), pred.alias("pred"))
-    if spec.kind == "knn":
-        got = knn_average(test, train, key, features, [target], k=spec.params.get("k", 5), metric=spec.params.get("metric", "euclidean"),
-                          fill_only_missing=False)
-        return test.select(q(key), clean(target).alias("y")).join(got.select(q(key), F.col("value").alias("pred")), key, "left")
-    model = _ml_estimator(spec, seed).fit(_assemble(train, features, target))
-    return model.transform(_assemble(test, features, target)).select(q(key), F.col("_y").alias("y"), "pred")
-
-
-def cv_predictions(spec: ModelSpec, df: DataFrame, key: str, features: Sequence[str], target: str, fold: str = "fold",
-                   augment_factor: int = 0, seed: int = 42) -> DataFrame:
-    """Out-of-fold predictions (key, fold, y, pred); optional noise inside each training fold."""
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    parts = []
-    for f in folds:
-        train = df.filter(F.col(fold) != f)
-        if augment_factor:
-            train = augment(train, key, features, target, factor=augment_factor, seed=seed + int(f))
-            train = train.withColumn(key, F.concat_ws("#", q(key).cast("string"), F.col("aug_round").cast("string"))) if spec.kind == "knn" else train
-        test = df.filter(F.col(fold) == f)
-        if spec.kind == "knn" and augment_factor:
-            test = test.withColumn(key, F.concat_ws("#", q(key).cast("string"), F.lit("-1x")))
-        parts.append(fit_predict(spec, train, test, key, features, target, seed).withColumn(fold, F.lit(f)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def linear_cv(spec: linear.LinearSpec, df: DataFrame, features: Sequence[str], target: str, fold: str = "fold") -> list[float]:
     """K9 fast path: fold R2 of a linear model from one grouped Gram pass."""
     g, _ = gram(df, list(features) + [target], group=fold)
     return linear.cv_scores(g, list(range(1, len(features) + 1)), spec)
 
 
-def cv_summary(fold_scores: DataFrame) -> DataFrame:
-    """K9 summary: mean, std (ddof 0), min, max of fold R2 (plus MAE, RMSE means)."""
-    return fold_scores.agg(
-        F.avg("r2").alias("mean_r2"), F.stddev_pop("r2").alias("std_r2"), F.min("r2").alias("min_r2"), F.max("r2").alias("max_r2"),
-        F.avg("mae").alias("mean_mae"), F.avg("rmse").alias("mean_rmse"),
-    )
-
-
-def evaluate_model(spec: ModelSpec, df: DataFrame, key: str, features: Sequence[str], target: str, fold: str = "fold",
-                   augment_factor: int = 0, seed: int = 42) -> dict:
-    """CV metrics of one model; a failure gives NaN and the error text."""
-    try:
-        preds = cv_predictions(spec, df, key, features, target, fold, augment_factor, seed)
-        per_fold = regression_metrics(preds, "y", "pred", by=[fold])
-        s = cv_summary(per_fold).first().asDict()
-        s.update(model=spec.name, error=None)
-        return s
-    except Exception as e:  # noqa: BLE001 - recorded, as the reference does
-        nan = float("nan")
-        return dict(model=spec.name, mean_r2=nan, std_r2=nan, min_r2=nan, max_r2=nan, mean_mae=nan, mean_rmse=nan, error=str(e))
-
-
 def final_terms(spec: ModelSpec, train: DataFrame, features: Sequence[str], target: str, seed: int = 42) -> dict[str, float]:
     """What the final fit holds: coefficients, importances, or the number of neighbours' rows."""
     features = list(features)
@@ -162,68 +134,12 @@ def final_terms(spec: ModelSpec, train: DataFrame, features: Sequence[str], targ
     return {f"importance_{f}": float(x) for f, x in zip(features, model.featureImportances.toArray())}
 
 
-def final_cv(spec: ModelSpec, df: DataFrame, key: str, features: Sequence[str], target: str, fold: str = "fold",
-             augment_factor: int = 0, seed: int = 42) -> dict[str, float]:
-    """Mean and std (ddof 0) of the fold R2, MAE and RMSE."""
-    per = regression_metrics(cv_predictions(spec, df, key, features, target, fold, augment_factor, seed), "y", "pred", by=[fold])
-    aggs = [f(m).alias(f"final_cv_{m}{end}") for m in ("r2", "mae", "rmse") for f, end in ((F.avg, ""), (F.stddev_pop, "_std"))]
-    return per.agg(*aggs).first().asDict()
-
-
-def linear_suite_cv(specs: Sequence[ModelSpec], df: DataFrame, features: Sequence[str], target: str, fold: str = "fold",
-                    augment_factor: int = 0, seed: int = 42, key: str | None = None) -> DataFrame:
-    """K9/K10 for every linear model at once.
-
-    Fold Gram matrices come from one grouped pass (or, with augmentation, one
-    pass per augmented training fold); all models x folds coefficients form a
-    small broadcast table, and a single projection + ``groupBy(model, fold)``
-    scores every out-of-fold row exactly (R2, MAE, RMSE).
-    """
-    features = list(features)
-    p = len(features)
-    idx = list(range(1, p + 1))
-    coef_rows = []
-    if augment_factor:
-        folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-        trains = {}
-        for f in folds:
-            aug = augment(df.filter(F.col(fold) != f), key, features, target, factor=augment_factor, seed=seed + int(f))
-            g, c = gram(aug, features + [target])
-            trains[f] = (g[0], c)
-    else:
-        g, c = gram(df, features + [target], group=fold)
-        total = sum(g.values())
-        trains = {f: (total - m, c) for f, m in g.items()}
-    for f, (m, c) in trains.items():
-        for s in specs:
-            w, b = linear.fit(m, idx, s.linear)
-            intercept = float(c[-1] + b - float(np.dot(w, c[:p])))
-            coef_rows.append((s.name, int(f), intercept, [float(x) for x in w]))
-    coef = df.sparkSession.createDataFrame(coef_rows, "model string, _fold long, _b double, _w array<double>")
-    x = df.select(F.col(fold).cast("long").alias("_fold"), clean(target).alias("_y"), F.array(*[clean(c) for c in features]).alias("_x"))
-    pred = F.col("_b") + F.aggregate(F.zip_with("_w", "_x", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    scored = x.join(F.broadcast(coef), "_fold").withColumn("pred", pred)
-    per = regression_metrics(scored, "_y", "pred", by=["model", "_fold"])
-    return per.groupBy("model").agg(
-        F.avg("r2").alias("mean_r2"), F.stddev_pop("r2").alias("std_r2"), F.min("r2").alias("min_r2"), F.max("r2").alias("max_r2"),
-        F.avg("mae").alias("mean_mae"), F.avg("rmse").alias("mean_rmse"), F.lit(None).cast("string").alias("error"))
-
-
 def compare_models(specs: Sequence[ModelSpec], df: DataFrame, key: str, features: Sequence[str], target: str, fold: str = "fold",
                    augment_factor: int = 0, seed: int = 42) -> DataFrame:
-    """One row per model on one cached input (linear models share one scoring pass)."""
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    lin = [s for s in specs if s.kind == "linear"]
-    rest = [s for s in specs if s.kind != "linear"]
-    try:
-        rows = [evaluate_model(s, cached, key, features, target, fold, augment_factor, seed) for s in rest]
-        if lin:  # a row for each model
-            rows += [r.asDict() for r in linear_suite_cv(lin, cached, features, target, fold, augment_factor, seed, key).collect()]
-    finally:
-        cached.unpersist()
-    cols = ["model", "mean_r2", "std_r2", "min_r2", "max_r2", "mean_mae", "mean_rmse", "error"]
-    schema = "model string, mean_r2 double, std_r2 double, min_r2 double, max_r2 double, mean_mae double, mean_rmse double, error string"
-    return df.sparkSession.createDataFrame([tuple(r[c] for c in cols) for r in rows], schema)
+    """One row per model: mean and std (ddof 0) of the fold metrics; a failed model has NaN and its error."""
+    from . import suite
+
+    return suite.summarise(suite.fold_scores(specs, df, key, features, target, fold, augment_factor, seed))
 
 
 def leaderboard(results: DataFrame, r2: str = "mean_r2", mae: str = "mean_mae", cuts: Sequence[float] = bands.TRAIN_LEVELS) -> DataFrame:

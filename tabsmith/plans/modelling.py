@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import augment as aug
-from ..operators import linear, models, search, split
+from ..operators import linear, models, search, split, suite
 from ..operators.knn import knn_average
+from ..operators.ordering import written
 from ..sources import tables as tb
 from .catalog import register, rounded, sql_rounded
 
 PLANTED = tb.planted_sql()
+#: A positive target: the noise rows of a target are clamped at 0.1 and more.
+SHIFT = 10.0
+PLANTED_POSITIVE = tb.planted_sql(shift=SHIFT)
 FEATS = [f"f{i}" for i in range(tb.N_DIMS)]
 TRIO = ["f3", "f17", "f40"]
 
@@ -19,8 +23,20 @@ def _union(parts):
     return "\nUNION ALL\n".join(parts)
 
 
-def planted_folds(spark, sf_dir, k: int = 5):
-    return split.kfold(tb.planted(spark, sf_dir), "vec_id", k, 42)
+def planted_folds(spark, sf_dir, k: int = 5, shift: float = 0.0):
+    return split.kfold(tb.planted(spark, sf_dir, shift=shift), "vec_id", k, 42)
+
+
+_TABLES: dict = {}
+
+
+def once(spark, sf_dir, name: str, make):
+    """A table of this application and these input files that several queries read: written by the first of them."""
+    files = tuple(sorted(tb.table(spark, sf_dir, "embeddings").inputFiles()))
+    at = (spark.sparkContext.applicationId, name, files)
+    if at not in _TABLES:
+        _TABLES[at] = written(make())
+    return _TABLES[at]
 
 
 def _fold_case(k: int = 5) -> str:
@@ -169,12 +185,12 @@ def _aug_sql(features, key="vec_id", src=PLANTED, target="y", factor=3, seed=42)
     return f"{orig} UNION ALL {noisy}"
 
 
-I3_SQL = sql_rounded(_aug_sql(TRIO), TRIO + ["y"], ["vec_id", "aug_round"])
+I3_SQL = sql_rounded(_aug_sql(TRIO, src=PLANTED_POSITIVE), TRIO + ["y"], ["vec_id", "aug_round"])
 
 
 @register("i3_augment", I3_SQL)
 def i3_augment(spark, sf_dir):
-    p = tb.planted(spark, sf_dir)
+    p = tb.planted(spark, sf_dir, shift=SHIFT)
     out = aug.augment(p, "vec_id", TRIO, "y", factor=3, seed=42)
     return rounded(out.withColumn("aug_round", F.col("aug_round").cast("int")))
 
@@ -224,10 +240,15 @@ def j8_generation_stats(spark, sf_dir):
     return search.generation_stats(sel.population_df(spark))
 
 
-def chosen(folds, k: int = 3) -> list[str]:
-    """Names of the k columns that the genetic search selects."""
-    found = search.GeneticSelector(k=k, seed=42).fit(search.fold_grams(folds, FEATS, "y"), len(FEATS))
-    return [FEATS[i] for i in found.selected_]
+def chosen(spark, sf_dir, k: int = 3) -> list[str]:
+    """Names of the k columns that the genetic search selects; the search runs once, on the executors."""
+
+    def search_columns():
+        folds = search.fold_grams(planted_folds(spark, sf_dir), FEATS, "y")
+        found = search.GeneticSelector(k=k, seed=42).fit(folds, len(FEATS), spark).selected_
+        return spark.createDataFrame([(r, FEATS[i]) for r, i in enumerate(found)], "rank int, feature_name string")
+
+    return [r["feature_name"] for r in once(spark, sf_dir, f"chosen {k}", search_columns).orderBy("rank").collect()]
 
 
 @register("j3_feature_importance")
@@ -242,66 +263,111 @@ def k18_top_importances(spark, sf_dir):
 
 @register("j9_stability")
 def j9_stability(spark, sf_dir):
-    s = models.stability(tb.planted(spark, sf_dir), "vec_id", chosen(planted_folds(spark, sf_dir)), "y", linear.LINEAR_SUITE[0], runs=10)
+    s = models.stability(tb.planted(spark, sf_dir), "vec_id", chosen(spark, sf_dir), "y", linear.LINEAR_SUITE[0], runs=10)
     return spark.createDataFrame([(s["mean"], s["std"], s["min"], s["max"], s["cv"])], "mean double, std double, min double, max double, cv double")
 
 
-def _suite_query(kinds, augment_factor=0):
+def _scores(spark, sf_dir, name: str, specs, selected: bool, augment_factor: int = 0):
+    """Fold scores of a list of models on all columns or the selected ones; stored, so that a comparison reads what others made."""
+
+    def make():
+        folds = planted_folds(spark, sf_dir, shift=SHIFT if augment_factor else 0.0)
+        return suite.fold_scores(specs, folds, "vec_id", chosen(spark, sf_dir) if selected else FEATS, "y", augment_factor=augment_factor)
+
+    return once(spark, sf_dir, f"scores {name}", make)
+
+
+def _training(spark, sf_dir):
+    return _scores(spark, sf_dir, "training", models.SUITE, True)
+
+
+def _of_kind(kind: str):
     def run(spark, sf_dir):
-        specs = [s for s in models.SUITE if s.kind in kinds]
-        folds = planted_folds(spark, sf_dir)
-        return models.compare_models(specs, folds, "vec_id", chosen(folds), "y", augment_factor=augment_factor)
+        names = [s.name for s in models.SUITE if s.kind == kind]
+        return suite.summarise(_training(spark, sf_dir).where(F.col("model").isin(names)))
 
     return run
 
 
-register("k2_linear_models")(_suite_query({"linear"}))
-register("k3_random_forest_cv")(_suite_query({"rf"}))
-register("k4_gradient_boosting_cv")(_suite_query({"gbt"}))
-register("k5_decision_tree_cv")(_suite_query({"dt"}))
-register("k10_cv_augmented")(_suite_query({"linear", "rf", "gbt", "dt", "knn"}, augment_factor=3))
+register("k2_linear_models")(_of_kind("linear"))
+register("k3_random_forest_cv")(_of_kind("rf"))
+register("k4_gradient_boosting_cv")(_of_kind("gbt"))
+register("k5_decision_tree_cv")(_of_kind("dt"))
+register("k6_neighbours_cv")(_of_kind("knn"))
+
+
+@register("k2_linear_grid")
+def k2_linear_grid(spark, sf_dir):
+    return rounded(suite.summarise(_scores(spark, sf_dir, "linear grid", models.LINEAR_GRID, True)))
+
+
+@register("k3_nonlinear_grid")
+def k3_nonlinear_grid(spark, sf_dir):
+    """Neighbours and trees of several sizes."""
+    return suite.summarise(_scores(spark, sf_dir, "nonlinear grid", models.NONLINEAR_GRID, True))
+
+
+@register("k4_ensemble_grid")
+def k4_ensemble_grid(spark, sf_dir):
+    """Forests and boosting of several sizes."""
+    return suite.summarise(_scores(spark, sf_dir, "ensemble grid", models.ENSEMBLE_GRID, True))
+
+
+@register("k10_cv_augmented")
+def k10_cv_augmented(spark, sf_dir):
+    return suite.summarise(_scores(spark, sf_dir, "augmented", models.SUITE, True, augment_factor=3))
+
+
+def compared(results):
+    """Every model, best first; a failed one has no rank and shows its error."""
+    ranked = models.leaderboard(results).select("model", F.col("rank").cast("long").alias("rank"), "level")
+    return results.join(ranked, "model", "left").orderBy(F.asc_nulls_last("rank"), "model")
 
 
 @register("k12_compare_models")
 def k12_compare_models(spark, sf_dir):
-    return models.leaderboard(_suite_query({"linear", "rf", "gbt", "dt", "knn"})(spark, sf_dir))
+    """Every model on clean and on augmented training folds."""
+    plain, noisy = suite.summarise(_training(spark, sf_dir)), k10_cv_augmented(spark, sf_dir)
+    return compared(plain).withColumn("augmented", F.lit(False)).unionByName(compared(noisy).withColumn("augmented", F.lit(True)))
 
 
-def _suite_compare(folds, label: str, features):
-    """Fold R2 of every model of the suite on the given columns; a failed model has its error."""
-    t = models.compare_models(models.SUITE, folds, "vec_id", features, "y")
+def _validation(spark, sf_dir, label: str):
+    """Fold R2 of every model of the validation suite on all columns (baseline) or the selected ones; a failed model has its error."""
+    t = suite.summarise(_scores(spark, sf_dir, f"validation {label}", models.VALIDATION, label == "selected"))
     return t.select("model", F.lit(label).alias("features"), "mean_r2", "std_r2", "min_r2", "max_r2", "error")
 
 
 @register("k14_baseline_all_features")
 def k14_baseline_all_features(spark, sf_dir):
-    return _suite_compare(planted_folds(spark, sf_dir), "baseline", FEATS)
+    return _validation(spark, sf_dir, "baseline")
 
 
 @register("k15_selected_features")
 def k15_selected_features(spark, sf_dir):
-    folds = planted_folds(spark, sf_dir)
-    return _suite_compare(folds, "selected", chosen(folds))
+    """The selected columns' scores, with the best model (largest mean R2; ties to the smaller name) and the number of columns."""
+    t = _validation(spark, sf_dir, "selected")
+    best = t.where("mean_r2 IS NOT NULL AND NOT isnan(mean_r2)").agg(F.min_by("model", F.struct(-F.col("mean_r2"), "model"))).first()[0]
+    named = t.withColumn("best_model", F.lit(best).cast("string"))
+    return named.withColumn("is_best", F.col("model").eqNullSafe(F.col("best_model"))).withColumn("n_features", F.lit(len(chosen(spark, sf_dir))))
 
 
 @register("k16_selection_comparison")
 def k16_selection_comparison(spark, sf_dir):
-    folds = planted_folds(spark, sf_dir)
-    return models.compare_selection(_suite_compare(folds, "baseline", FEATS), _suite_compare(folds, "selected", chosen(folds)))
+    ok = "mean_r2 IS NOT NULL AND NOT isnan(mean_r2)"
+    return models.compare_selection(_validation(spark, sf_dir, "baseline").where(ok), _validation(spark, sf_dir, "selected").where(ok))
 
 
 @register("k11_final_fit")
 def k11_final_fit(spark, sf_dir):
     """Every model: final fit on all rows augmented (seed 42+999), then a second CV with other folds (seed 42+1000)."""
-    p = tb.planted(spark, sf_dir)
-    cols = chosen(planted_folds(spark, sf_dir))
-    full = aug.augment(p, "vec_id", cols, "y", factor=3, seed=42 + 999)
-    folds2 = split.kfold(p, "vec_id", 5, 42 + 1000)
-    rows = []
-    for spec in models.SUITE:
-        terms = models.final_terms(spec, full, cols, "y") | models.final_cv(spec, folds2, "vec_id", cols, "y", augment_factor=3, seed=42 + 999)
-        rows += [(spec.name, term, value) for term, value in terms.items()]
-    return spark.createDataFrame(rows, "model string, term string, value double")
+    p = tb.planted(spark, sf_dir, shift=SHIFT)
+    cols = chosen(spark, sf_dir)
+    terms = suite.final_fits(models.SUITE, aug.augment(p, "vec_id", cols, "y", factor=3, seed=42 + 999), cols, "y")
+    scores = suite.fold_scores(models.SUITE, split.kfold(p, "vec_id", 5, 42 + 1000), "vec_id", cols, "y", augment_factor=3, seed=42 + 999)
+    for r in suite.summarise(scores).collect():
+        for m in ("r2", "mae", "rmse"):
+            terms[r["model"]] |= {f"final_cv_{m}": r[f"mean_{m}"], f"final_cv_{m}_std": r[f"std_{m}"]}
+    return spark.createDataFrame([(model, term, value) for model, own in terms.items() for term, value in own.items()], "model string, term string, value double")
 
 
 # J4-J7 on the events and embeddings tables: general operators with group and order columns

@@ -204,10 +204,10 @@ def m7_series_summary(spark, sf_dir):
 
 def _importance_and_selection(spark, sf_dir):
     from ..operators import models
-    from .modelling import FEATS, chosen, planted_folds
+    from .modelling import FEATS, chosen
 
     imp = models.feature_importance(tb.planted(spark, sf_dir), FEATS, "y", num_trees=100)
-    sel = spark.createDataFrame([(f,) for f in chosen(planted_folds(spark, sf_dir))], "feature_name string")
+    sel = spark.createDataFrame([(f,) for f in chosen(spark, sf_dir)], "feature_name string")
     return imp, sel
 
 

@@ -58,19 +58,19 @@ LINEITEM_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 N_DIMS = 64
 
 
-def planted(spark: SparkSession, sf_dir: str, dims: int = N_DIMS) -> DataFrame:
-    """embeddings as f0..f{dims-1} doubles plus y = 3 f3 - 2 f17 + f40 + 0.05 u(vec_id)."""
+def planted(spark: SparkSession, sf_dir: str, dims: int = N_DIMS, shift: float = 0.0) -> DataFrame:
+    """embeddings as f0..f{dims-1} doubles plus y = 3 f3 - 2 f17 + f40 + 0.05 u(vec_id) + shift."""
     e = table(spark, sf_dir, "embeddings")
     feats = [F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(dims)]
     y = 3 * F.col("embedding")[3].cast("double") - 2 * F.col("embedding")[17].cast("double") + F.col("embedding")[40].cast("double") + 0.05 * uniform(F.col("vec_id"))
-    return e.select("vec_id", *feats, y.alias("y"))
+    return e.select("vec_id", *feats, (y + F.lit(shift) if shift else y).alias("y"))
 
 
-def planted_sql(dims: int = N_DIMS) -> str:
+def planted_sql(dims: int = N_DIMS, shift: float = 0.0) -> str:
     feats = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(dims))
     u = "((('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT + 0.5) / 4294967296.0)"
     y = f"3 * CAST(embedding[4] AS DOUBLE) - 2 * CAST(embedding[18] AS DOUBLE) + CAST(embedding[41] AS DOUBLE) + 0.05 * {u}"
-    return f"(SELECT vec_id, {feats}, {y} AS y FROM embeddings)"
+    return f"(SELECT vec_id, {feats}, {y}{f' + {shift}' if shift else ''} AS y FROM embeddings)"
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
