@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands
 from ..functions.columns import clean, melt, name_of
+from .ordering import row_numbers
 from .quantiles import quantiles
 
 
@@ -94,34 +95,41 @@ def series_summary(df: DataFrame, value: str, order: str, last: int = 10) -> Dat
 
 
 def importance_overlap(importance: DataFrame, selected: DataFrame, tops: Sequence[int] = (5, 10, 15, 20)) -> DataFrame:
-    """M8: selected features inside the top-n by importance, percent of min(n, #selected)."""
-    ranked = importance.select("feature_name", "rank")
-    sel = selected.select(F.col("feature_name"))
-    hit = ranked.join(sel, "feature_name", "left_semi")
-    n_sel = F.lit(sel.count())
-    rows = [hit.agg(F.lit(t).alias("top_n"), F.count(F.when(F.col("rank") <= t, 1)).alias("overlap")) for t in tops]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.withColumn("overlap_pct", F.col("overlap") * 100.0 / F.least(F.col("top_n"), n_sel))
+    """M8: selected features inside the top-n by importance, percent of min(n, #selected); 0 where n exceeds the columns."""
+    sel = selected.select("feature_name").distinct()
+    r = importance.select("feature_name", "rank").join(sel.withColumn("_hit", F.lit(1)), "feature_name", "left")
+    counts = r.agg(F.count(F.lit(1)).alias("columns"), F.count("_hit").alias("found"), *[F.count(F.when(F.col("rank") <= t, F.col("_hit"))).alias(f"top_{t}") for t in tops]).first()
+    n_sel = sel.count()
+    rows = [(t, counts[f"top_{t}"], counts[f"top_{t}"] * 100.0 / min(t, n_sel) if t <= counts["columns"] and n_sel else 0.0) for t in tops]
+    return importance.sparkSession.createDataFrame(rows, "top_n int, overlap long, overlap_pct double")
 
 
 def importance_with_selection(importance: DataFrame, selected: DataFrame, top: int = 20) -> DataFrame:
     """M9: top-n importances with a joined 'selected' flag (flags travel with their feature)."""
     sel = selected.select("feature_name").withColumn("selected", F.lit(True))
-    return (importance.join(F.broadcast(sel), "feature_name", "left").fillna({"selected": False})
+    return (importance.join(sel, "feature_name", "left").fillna({"selected": False})
             .orderBy("rank").limit(top))
 
 
 def normalise_metrics(df: DataFrame, higher_better: Sequence[str], lower_better: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Min-max to [0, 1] across rows (per group), inverted for lower-is-better, 0.5 if constant."""
-    w = Window.partitionBy(*by)
-    out = df
-    for c in list(higher_better) + list(lower_better):
-        lo, hi = F.min(c).over(w), F.max(c).over(w)
+    cols = [*higher_better, *lower_better]
+    ends = [f(c).alias(f"_{n}_{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))]
+    if by:
+        far = df.groupBy(*by).agg(*ends).select(*[F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)], *[f"_{n}_{i}" for i in range(len(cols)) for n in ("lo", "hi")])
+        match = [F.col(b).eqNullSafe(F.col(f"_by_{i}")) for i, b in enumerate(by)]
+        out = df.join(far, match, "inner")
+        end = lambda n, i: F.col(f"_{n}_{i}")
+    else:  # one row of ranges, taken as literals: no window over all rows
+        far = df.agg(*ends).first()
+        out = df
+        end = lambda n, i: F.lit(far[f"_{n}_{i}"])
+    norms = []
+    for i, c in enumerate(cols):
+        lo, hi = end("lo", i), end("hi", i)
         x = F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(F.lit(0.5))
-        out = out.withColumn(f"{c}_norm", (1 - x) if c in lower_better else x)
-    return out
+        norms.append(((1 - x) if c in lower_better else x).alias(f"{c}_norm"))
+    return out.select(*df.columns, *norms)
 
 
 def model_ranking(results: DataFrame, r2: str = "mean_r2", std: str = "std_r2") -> DataFrame:
@@ -176,6 +184,24 @@ def binned_pairs(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     return df.filter(clean(x).isNotNull() & clean(y).isNotNull()).groupBy(b(x).alias("bx"), b(y).alias("by")).count()
 
 
+def row_index(df: DataFrame, order: str, name: str = "index") -> DataFrame:
+    """The place 0..n-1 of each row along ``order``, from counts of sorted ranges."""
+    return row_numbers(df, [order], name=name)
+
+
+def binned_xy(df: DataFrame, x: str, y: str, bins_x: int = 50, bins_y: int = 25) -> DataFrame:
+    """2-D counts, each axis on its own equal-width grid."""
+    r = df.agg(F.min(clean(x)).alias("x0"), F.max(clean(x)).alias("x1"), F.min(clean(y)).alias("y0"), F.max(clean(y)).alias("y1")).first()
+    if r["x0"] is None or r["y0"] is None:
+        return df.sparkSession.createDataFrame([], "bx int, by int, count long")
+
+    def b(c, lo, hi, bins):
+        return F.least(F.floor((clean(c) - F.lit(lo)) / F.lit((hi - lo) / bins if hi > lo else 1.0)), F.lit(bins - 1)).cast("int")
+
+    kept = df.filter(clean(x).isNotNull() & clean(y).isNotNull())
+    return kept.groupBy(b(x, r["x0"], r["x1"], bins_x).alias("bx"), b(y, r["y0"], r["y1"], bins_y).alias("by")).count()
+
+
 def augmentation_comparison(original: DataFrame, augmented: DataFrame, features: Sequence[str]) -> DataFrame:
     """Rows, and per feature mean and std (ddof 1) of original vs augmented."""
     def stats(df, tag):

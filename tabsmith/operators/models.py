@@ -24,6 +24,7 @@ from ..functions import bands
 from ..functions.columns import clean, q
 from ..functions.stats import r2_expr
 from . import linear
+from .ordering import row_numbers
 from .sums import gram
 
 
@@ -145,10 +146,9 @@ def compare_models(specs: Sequence[ModelSpec], df: DataFrame, key: str, features
 def leaderboard(results: DataFrame, r2: str = "mean_r2", mae: str = "mean_mae", cuts: Sequence[float] = bands.TRAIN_LEVELS) -> DataFrame:
     """Drop NaN scores, sort by R2 desc then MAE asc, rank and level; rank 1 is the best model."""
     ok = results.filter(F.col(r2).isNotNull() & ~F.isnan(r2))
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.desc(r2), F.asc(mae), F.asc("model"))
-    return ok.withColumn("rank", F.row_number().over(w)).withColumn("level", bands.level(F.col(r2), cuts))
+    order = [-F.col(r2), F.col(mae), F.col("model")]
+    ranked = row_numbers(ok, order, name="rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
+    return ranked.withColumn("level", bands.level(F.col(r2), cuts))
 
 
 def compare_selection(baseline: DataFrame, selected: DataFrame, score: str = "mean_r2") -> DataFrame:
@@ -167,9 +167,7 @@ def feature_importance(df: DataFrame, features: Sequence[str], target: str, num_
     imp = model.featureImportances.toArray()
     rows = [(f, float(v)) for f, v in zip(features, imp)]
     out = df.sparkSession.createDataFrame(rows, "feature_name string, importance double")
-    from pyspark.sql import Window
-
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature_name")))
+    return row_numbers(out, [-F.col("importance"), F.col("feature_name")], name="rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def top_importances(importance: DataFrame, n: int = 5) -> DataFrame:

@@ -61,3 +61,24 @@ def row_numbers(df: DataFrame, order: list[Column | str], within: list[str] | No
 
 def _column(c: Column | str) -> Column:
     return q(c) if isinstance(c, str) else c
+
+
+#: Rows of a group that a window sees at a time.
+CHUNK_ROWS = 1 << 16
+
+
+def chunked(df: DataFrame, order: Column | str, by: list[str], halo: int, chunk_rows: int | None = None):
+    """(rows, window, own): ``df`` cut into runs of ``chunk_rows`` consecutive rows of a group for window functions.
+
+    Each run starts with the last ``halo`` rows of the run before, so a frame that
+    reaches back that far is whole; ``own`` keeps a row's result in its own run.
+    Rows carry ``__n`` (number in the group) and ``__total``.  Neither a large
+    group nor the whole table (no groups) is one task.
+    """
+    by = list(by)
+    size = max(chunk_rows or CHUNK_ROWS, halo, 1)
+    rows = row_numbers(df, [order], within=by, name="__n", total="__total")
+    at = F.floor(F.col("__n") / size).cast("long")
+    runs = F.when(F.col("__n") % size >= size - halo, F.array(at, at + 1)).otherwise(F.array(at)) if halo else F.array(at)
+    rows = rows.withColumn("__run", F.explode(runs))
+    return rows, Window.partitionBy(*[q(c) for c in by], "__run").orderBy("__n"), F.col("__run") == at

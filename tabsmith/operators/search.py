@@ -18,11 +18,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import linear
+from .ordering import chunked
 from .sums import gram
 
 # Fixed values from the reference configuration.
@@ -212,25 +213,23 @@ def generation_stats(df: DataFrame, score: str = "fitness", gen: str = "generati
     return s.join(d, gen).join(p, gen)
 
 
-def step_changes(df: DataFrame, value: str, order: str, by: Sequence[str] = ()) -> DataFrame:
+def step_changes(df: DataFrame, value: str, order: str, by: Sequence[str] = (), chunk_rows: int | None = None) -> DataFrame:
     """M5: value - previous value along ``order`` (NULL on the first row of a group)."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn("step", F.col(value) - F.lag(value).over(w))
+    rows, w, own = chunked(df, order, by, 1, chunk_rows)
+    return rows.withColumn("step", F.col(value) - F.lag(value).over(w)).where(own).select(*df.columns, "step")
 
 
-def convergence_metrics(df: DataFrame, value: str, order: str, by: Sequence[str] = ()) -> DataFrame:
+def convergence_metrics(df: DataFrame, value: str, order: str, by: Sequence[str] = (), chunk_rows: int | None = None) -> DataFrame:
     """Mean of the steps between the last ``max(1, n // 10)`` values (0 when there is no step), std (ddof 0)
     of the last ``max(1, n // 5)`` values, share of positive steps; zeros for groups of fewer than two rows."""
-    w = Window.partitionBy(*by).orderBy(order)
-    wall = Window.partitionBy(*by)
-    x = (df.withColumn("_step", F.col(value) - F.lag(value).over(w))
-         .withColumn("_rn", F.row_number().over(w))
-         .withColumn("_n", F.count(F.lit(1)).over(wall)))
-    tenth = F.greatest(F.floor(F.col("_n") / 10), F.lit(1))
-    fifth = F.greatest(F.floor(F.col("_n") / 5), F.lit(1))
+    rows, w, own = chunked(df, order, by, 1, chunk_rows)
+    x = rows.withColumn("_step", F.col(value) - F.lag(value).over(w)).where(own)
+    rn, n = F.col("__n") + 1, F.col("__total")
+    tenth = F.greatest(F.floor(n / 10), F.lit(1))
+    fifth = F.greatest(F.floor(n / 5), F.lit(1))
     # a step needs both of its values among the last ones
-    recent = F.avg(F.when(F.col("_rn") > F.col("_n") - tenth + 1, F.col("_step")))
-    spread = F.stddev_pop(F.when(F.col("_rn") > F.col("_n") - fifth, F.col(value)))
+    recent = F.avg(F.when(rn > n - tenth + 1, F.col("_step")))
+    spread = F.stddev_pop(F.when(rn > n - fifth, F.col(value)))
     share = F.try_divide(F.sum((F.col("_step") > 0).cast("double")), F.count("_step").cast("double"))
     few = F.count(F.lit(1)) < 2
     return x.groupBy(*by).agg(
@@ -241,16 +240,37 @@ def convergence_metrics(df: DataFrame, value: str, order: str, by: Sequence[str]
 
 
 def trailing_variance(df: DataFrame, value: str, order: str, window: int = STOP_WINDOW, by: Sequence[str] = (),
-                      threshold: float = STOP_VARIANCE) -> DataFrame:
+                      threshold: float = STOP_VARIANCE, chunk_rows: int | None = None) -> DataFrame:
     """Population variance of the last ``window`` values (NULL until full) and the stop flag."""
-    w = Window.partitionBy(*by).orderBy(order)
+    rows, w, own = chunked(df, order, by, window - 1, chunk_rows)
     frame = w.rowsBetween(-(window - 1), 0)
-    cnt = F.count(F.col(value)).over(frame)
-    var = F.when(cnt >= window, F.var_pop(F.col(value)).over(frame))
-    return df.withColumn("trailing_var", var).withColumn("converged", F.coalesce(var < threshold, F.lit(False)))
+    var = F.when(F.count(F.col(value)).over(frame) >= window, F.var_pop(F.col(value)).over(frame))
+    out = rows.withColumn("trailing_var", var).where(own).select(*df.columns, "trailing_var")
+    return out.withColumn("converged", F.coalesce(F.col("trailing_var") < threshold, F.lit(False)))
 
 
-def rolling_mean(df: DataFrame, value: str, order: str, window: int, by: Sequence[str] = ()) -> DataFrame:
+def rolling_mean(df: DataFrame, value: str, order: str, window: int, by: Sequence[str] = (), chunk_rows: int | None = None) -> DataFrame:
     """M4: mean of the last ``window`` values, NULL until the window is full."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-(window - 1), 0)
-    return df.withColumn("rolling_mean", F.when(F.count(F.col(value)).over(w) >= window, F.avg(value).over(w)))
+    rows, w, own = chunked(df, order, by, window - 1, chunk_rows)
+    w = w.rowsBetween(-(window - 1), 0)
+    mean = F.when(F.count(F.col(value)).over(w) >= window, F.avg(value).over(w))
+    return rows.withColumn("rolling_mean", mean).where(own).select(*df.columns, "rolling_mean")
+
+
+#: Largest window of a moving average, and the part of a series that it may take: fixed values.
+MOVING_MOST, MOVING_PART = 10, 4
+
+
+def moving_average(df: DataFrame, value: str, order: str, by: Sequence[str] = (), chunk_rows: int | None = None) -> DataFrame:
+    """M4 as charted: the window of a series of n rows is min(10, n // 4); a series whose window is 1 or less has no average.
+
+    NULL until the window is full and where one of its values is missing.
+    """
+    rows, w, own = chunked(df, order, by, MOVING_MOST - 1, chunk_rows)
+    size = F.least(F.lit(MOVING_MOST), F.floor(F.col("__total") / MOVING_PART)).cast("int")
+    seen = F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(w.rowsBetween(-(MOVING_MOST - 1), 0))
+    rows = rows.withColumn("window", size).withColumn("__seen", seen).where(own)
+    last = F.expr("slice(__seen, -`window`, `window`)")
+    mean = F.aggregate(last, F.lit(0.0), lambda a, x: a + x["v"]) / F.col("window")
+    full = (F.col("window") > 1) & (F.col("__n") + 1 >= F.col("window"))
+    return rows.withColumn("moving_average", F.when(full, mean)).select(*df.columns, "window", "moving_average")

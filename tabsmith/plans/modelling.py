@@ -432,3 +432,26 @@ def m4_rolling_mean(spark, sf_dir):
 def m5_step_change(spark, sf_dir):
     return rounded(search.step_changes(_events_ordered(spark, sf_dir), "value", "_o", by=["user_id"]).select("event_id", "step"))
 
+
+
+@register("m4_moving_average", sql_rounded("""SELECT event_id, w AS "window", CASE WHEN w > 1 AND rn >= w THEN list_sum(seen[len(seen) - w + 1:]) / w END AS moving_average FROM (
+    SELECT event_id, least(10, count(*) OVER (PARTITION BY user_id, event_type) // 4)::INTEGER AS w,
+      row_number() OVER o AS rn, list(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS seen
+    FROM events WINDOW o AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)) x""", ["moving_average"], ["event_id", "window"]))
+def m4_moving_average(spark, sf_dir):
+    out = search.moving_average(_events_ordered(spark, sf_dir), "value", "_o", by=["user_id", "event_type"])
+    return rounded(out.select("event_id", "window", "moving_average"))
+
+
+@register("m5_step_change_all", sql_rounded(f"SELECT event_id, value - lag(value) OVER (ORDER BY {EV_ORDER}) AS step FROM events", ["step"], ["event_id"]))
+def m5_step_change_all(spark, sf_dir):
+    """One series without groups: the whole table, in runs."""
+    return rounded(search.step_changes(_events_ordered(spark, sf_dir), "value", "_o").select("event_id", "step"))
+
+
+@register("j7_trailing_variance_all", sql_rounded(f"""SELECT event_id, CASE WHEN count(value) OVER w >= 20 THEN var_pop(value) OVER w END AS trailing_var,
+    coalesce(CASE WHEN count(value) OVER w >= 20 THEN var_pop(value) OVER w END < 1e-6, false) AS converged
+    FROM events WINDOW w AS (ORDER BY {EV_ORDER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", ["trailing_var"], ["event_id", "converged"]))
+def j7_trailing_variance_all(spark, sf_dir):
+    out = search.trailing_variance(_events_ordered(spark, sf_dir), "value", "_o", 20)
+    return rounded(out.select("event_id", "trailing_var", "converged"))

@@ -266,6 +266,37 @@ def m12_residual_truth_bins(spark, sf_dir):
     return chartdata.binned_pairs(scored.withColumn("residual", F.col("q") - F.col("prediction")), "q", "residual", 25)
 
 
+def _residuals(spark, sf_dir):
+    scored, _ = _scored(spark, sf_dir)
+    return scored.withColumn("residual", F.col("q") - F.col("prediction"))
+
+
+@register("l4_error_index", sql_rounded(
+    f"SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1)::BIGINT AS index, q - prediction AS residual FROM {_PRED} p", ["residual"], ["o_orderkey", "index"]))
+def l4_error_index(spark, sf_dir):
+    return rounded(chartdata.row_index(_residuals(spark, sf_dir), "o_orderkey").select("o_orderkey", "index", "residual"))
+
+
+_INDEX_BINS = f"""WITH p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, q - prediction AS residual FROM {_PRED} z),
+  r AS (SELECT min(i) AS x0, (max(i) - min(i)) / 50.0 AS wx, min(residual) AS y0, (max(residual) - min(residual)) / 25 AS wy FROM p)
+  SELECT least(floor((i - x0) / wx), 49)::INTEGER AS bx, least(floor((residual - y0) / wy), 24)::INTEGER AS "by", count(*)::BIGINT AS count FROM p, r GROUP BY ALL"""
+
+
+@register("m12_residual_index_bins", _INDEX_BINS)
+def m12_residual_index_bins(spark, sf_dir):
+    """Residual against the row index: the index of every row, and 2-D counts in place of one point per row."""
+    return chartdata.binned_xy(chartdata.row_index(_residuals(spark, sf_dir), "o_orderkey"), "index", "residual", 50, 25)
+
+
+@register("m12_residual_histogram", sql_rounded(
+    f"""WITH e AS MATERIALIZED (SELECT q - prediction AS residual FROM {_PRED} p) SELECT 'residual' AS "column", bin, lo + bin * (hi - lo) / 20 AS bin_start,
+      lo + (bin + 1) * (hi - lo) / 20 AS bin_end, count(*)::BIGINT AS count FROM (
+      SELECT CASE WHEN hi > lo THEN least(floor((residual - lo) / ((hi - lo) / 20)), 19) ELSE 0 END::INTEGER AS bin, lo, hi
+      FROM e, (SELECT min(residual) AS lo, max(residual) AS hi FROM e) r) b GROUP BY bin, lo, hi""", ["bin_start", "bin_end"], ["column", "bin", "count"]))
+def m12_residual_histogram(spark, sf_dir):
+    return rounded(chartdata.histogram(_residuals(spark, sf_dir), ["residual"], 20))
+
+
 @register("m13_error_histogram")
 def m13_error_histogram(spark, sf_dir):
     scored, _ = _scored(spark, sf_dir)
