@@ -70,6 +70,8 @@ class Codec:
         pattern = split["pattern"]["Regex"]
         self.whole_pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.ascii_pattern = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r" \t\n\r\f\v"))
+        #: pieces of many lower-case texts at once, with a line end behind each text
+        self.line_pattern = re.compile(self.ascii_pattern.pattern + r"|\n")
         self.suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = model["vocab"]
@@ -79,8 +81,13 @@ class Codec:
         self.inner = [vocab.get(s) for s in symbols]
         self.outer = [vocab.get(s + self.suffix) for s in symbols]
         # left id and right id -> rank and id of both, each pair as one number
+        self.whole = all(i is not None for i in self.inner + self.outer)
+        self.inner_ids, self.outer_ids = (np.array([-1 if i is None else i for i in ids], np.int64) for ids in (self.inner, self.outer))
         self.merges = {vocab[a] << _BITS | vocab[b]: rank << _BITS | vocab[a + b] for rank, (a, b) in enumerate(model["merges"])}
 
+        self.pair_keys = np.array(sorted(self.merges), np.int64)
+        self.pair_values = np.array([self.merges[k] for k in self.pair_keys.tolist()], np.int64)
+
     @classmethod
     def read(cls, path: str) -> Codec:
         with open(path, encoding="utf-8") as f:
@@ -109,6 +116,52 @@ class Codec:
         ids = [i for i in ids if i is not None]
         return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
 
+    def merge_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """``merge`` of many pieces: short ones of similar lengths side by side, in every step the best pair of each."""
+        out: list = [None] * len(pieces)
+        by: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            if len(p) > SHORT or not self.whole:
+                out[i] = self.merge(p)
+            else:
+                by.setdefault(-(-len(p) // 4) * 4, []).append(i)
+        for width, rows in by.items():
+            self._merge_block([pieces[i] for i in rows], rows, width, out)
+        return out
+
+    def _merge_block(self, pieces: list[bytes], names: list[int], width: int, out: list) -> None:
+        size = np.array([len(p) for p in pieces], np.int64)
+        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
+        col = np.arange(width)
+        ids = np.where(col < size[:, None] - 1, self.inner_ids[raw], np.where(col == size[:, None] - 1, self.outer_ids[raw], -1))
+        names = np.array(names)
+
+        def rank(a, b):
+            key = a << _BITS | b
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            return np.where((a >= 0) & (b >= 0) & (self.pair_keys[at] == key), self.pair_values[at], _NEVER)
+
+        ranks = np.concatenate([rank(ids[:, :-1], ids[:, 1:]), np.full((len(ids), 1), _NEVER)], axis=1)
+        while len(ids):
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(ids)), at]
+            done = best == _NEVER
+            if done.any():
+                for i, row in zip(names[done].tolist(), ids[done].tolist()):
+                    out[i] = tuple(x for x in row if x >= 0)
+                ids, ranks, at, best, names = ids[~done], ranks[~done], at[~done], best[~done], names[~done]
+            row = np.arange(len(ids))
+            if not len(ids):
+                return
+            source = np.minimum(col + (col > at[:, None]), width - 1)
+            ids, ranks = ids[row[:, None], source], ranks[row[:, None], source]
+            ids[:, -1], ranks[:, -1] = -1, _NEVER  # a merge leaves a place free
+            ids[row, at] = best & _ID
+            after = np.where(at + 1 < width, ids[row, np.minimum(at + 1, width - 1)], -1)
+            ranks[row, at] = rank(ids[row, at], after)
+            left = np.maximum(at - 1, 0)
+            ranks[row, left] = np.where(at > 0, rank(ids[row, left], ids[row, at]), ranks[row, left])
+
     def _merge_short(self, ids: list[int]) -> tuple[int, ...]:
         get = self.merges.get
         found = [get(a << _BITS | b, _NEVER) for a, b in pairwise(ids)]
@@ -157,8 +210,9 @@ class Recent(dict):
 
     def __missing__(self, key):
         value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+        return self.put(key, self.make(key) if value is None else value)
+
+    def put(self, key, value):
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -182,9 +236,38 @@ class Encoder:
 
     def _written(self, chunk: bytes) -> tuple[int, bytes, bytes]:
         """Number of ids, the decimal ids and their names, with one space between them."""
-        ids = self._chunk(chunk)
+        return self._spelled(self._chunk(chunk))
+
+    def _spelled(self, ids) -> tuple[int, bytes, bytes]:
         return len(ids), " ".join(map(str, ids)).encode(), b" ".join(map(self.codec.names.__getitem__, ids))
 
+    def _known(self, chunks: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        """``_written`` of different chunks; the new ones' pieces are looked up and merged together."""
+        memo, old, seen = self.written, self.written.old, self.seen
+        new = [c for c in chunks if c not in memo and c not in old and b"<|" not in c]
+        plain = [c for c in new if c.isascii()]
+        pieces = self.codec.line_pattern.findall(b"".join(c + b"\n" for c in plain).decode().lower())
+        others = [self.codec.pieces(c.decode()) for c in new if not c.isascii()]
+        fresh = [p for p in set(chain(pieces, *others)) if p != "\n" and p not in seen and p not in seen.old]
+        ids_of = dict(zip(fresh, self.lexicon.find_all([p.encode() for p in fresh])))
+        lacking = [p for p in fresh if ids_of[p] is None]
+        ids_of |= zip(lacking, self.codec.merge_all([p.encode() for p in lacking]))
+        found, ids, at = {}, [], iter(plain)
+        for piece in pieces:
+            if piece == "\n":
+                found[next(at)] = self._spelled(ids)
+                ids = []
+            else:
+                ids += ids_of[piece] if piece in ids_of else seen[piece]
+        for c, parts in zip((c for c in new if not c.isascii()), others):
+            found[c] = self._spelled([i for p in parts for i in (ids_of[p] if p in ids_of else seen[p])])
+        out = [found[c] if c in found else memo[c] for c in chunks]
+        for c, value in found.items():
+            memo.put(c, value)
+        for p, value in ids_of.items():
+            seen.put(p, value)
+        return out
+
     def _chunk(self, raw: bytes) -> tuple[int, ...]:
         codec = self.codec
         if b"<|" not in raw:
@@ -203,7 +286,7 @@ class Encoder:
         """Number of ids, decimal ids and names of the tokens of each text; every different chunk is looked up once."""
         flat, bounds = words_of(texts)
         coded = flat.dictionary_encode()
-        found = [self.written[c] for c in coded.dictionary.cast(pa.binary()).to_pylist()]
+        found = self._known(coded.dictionary.cast(pa.binary()).to_pylist())
         n, listed, decoded = zip(*found) if found else ((), (), ())
         n, at = np.array(n, np.int64), np.asarray(coded.indices)
         total = np.concatenate(([0], np.cumsum(n[at])))[bounds]
@@ -218,7 +301,16 @@ class Encoder:
 def _count(codec: Codec):
     def rows(counts: Counter) -> pa.RecordBatch:
         pieces: Counter = Counter()
-        for chunk, n in counts.items():
+        plain = [c for c in counts if c.isascii() and b"<|" not in c]
+        at = iter(plain)
+        n = counts[next(at)] if plain else 0
+        for p in codec.line_pattern.findall(b"".join(c + b"\n" for c in plain).decode().lower()):
+            if p == "\n":
+                n = counts[next(at, None)]
+            else:
+                pieces[p] += n
+        for chunk in counts.keys() - set(plain):
+            n = counts[chunk]
             for part in codec.sections(chunk.decode()):
                 if part not in codec.special:
                     for p in codec.pieces(part):
@@ -269,12 +361,15 @@ def _encode(codec: Codec, lexicon: bytes):
 def _write(codec: Codec, lexicon: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(codec, lexicon)
-        gc.freeze()
-        for batch in batches:
-            texts = batch.column("text")
-            _, offs = text_buffers(texts)
-            for i, j in slices(offs):
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), *encoder.write(texts.slice(i, j - i))], names=["row", "n", "listed", "decoded"])
+        gc.disable()  # nothing here is cyclic
+        try:
+            for batch in batches:
+                texts = batch.column("text")
+                _, offs = text_buffers(texts)
+                for i, j in slices(offs):
+                    yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), *encoder.write(texts.slice(i, j - i))], names=["row", "n", "listed", "decoded"])
+        finally:
+            gc.enable()
 
     return run
 

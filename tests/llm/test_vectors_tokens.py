@@ -91,6 +91,13 @@ def test_bpe_on_odd_texts(library):
         assert (k, a, b) == (len(want), " ".join(map(str, want)), library.decode(want, skip_special_tokens=False))
 
 
+def test_merges_side_by_side():
+    codec = bpe.Codec.read(bpe.tokenizer_path())
+    rnd = random.Random(3)
+    pieces = ["".join(rnd.choice("etaoinshrdlu'é日9") for _ in range(rnd.randint(1, 60))).encode() for _ in range(3000)] + [b"a" * n for n in range(1, 60)]
+    assert codec.merge_all(pieces) == [codec.merge(p) for p in pieces] and codec.merge_all([]) == []
+
+
 def test_decode_of_stored_ids(spark, library):
     codec = bpe.Codec.read(bpe.tokenizer_path())
     rows = [(1, "The café's 3 cats", "", "", 0), (2, None, "", "", 0), (3, "", "", "", 0), (4, "a " * 3000, "", "", 0)]
@@ -111,6 +118,8 @@ def test_automaton():
     assert len(lexicon) == len(words) and all(lexicon.find(w) == ids for w, ids in words.items())
     assert all(lexicon.find(w + b"x") is None for w in words) and (b"" in words) == (lexicon.find(b"") is not None)
     assert Lexicon(compile_words({})).find(b"a") is None
+    some = [*words, *(w + b"x" for w in words), b"", b"zzz"]
+    assert lexicon.find_all(some) == [lexicon.find(w) for w in some] and Lexicon(compile_words({})).find_all([b"a", b""]) == [None, None] and lexicon.find_all([]) == []
     shared = Lexicon(compile_words({a + b"ending": (1,) for a in (b"x", b"y", b"z")}))
     assert len(shared.final) == 8  # the ending's states are shared
 
