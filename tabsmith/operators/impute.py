@@ -122,18 +122,19 @@ def choose_strategy(df: DataFrame, feature: str, threshold: float = 0.5) -> str:
     return "mean"
 
 
-def multi_regression_fill(df: DataFrame, target: str, n_predictors: int = 3, min_rows: int = 5) -> tuple[DataFrame, dict]:
-    """F8: fill from the ``n_predictors`` most correlated numeric columns.
+def multi_regression(df: DataFrame, target: str, n_predictors: int = 3, min_rows: int = 5) -> tuple[float, dict[str, float]]:
+    """F8: intercept and coefficients of the most correlated numeric columns.
 
-    Least squares on complete rows from the Gram matrix (one distributed
-    pass, a (p+2)^2 matrix back); fails if predictors are missing where the
-    target is missing, or with fewer than ``min_rows`` complete rows.
+    A column that is missing on every row where the target is missing could never
+    fill a gap, so it is no predictor.
     """
     others = [c for c in numeric_columns(df) if c != target]
     if not others:
         raise ValueError("no predictor columns")
-    r = df.agg(*[F.abs(safe_corr(clean(target), clean(c))).alias(f"r{i}") for i, c in enumerate(others)]).first()
-    ranked = sorted(((r[f"r{i}"], i) for i in range(len(others)) if r[f"r{i}"] is not None), key=lambda t: (-t[0], t[1]))
+    gap = clean(target).isNull()
+    r = df.agg(*[F.abs(safe_corr(clean(target), clean(c))).alias(f"r{i}") for i, c in enumerate(others)], F.count(F.when(gap, 1)).alias("gaps"),
+               *[F.count(F.when(gap & clean(c).isNotNull(), 1)).alias(f"n{i}") for i, c in enumerate(others)]).first()
+    ranked = sorted(((r[f"r{i}"], i) for i in range(len(others)) if r[f"r{i}"] is not None and (r[f"n{i}"] or not r["gaps"])), key=lambda t: (-t[0], t[1]))
     preds = [others[i] for _, i in ranked[:n_predictors]]
     if not preds:
         raise ValueError("no correlated predictor")
@@ -142,12 +143,25 @@ def multi_regression_fill(df: DataFrame, target: str, n_predictors: int = 3, min
     if m is None or m[0, 0] < min_rows:
         raise ValueError("not enough complete rows")
     beta, intercept = _solve(m, centre, len(preds))
-    bad = df.filter(clean(target).isNull() & F.greatest(*[clean(p).isNull() for p in preds])).limit(1).count()
+    return intercept, {p: float(b) for p, b in zip(preds, beta)}
+
+
+def multi_regression_fill(df: DataFrame, target: str, n_predictors: int = 3, min_rows: int = 5) -> tuple[DataFrame, dict]:
+    """F8: fill from the ``n_predictors`` most correlated numeric columns.
+
+    Least squares on complete rows from the Gram matrix (one distributed
+    pass, a (p+2)^2 matrix back); fails if predictors are missing where the
+    target is missing, or with fewer than ``min_rows`` complete rows.
+    """
+    intercept, coef = multi_regression(df, target, n_predictors, min_rows)
+    preds, beta = list(coef), list(coef.values())
+    lacks = F.greatest(*[clean(p).isNull() for p in preds]) if len(preds) > 1 else clean(preds[0]).isNull()
+    bad = df.filter(clean(target).isNull() & lacks).limit(1).count()
     if bad:
         raise ValueError("predictors missing where the target is missing")
     pred = F.lit(intercept) + sum((F.lit(b) * clean(p) for b, p in zip(beta, preds)), F.lit(0.0))
     out = df.withColumn(target, F.coalesce(clean(target), pred))
-    return out, {"predictors": preds, "coef": list(beta), "intercept": intercept, "n_fit": float(m[0, 0])}
+    return out, {"predictors": preds, "coef": beta, "intercept": intercept}
 
 
 def _solve(m: np.ndarray, centre: Sequence[float], p: int, ridge: float = 0.0) -> tuple[np.ndarray, float]:

@@ -473,3 +473,68 @@ def f7_apply_strategy(spark, sf_dir):
         out, used = impute.apply_strategy(of, c, strat, key="o_orderkey")
         rows.append((c, strat, used, out.filter(F.col(c).isNull()).count()))
     return spark.createDataFrame(rows, "feature string, chosen string, applied string, missing_after long")
+
+
+# ---------------------------------------------------------------- fills fitted on train, applied to test
+def _gap_sql(c: str) -> str:
+    return f"""(SELECT s.* REPLACE (CASE WHEN {split.split_sql('o_orderkey', 42, 'gap')} % 5 = 0 THEN NULL ELSE {c}::DOUBLE END AS {c}) FROM {SOF} s WHERE n IS NOT NULL)"""
+
+
+def _with_gaps(spark, sf_dir, c: str):
+    """The split orders that have lines, with every fifth value of one column taken out by the key's hash."""
+    of = split.train_test_split(tb.order_features(spark, sf_dir), "o_orderkey").where("n IS NOT NULL")
+    return of.withColumn(c, F.when(split.keyed_hash("o_orderkey", 42, "gap") % 5 != 0, F.col(c).cast("double")))
+
+
+def _saved_and_loaded(model):
+    """The model after a round trip through the shared folder."""
+    import uuid
+
+    from pyspark.sql import SparkSession
+
+    from ..operators.fill_models import GapFillerModel
+    from ..session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(SparkSession.active()).rstrip('/')}/models/fill-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return GapFillerModel.load(path)
+
+
+def _fill_test(spark, sf_dir, **kw):
+    from ..operators.fill_models import GapFiller
+
+    of = _with_gaps(spark, sf_dir, "q")
+    model = _saved_and_loaded(GapFiller(inputCols=["q"], keyCol="o_orderkey", **kw).fit(of.where("split = 'train'")))
+    test = of.where("split = 'test'")
+    return rounded(model.transform(test.select("o_orderkey", "q", "p", "n")).select("o_orderkey", "q"))
+
+
+@register("f1_fill_model", sql_rounded(
+    f"""SELECT o_orderkey, coalesce(q, a + b * n) AS q FROM {_gap_sql('q')} s, (SELECT regr_intercept(q, n) AS a, regr_slope(q, n) AS b FROM {_gap_sql('q')} t WHERE split = 'train') m
+      WHERE split = 'test'""", ["q"], ["o_orderkey"]))
+def f1_fill_model(spark, sf_dir):
+    """Regression of the training orders, saved, loaded and applied to the test orders."""
+    return _fill_test(spark, sf_dir, strategy="regression", predictor="n")
+
+
+@register("f3_fill_model", sql_rounded(
+    f"SELECT o_orderkey, coalesce(q, (SELECT avg(q) FROM {_gap_sql('q')} t WHERE split = 'train')) AS q FROM {_gap_sql('q')} s WHERE split = 'test'", ["q"], ["o_orderkey"]))
+def f3_fill_model(spark, sf_dir):
+    return _fill_test(spark, sf_dir, strategy="mean")
+
+
+@register("f9_fill_model")
+def f9_fill_model(spark, sf_dir):
+    """Neighbours among the training orders over quantity, price and lines."""
+    return _fill_test(spark, sf_dir, strategy="knn", referenceCols=["p", "n"], k=5)
+
+
+@register("f8_multi_regression")
+def f8_multi_regression(spark, sf_dir):
+    """Three predictors that are present where the target is missing."""
+    from ..operators import impute
+
+    of = _with_gaps(spark, sf_dir, "q").drop("split", "o_orderkey", "t", "d")
+    out, report = impute.multi_regression_fill(of, "q")
+    terms = [("intercept", report["intercept"]), *zip(report["predictors"], report["coef"]), ("missing_after", float(out.where("q IS NULL").count()))]
+    return spark.createDataFrame([(t, float(v)) for t, v in terms], "term string, value double")
