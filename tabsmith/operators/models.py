@@ -25,7 +25,7 @@ from ..functions.columns import clean, q
 from ..functions.stats import r2_expr
 from . import linear
 from .ordering import row_numbers
-from .sums import gram
+from .sums import gram, gram_runs
 
 
 @dataclass
@@ -176,18 +176,14 @@ def top_importances(importance: DataFrame, n: int = 5) -> DataFrame:
 
 
 def stability(df: DataFrame, key: str, features: Sequence[str], target: str, spec: linear.LinearSpec, runs: int = 10, k: int = 5, seed: int = 42) -> dict:
-    """Fold R2 over ``runs`` reshuffled k-fold splits from one Gram pass grouped by (run, fold)."""
-    from .split import kfold
+    """Fold R2 over ``runs`` reshuffled k-fold splits: one search for the cuts of all runs, one Gram pass by (run, fold)."""
+    from .split import kfold_runs
 
-    tagged = None
-    for r in range(runs):
-        part = kfold(df, key, k, seed + r, name="_f").withColumn("_g", F.lit(r * k) + F.col("_f"))
-        tagged = part if tagged is None else tagged.unionByName(part)
-    g, _ = gram(tagged, list(features) + [target], group="_g")
+    tagged = kfold_runs(df, key, k, [seed + r for r in range(runs)], "_folds")
+    g, _ = gram_runs(tagged, list(features) + [target], "_folds")
     scores = []
     for r in range(runs):
-        folds = {f: g[r * k + f] for f in range(k) if (r * k + f) in g}
-        scores += linear.cv_scores(folds, list(range(1, len(features) + 1)), spec)
+        scores += linear.cv_scores({f: m for (run, f), m in g.items() if run == r}, list(range(1, len(features) + 1)), spec)
     a = np.asarray(scores)
     m = float(a.mean())
     return {"mean": m, "std": float(a.std()), "min": float(a.min()), "max": float(a.max()), "cv": float(a.std() / abs(m)) if m else float("inf"), "scores": scores}

@@ -138,5 +138,62 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, name: str = "fold
     return df.withColumn("_h", keyed_hash(key, seed, purpose)).withColumn(name, fold.cast("int")).drop("_h")
 
 
+def kfold_runs(df: DataFrame, key: str, k: int, seeds: Sequence[int], name: str = "folds", purpose: str = "fold") -> DataFrame:
+    """I2 for many seeds at once: an array column with the fold that ``kfold`` gives for each seed.
+
+    One histogram job per level serves all seeds: rows are counted by (seed, hash
+    bucket), and only the buckets that hold a cut are counted finer.  What comes back
+    is at most 4096 counts a seed and level.  The column itself is a narrow
+    comparison with the cuts.
+    """
+    seeds = list(seeds)
+    hashes = F.array(*[keyed_hash(key, s, purpose).alias("h") for s in seeds])
+    d = df.select(hashes.alias("_hs"), q(key).alias("_key")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes = fold_sizes(d.count(), k)
+        ends = [sum(sizes[: f + 1]) - 1 for f in range(k - 1) if sizes[f] > 0]
+        cuts = _cuts_of_runs(d, len(seeds), ends)
+    finally:
+        d.unpersist()
+    folds = []
+    for run, seed in enumerate(seeds):
+        h = keyed_hash(key, seed, purpose)
+        past = [F.when((h < F.lit(c[0])) | ((h == F.lit(c[0])) & (q(key) <= F.lit(c[1]))), 0).otherwise(1) for c in cuts[run]]
+        folds.append(sum(past, F.lit(0)).cast("int") if past else F.lit(k - 1))
+    return df.withColumn(name, F.array(*folds))
+
+
+def _cuts_of_runs(d: DataFrame, runs: int, ranks: Sequence[int]) -> list[list[tuple[int, object]]]:
+    """For each run the (hash, key) of the rows at the 0-based ranks of its hash order."""
+    if not ranks:
+        return [[] for _ in range(runs)]
+    spark = d.sparkSession
+    long = d.select(F.posexplode("_hs").alias("run", "h"), "_key")
+    at = {(run, r): (0, 0) for run in range(runs) for r in ranks}  # bucket and the rows before it
+    above = 32
+    for shift, _ in LEVELS:
+        inside = long
+        if above < 32:
+            held = spark.createDataFrame(sorted({(run, b) for (run, _), (b, _) in at.items()}), "run int, up long")
+            inside = long.withColumn("up", F.shiftright("h", above)).join(F.broadcast(held), ["run", "up"], "left_semi")
+        counts: dict[tuple[int, int], list] = {}
+        for row in inside.groupBy("run", F.shiftright("h", shift).alias("b")).count().collect():
+            counts.setdefault((row["run"], row["b"] >> (above - shift)), []).append((row["b"], row["count"]))
+        for (run, r), (b, seen) in at.items():
+            for finer, n in sorted(counts[(run, b)]):
+                if seen + n > r:
+                    at[(run, r)] = (finer, seen)
+                    break
+                seen += n
+        above = shift
+    # rows of one hash value are ranked by key
+    held = spark.createDataFrame(sorted({(run, b) for (run, _), (b, _) in at.items()}), "run int, h long")
+    wanted = spark.createDataFrame([(run, b, r - seen + 1, r) for (run, r), (b, seen) in at.items()], "run int, h long, place int, rank long")
+    w = Window.partitionBy("run", "h").orderBy("_key")
+    placed = long.join(F.broadcast(held), ["run", "h"], "left_semi").withColumn("place", F.row_number().over(w))
+    found = {(r["run"], r["rank"]): (r["h"], r["_key"]) for r in placed.join(F.broadcast(wanted), ["run", "h", "place"]).collect()}
+    return [[found[(run, r)] for r in ranks] for run in range(runs)]
+
+
 def split_sql(key: str, seed: int, purpose: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', '{seed}', '{purpose}', CAST({key} AS VARCHAR))), 1, 8))::BIGINT"

@@ -72,6 +72,44 @@ def gram(
     return out, list(centre)
 
 
+def gram_runs(df: DataFrame, cols: Sequence[str], tags: str, centre: Sequence[float] | None = None) -> tuple[dict, list[float]]:
+    """K1 for several groupings at once: ``tags`` is an array column with the row's group in each of them.
+
+    Returns ``({(grouping, group): Z'Z}, centre)`` as ``gram`` does, from one scan: a
+    row is read once and added to one matrix of each grouping.
+    """
+    cols = list(cols)
+    k = len(cols) + 1
+    if centre is None:
+        centre = _centres(df, cols)
+    names = [f"c{i}" for i in range(len(cols))]
+    src = df.select(F.col(tags).cast("array<bigint>").alias("g"), *[clean(c).alias(n) for c, n in zip(cols, names)]).dropna()
+    shift = np.asarray(centre, dtype=np.float64)
+
+    def part(batches):
+        import pandas as pd
+
+        acc: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = pdf[names].to_numpy(dtype=np.float64) - shift
+            z = np.hstack([np.ones((x.shape[0], 1)), x])
+            for run, groups in enumerate(np.stack(pdf["g"].to_numpy()).T):
+                for g in np.unique(groups):
+                    own = z[groups == g]
+                    m = own.T @ own
+                    acc[run, g] = acc[run, g] + m if (run, g) in acc else m
+        if acc:
+            yield pd.DataFrame([(run, int(g), i, m[i].tolist()) for (run, g), m in acc.items() for i in range(k)], columns=["run", "g", "i", "v"])
+
+    summed = src.mapInPandas(part, "run int, g long, i int, v array<double>").groupBy("run", "g", "i").agg(F.array(*[F.sum(F.col("v")[j]) for j in range(k)]).alias("v"))
+    out: dict = {}
+    for r in summed.collect():
+        out.setdefault((r["run"], r["g"]), np.zeros((k, k)))[r["i"]] = np.asarray(r["v"], dtype=np.float64)
+    return out, list(centre)
+
+
 def pair_sums(df: DataFrame, cols: Sequence[str], centre: Sequence[float] | None = None) -> DataFrame:
     """Pairwise-complete sums for every column pair (i, j), i < j.
 
