@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["profiling", "preparation", "modelling", "scoring", "flagship"]
+_MODULES = ["profiling", "preparation", "modelling", "scoring", "storage", "flagship"]
 
 
 def load_all() -> None:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import augment as aug
 from ..operators import linear, models, search, split, suite
 from ..operators.knn import knn_average
 from ..operators.ordering import written
+from ..operators.tree_search import TreeScorer
 from ..sources import tables as tb
 from .catalog import register, rounded, sql_rounded
 
@@ -44,6 +46,27 @@ def _fold_case(k: int = 5) -> str:
     return f"(CASE {whens} ELSE {k - 1} END)::INTEGER"
 
 
+def folds_sql(seed: int = 42, src: str = PLANTED) -> str:
+    """planted with the 5 folds of a seed."""
+    return f"""(SELECT t.* EXCLUDE (rn_, rows_), {_fold_case()} AS fold FROM (
+      SELECT p.*, row_number() OVER (ORDER BY {split.split_sql('vec_id', seed, 'fold')}, vec_id) AS rn_, count(*) OVER () AS rows_ FROM {src} p) t)"""
+
+
+def least_squares_sql(train: str, xs: list[str], y: str, by: str, alpha: float = 0.0) -> str:
+    """``by``, b, w0, w1, w2: least squares on three columns (``alpha``: ridge) of each group by Cramer's rule."""
+    n = len(xs)
+    a = {(i, j): f"covar_pop({xs[i]}, {xs[j]}) * regr_count({xs[i]}, {y})" + (f" + {alpha}" if i == j and alpha else "") for i in range(n) for j in range(i, n)}
+    cov = ", ".join([f"{v} AS a{i}{j}" for (i, j), v in a.items()] + [f"covar_pop({x}, {y}) * count(*) AS v{i}, avg({x}) AS m{i}" for i, x in enumerate(xs)])
+
+    def det(m):
+        return " + ".join(f"{m[0][i]} * ({m[1][(i + 1) % 3]} * {m[2][(i + 2) % 3]} - {m[1][(i + 2) % 3]} * {m[2][(i + 1) % 3]})" for i in range(3))
+
+    whole = [[f"a{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    w = [f"({det([[f'v{i}' if j == c else whole[i][j] for j in range(3)] for i in range(3)])}) / ({det(whole)})" for c in range(3)]
+    return f"""SELECT {by}, my - w0 * m0 - w1 * m1 - w2 * m2 AS b, w0, w1, w2 FROM (
+      SELECT *, {', '.join(f'{e} AS w{c}' for c, e in enumerate(w))} FROM (SELECT {by}, avg({y}) AS my, {cov} FROM {train} GROUP BY {by}) s) z"""
+
+
 PF = f"""(SELECT t.* EXCLUDE (rn_, rows_), {_fold_case()} AS fold FROM (
   SELECT p.*, row_number() OVER (ORDER BY {split.split_sql('vec_id', 42, 'fold')}, vec_id) AS rn_, count(*) OVER () AS rows_
   FROM {PLANTED} p) t)"""
@@ -217,11 +240,22 @@ def e5_correlation_change(spark, sf_dir):
     return rounded(correlate.correlation_change(correlate.correlation_long(p, E5_FEATS), correlate.correlation_long(a, E5_FEATS)))
 
 
-@register("b11_augmentation_check")
+def _b11_sql() -> str:
+    parts = []
+    for c in [*FEATS, "y"]:
+        mean, std = (5, 15) if c == "y" else (10, 20)
+        parts.append(f"""SELECT '{c}' AS "column", abs(a.m_{c} - o.m_{c}) / abs(o.m_{c}) * 100 AS mean_shift_pct, abs(a.s_{c} - o.s_{c}) / abs(o.s_{c}) * 100 AS std_shift_pct,
+            abs(a.m_{c} - o.m_{c}) / abs(o.m_{c}) * 100 < {mean} AND abs(a.s_{c} - o.s_{c}) / abs(o.s_{c}) * 100 < {std} AS ok FROM a, o""")
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in [*FEATS, "y"])
+    body = f"WITH a AS (SELECT {stats} FROM ({_aug_sql(FEATS, src=PLANTED_POSITIVE)}) x), o AS (SELECT {stats} FROM {PLANTED_POSITIVE} p) {_union(parts)}"
+    return sql_rounded(body, ["mean_shift_pct", "std_shift_pct"], ["column", "ok"], 4)
+
+
+@register("b11_augmentation_check", _b11_sql())
 def b11_augmentation_check(spark, sf_dir):
-    p = tb.planted(spark, sf_dir)
-    a = aug.augment(p, "vec_id", TRIO, "y", factor=3, seed=42)
-    return aug.augmentation_check(p, a, TRIO, "y")
+    p = tb.planted(spark, sf_dir, shift=SHIFT)
+    a = aug.augment(p, "vec_id", FEATS, "y", factor=3, seed=42)
+    return rounded(aug.augmentation_check(p, a, FEATS, "y"), 4)
 
 
 # ---------------------------------------------------------------- J1 and the model suite (no SQL: iterative / tree learners)
@@ -233,6 +267,23 @@ def j1_genetic_search(spark, sf_dir):
     return spark.createDataFrame(rows, "feature_index int, feature_name string, rank int, best_fitness double")
 
 
+@register("j1_genetic_search_trees")
+def j1_genetic_search_trees(spark, sf_dir):
+    """The search with boosted trees as its model; every column is a candidate."""
+    scorer = TreeScorer(planted_folds(spark, sf_dir), FEATS, "y")
+    sel = search.GeneticSelector(k=3, seed=42).search(scorer, len(FEATS))
+    rows = [(int(i), FEATS[i], r + 1, float(sel.best_fitness_)) for r, i in enumerate(sel.selected_)]
+    return spark.createDataFrame(rows, "feature_index int, feature_name string, rank int, best_fitness double")
+
+
+@register("j2_fitness_trees")
+def j2_fitness_trees(spark, sf_dir):
+    """Tree fitness of every single column and of all columns together."""
+    members = np.concatenate([np.eye(len(FEATS), dtype=bool), np.ones((1, len(FEATS)), dtype=bool)])
+    got = TreeScorer(planted_folds(spark, sf_dir), FEATS, "y")(members)
+    return rounded(spark.createDataFrame(list(zip([*FEATS, "all"], got)), "model string, fitness double"))
+
+
 @register("j8_generation_stats")
 def j8_generation_stats(spark, sf_dir):
     g = search.fold_grams(planted_folds(spark, sf_dir), FEATS, "y")
@@ -261,10 +312,19 @@ def k18_top_importances(spark, sf_dir):
     return models.top_importances(models.feature_importance(tb.planted(spark, sf_dir), FEATS, "y", num_trees=100), 5)
 
 
-@register("j9_stability")
+def _j9_sql(runs: int = 10) -> str:
+    tagged = " UNION ALL ".join(f"SELECT {r} * 5 + fold AS g, {r} AS run, fold, y, {', '.join(TRIO)} FROM {folds_sql(42 + r)} f{r}" for r in range(runs))
+    fits = least_squares_sql("(SELECT h.g, t.* EXCLUDE (g) FROM (SELECT DISTINCT g, run, fold FROM t) h JOIN t ON t.run = h.run AND t.fold <> h.fold)", TRIO, "y", "g")
+    r2 = f"""SELECT t.g, 1 - sum((y - b - {' - '.join(f'w{i} * {c}' for i, c in enumerate(TRIO))}) ** 2) / (var_pop(y) * count(*)) AS r2
+        FROM t JOIN ({fits}) c ON c.g = t.g GROUP BY t.g"""
+    return sql_rounded(f"""WITH t AS MATERIALIZED ({tagged}) SELECT avg(r2) AS mean, stddev_pop(r2) AS std, min(r2) AS min, max(r2) AS max,
+        stddev_pop(r2) / abs(avg(r2)) AS cv FROM ({r2}) s""", ["mean", "std", "min", "max", "cv"], [], 9)
+
+
+@register("j9_stability", _j9_sql())
 def j9_stability(spark, sf_dir):
     s = models.stability(tb.planted(spark, sf_dir), "vec_id", chosen(spark, sf_dir), "y", linear.LINEAR_SUITE[0], runs=10)
-    return spark.createDataFrame([(s["mean"], s["std"], s["min"], s["max"], s["cv"])], "mean double, std double, min double, max double, cv double")
+    return rounded(spark.createDataFrame([(s["mean"], s["std"], s["min"], s["max"], s["cv"])], "mean double, std double, min double, max double, cv double"), 9)
 
 
 def _scores(spark, sf_dir, name: str, specs, selected: bool, augment_factor: int = 0):
@@ -301,6 +361,26 @@ def k2_linear_grid(spark, sf_dir):
     return rounded(suite.summarise(_scores(spark, sf_dir, "linear grid", models.LINEAR_GRID, True)))
 
 
+_LEAST_SQUARES = {s.name: s.linear.alpha for s in models.LINEAR_GRID if s.linear.method in ("ols", "ridge")}
+_MEASURES = ["mean_r2", "std_r2", "min_r2", "max_r2", "mean_mae", "std_mae", "mean_rmse", "std_rmse"]
+
+
+def _k2_sql() -> str:
+    train = "(SELECT h.fold AS g, t.* FROM (SELECT DISTINCT fold FROM t) h JOIN t ON t.fold <> h.fold)"
+    off = f"y - b - {' - '.join(f'w{i} * {c}' for i, c in enumerate(TRIO))}"
+    per = _union([f"""SELECT '{name}' AS model, fold, 1 - sum(({off}) ** 2) / (var_pop(y) * count(*)) AS r2, avg(abs({off})) AS mae, sqrt(avg(({off}) ** 2)) AS rmse
+        FROM t JOIN ({least_squares_sql(train, TRIO, 'y', 'g', alpha if 'Ridge' in name else 0.0)}) c ON c.g = t.fold GROUP BY fold""" for name, alpha in _LEAST_SQUARES.items()])
+    return sql_rounded(f"""WITH t AS MATERIALIZED (SELECT * FROM {folds_sql()} f) SELECT model, avg(r2) AS mean_r2, stddev_pop(r2) AS std_r2, min(r2) AS min_r2, max(r2) AS max_r2,
+        avg(mae) AS mean_mae, stddev_pop(mae) AS std_mae, avg(rmse) AS mean_rmse, stddev_pop(rmse) AS std_rmse FROM ({per}) p GROUP BY model""", _MEASURES, ["model"])
+
+
+@register("k2_least_squares", _k2_sql())
+def k2_least_squares(spark, sf_dir):
+    """Linear and ridge regression of the grid on the selected columns."""
+    grid = suite.summarise(_scores(spark, sf_dir, "linear grid", models.LINEAR_GRID, True))
+    return rounded(grid.where(F.col("model").isin(list(_LEAST_SQUARES))).select("model", *_MEASURES))
+
+
 @register("k3_nonlinear_grid")
 def k3_nonlinear_grid(spark, sf_dir):
     """Neighbours and trees of several sizes."""

@@ -186,11 +186,19 @@ def m3_skew_improvement(spark, sf_dir):
     return rounded(chartdata.skew_improvement_summary(imp))
 
 
-@register("m6_quadratic_trend")
+_M6_SQL = """WITH e AS (SELECT epoch_us(ts) / 3.6e9 - 473352.0 AS x, value AS y FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+  s AS (SELECT covar_pop(x, x) AS a, covar_pop(x, x * x) AS b, covar_pop(x * x, x * x) AS d, covar_pop(x, y) AS u, covar_pop(x * x, y) AS v,
+      avg(x) AS mx, avg(x * x) AS mxx, avg(y) AS my FROM e HAVING count(*) > 10),
+  w AS (SELECT *, (u * d - b * v) / (a * d - b * b) AS w1, (a * v - b * u) / (a * d - b * b) AS w2 FROM s)
+  SELECT round(my - w1 * mx - w2 * mxx, 6) AS a, round(w1, 8) AS b, round(w2, 10) AS c FROM w"""
+
+
+@register("m6_quadratic_trend", _M6_SQL)
 def m6_quadratic_trend(spark, sf_dir):
     ev = tb.table(spark, sf_dir, "events").withColumn("t_hours", F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9 - F.lit(473352.0))
     r = chartdata.quadratic_trend(ev, "t_hours", "value")
-    return spark.createDataFrame([(r["a"], r["b"], r["c"])] if r else [], "a double, b double, c double")
+    out = spark.createDataFrame([(r["a"], r["b"], r["c"])] if r else [], "a double, b double, c double")
+    return out.select(F.round("a", 6).alias("a"), F.round("b", 8).alias("b"), F.round("c", 10).alias("c"))
 
 
 @register("m7_series_summary", sql_rounded(

@@ -32,12 +32,6 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.S
     return df.drop(*[c for c in drop if c in df.columns])
 
 
-def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """0-based file position as a key (the sample files carry none); one indexing pass."""
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],)), schema)
-
-
 def training_frame(df: DataFrame, target: str, features: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     """A2: features and target; features default to every numeric column but the target."""
     from ..functions.columns import numeric_columns
@@ -89,6 +83,29 @@ def write_report(df: DataFrame, path: str, order: Sequence = (), fmt: str = "csv
     (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
 
 
+#: Order of the rows of each result table; tables of other names keep the order of their first column.
+RESULT_ORDER = {
+    "quality": ["column"],
+    "skew_kurtosis": ["column"],
+    "outliers": ["column"],
+    "validation": ["-mean_r2", "model"],
+    "history": ["generation"],
+    "importance": ["-importance", "feature_name"],
+    "correlation": ["feature_a", "feature_b"],
+    "comparison": ["-improvement", "model"],
+}
+
+
+def write_results(tables: dict[str, DataFrame], path: str, fmt: str = "csv") -> None:
+    """The result tables of a run, each sorted as ``RESULT_ORDER`` says (``-`` is descending, missing values last).
+
+    Their rows are columns, models or generations, so each is one file.
+    """
+    for name, df in tables.items():
+        order = [F.desc_nulls_last(q(c[1:])) if c.startswith("-") else F.asc_nulls_last(q(c)) for c in RESULT_ORDER.get(name, df.columns[:1])]
+        write_report(df, f"{path}/{name}", order, fmt)
+
+
 def write_json_report(spark: SparkSession, path: str, sections: dict, metadata: dict | None = None) -> None:
     """One JSON line per section (NaN becomes null) plus a metadata line."""
     def clean_value(v):
@@ -108,16 +125,44 @@ def read_json_report(spark: SparkSession, path: str) -> dict:
     return {r["section"]: json.loads(r["body"]) for r in spark.read.json(path).collect()}
 
 
-def save_model(model: PipelineModel, path: str, metrics: DataFrame | None = None, features: Sequence[str] = ()) -> None:
-    """The fitted chain plus its metrics and feature list next to it."""
+def save_model(model: PipelineModel, path: str, metrics: DataFrame | None = None, features: Sequence[str] = (), params: dict | None = None,
+               importances: DataFrame | None = None, test: DataFrame | None = None) -> None:
+    """The fitted chain with its metrics, feature list, hyper-parameters, importances and test table next to it.
+
+    ``parts`` names what was written and is written last: a part that is not given
+    is not loaded again, also where an older model at this path had one.
+    """
+    spark = SparkSession.active()
     model.write().overwrite().save(f"{path}/model")
-    spark = SparkSession.getActiveSession()
     if metrics is not None:
         metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
-    if features and spark is not None:
+    if features:
         feature_list_frame(spark, list(features)).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/features")
+    if params is not None:
+        rows = [(k, json.dumps(v)) for k, v in sorted(params.items())]
+        spark.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/params")
+    if importances is not None:
+        write_report(importances, f"{path}/importances", [F.desc_nulls_last("importance"), F.asc("feature_name")], "parquet")
+    if test is not None:
+        test.write.mode("overwrite").parquet(f"{path}/test")
+    given = {"metrics": metrics is not None, "features": bool(features), "params": params is not None, "importances": importances is not None, "test": test is not None}
+    spark.createDataFrame([(k,) for k, there in given.items() if there], "part string").coalesce(1).write.mode("overwrite").json(f"{path}/parts")
 
 
 def load_model(path: str) -> PipelineModel:
     """A10: the saved chain (scaler stages included, so they cannot go missing)."""
     return PipelineModel.load(f"{path}/model")
+
+
+def load_saved(path: str) -> dict:
+    """A10: model, metrics, features, params, importances and test table as saved; a part that was not saved is None (features: [])."""
+    spark = SparkSession.active()
+    parts = {r["part"] for r in spark.read.schema("part string").json(f"{path}/parts").collect()}
+    return {
+        "model": load_model(path),
+        "metrics": spark.read.json(f"{path}/metrics") if "metrics" in parts else None,
+        "features": read_feature_list(spark, f"{path}/features", [], "")[0] if "features" in parts else [],
+        "params": {r["name"]: json.loads(r["value"]) for r in spark.read.schema("name string, value string").json(f"{path}/params").collect()} if "params" in parts else None,
+        "importances": spark.read.parquet(f"{path}/importances") if "importances" in parts else None,
+        "test": spark.read.parquet(f"{path}/test") if "test" in parts else None,
+    }
