@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands
-from ..functions.columns import clean, melt, name_of
+from ..functions.columns import clean, melt, name_of, q
+from ..functions.stats import r2_expr
 from .ordering import row_numbers
 from .quantiles import quantiles
 
@@ -30,6 +31,20 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 20) -> DataFrame:
                     (F.col("lo") + (F.col("bin") + 1) * (F.col("hi") - F.col("lo")) / bins).alias("bin_end"), F.col("count"))
 
 
+def density(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
+    """M1 as a density: the counts of the bins over rows and bin width (NULL for a constant column), so the bars' area is 1."""
+    h = histogram(df, cols, bins)
+    rows = h.groupBy("column").agg(F.sum("count").alias("_n"))
+    share = F.try_divide(F.col("count"), F.col("_n") * (F.col("bin_end") - F.col("bin_start")))
+    return h.join(F.broadcast(rows), "column").select(*h.columns, share.alias("density"))  # a row for each column
+
+
+def rank_histogram(ranks: DataFrame, rank: str = "rank", most: int = 10) -> DataFrame:
+    """M1 of ranks: min(``most``, n) bins for n ranks."""
+    n = ranks.where(F.col(rank).isNotNull()).count()
+    return histogram(ranks, [rank], max(1, min(most, n)))
+
+
 def box_summary(df: DataFrame, cols: Sequence[str], multiplier: float = 1.5, exact: bool = True) -> DataFrame:
     """M2: quartiles, whiskers (furthest values inside the 1.5 IQR fences), outlier count."""
     cols = list(cols)
@@ -48,6 +63,30 @@ def box_summary(df: DataFrame, cols: Sequence[str], multiplier: float = 1.5, exa
     ).select(name_of(cols).alias("column"), q1.alias("q1"), med.alias("median"), q3.alias("q3"), "whisker_low", "whisker_high", "outliers")
 
 
+def box_points(df: DataFrame, key: str, cols: Sequence[str], multiplier: float = 1.5, exact: bool = True) -> DataFrame:
+    """M2: key, column and value of every point beyond the 1.5 IQR fences; rows stay where they are, nothing is shuffled."""
+    cols = list(cols)
+    qs = quantiles(df, cols, [0.25, 0.75], exact=exact)
+    points = []
+    for c in cols:
+        if qs[c][0] is not None:
+            q1, q3 = qs[c]
+            v = clean(c)
+            beyond = (v < q1 - multiplier * (q3 - q1)) | (v > q3 + multiplier * (q3 - q1))
+            points.append(F.when(beyond, F.struct(F.lit(c).alias("column"), v.alias("value"))))
+    if not points:
+        points = [F.lit(None).cast("struct<column: string, value: double>")]
+    found = df.select(q(key), F.explode(F.filter(F.array(*points), lambda e: e.isNotNull())).alias("_p"))
+    return found.select(q(key), F.col("_p.column").alias("column"), F.col("_p.value").alias("value"))
+
+
+def box_before_after(before: DataFrame, after: DataFrame, skewness: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """M2: box summaries before and after clipping, with the clip class of the column's skewness before it."""
+    classes = skewness.select(F.col("feature").alias("column"), bands.clip_class(F.col("skewness")).alias("skew_class"))
+    both = box_summary(before, cols).withColumn("stage", F.lit("before")).unionByName(box_summary(after, cols).withColumn("stage", F.lit("after")))
+    return both.join(F.broadcast(classes), "column")  # a row for each column
+
+
 def skew_improvement(before: DataFrame, after: DataFrame) -> DataFrame:
     """M3: per feature abs(skew before) - abs(skew after), with the clip class of the before value."""
     b = before.select("feature", F.col("skewness").alias("skew_before"))
@@ -138,6 +177,14 @@ def model_ranking(results: DataFrame, r2: str = "mean_r2", std: str = "std_r2")
     return ok.select("model", r2, std, "min_r2", "max_r2", (F.col("max_r2") - F.col("min_r2")).alias("spread")).orderBy(F.desc(r2))
 
 
+def models_in_order(results: DataFrame, order: Sequence[str], r2: str = "mean_r2", std: str = "std_r2") -> DataFrame:
+    """M11, second view: score and std of each model at its place in the run; models without a score are left out and take no place."""
+    ran = results.sparkSession.createDataFrame([(m, i) for i, m in enumerate(order)], "model string, _at int")
+    ok = results.filter(F.col(r2).isNotNull() & ~F.isnan(r2)).join(F.broadcast(ran), "model")  # a row for each model
+    placed = row_numbers(ok.select("model", r2, std, "_at"), ["_at"], name="position")
+    return placed.select((F.col("position") + 1).cast("int").alias("position"), "model", r2, std)
+
+
 def inverse_normal(p: F.Column) -> F.Column:
     """Standard normal quantile, Acklam's rational approximation (|error| < 1.2e-9)."""
     a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
@@ -216,6 +263,12 @@ def test_level(r2: F.Column) -> F.Column:
     return bands.level(r2, bands.TEST_LEVELS, bands.LEVEL_NAMES)
 
 
+def error_means(errors: DataFrame, cols: Sequence[str] = ("absolute_error", "relative_error_pct")) -> DataFrame:
+    """Rows and mean of each error distribution (rows without the error are left out)."""
+    cols = list(cols)
+    return melt(errors, cols).groupBy("k").agg(F.count("v").alias("n"), F.avg("v").alias("mean")).select(name_of(cols).alias("column"), "n", "mean")
+
+
 def axis_range(df: DataFrame, x: str, y: str, pad: float = 0.05) -> DataFrame:
     """Shared axis range over truth and prediction, padded."""
     lo = F.least(F.min(clean(x)), F.min(clean(y)))
@@ -223,3 +276,9 @@ def axis_range(df: DataFrame, x: str, y: str, pad: float = 0.05) -> DataFrame:
     return df.agg(lo.alias("lo"), hi.alias("hi")).select((F.col("lo") - pad * (F.col("hi") - F.col("lo"))).alias("axis_min"),
                                                         (F.col("hi") + pad * (F.col("hi") - F.col("lo"))).alias("axis_max"))
 
+
+def prediction_fit(df: DataFrame, y: str, pred: str) -> DataFrame:
+    """R2, rows and the unpadded shared range of truth and prediction in one aggregate."""
+    t, p = clean(y), clean(pred)
+    return df.agg(r2_expr(F.when(p.isNotNull(), t), F.when(t.isNotNull(), p)).alias("r2"), F.count(t - p).alias("n"),
+                  F.least(F.min(t), F.min(p)).alias("axis_min"), F.greatest(F.max(t), F.max(p)).alias("axis_max"))

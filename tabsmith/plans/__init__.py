@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["profiling", "preparation", "modelling", "scoring", "storage", "flagship"]
+_MODULES = ["profiling", "preparation", "modelling", "scoring", "storage", "charts", "flagship"]
 
 
 def load_all() -> None:

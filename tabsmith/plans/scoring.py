@@ -140,14 +140,14 @@ def m1_histogram(spark, sf_dir):
     return rounded(chartdata.histogram(tb.table(spark, sf_dir, "lineitem"), LI))
 
 
-def _box_sql(cols) -> str:
+def _box_sql(cols, src: str = "lineitem") -> str:
     parts = []
     for c in cols:
         parts.append(f"""SELECT '{c}' AS "column", q1, med AS median, q3,
           min({c}) FILTER (WHERE {c} >= q1 - 1.5 * (q3 - q1) AND {c} <= q3 + 1.5 * (q3 - q1)) AS whisker_low,
           max({c}) FILTER (WHERE {c} >= q1 - 1.5 * (q3 - q1) AND {c} <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
           count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))::BIGINT AS outliers
-          FROM lineitem, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS med, quantile_cont({c}, 0.75) AS q3 FROM lineitem) b
+          FROM {src} t, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS med, quantile_cont({c}, 0.75) AS q3 FROM {src} u) b
           GROUP BY q1, med, q3""")
     return sql_rounded("\nUNION ALL\n".join(parts), ["q1", "median", "q3", "whisker_low", "whisker_high"], ["column", "outliers"])
 
