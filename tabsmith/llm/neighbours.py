@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .catalog import query, table
-from .shared import quoted, stored
+from .shared import quoted, scratch, stored
 
 K = 10
 RELAX = 3.0
@@ -341,35 +341,36 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     v = quoted(vector_col).cast("array<double>")
     usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     raw = vectors.select(quoted(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(usable, F.lit(False))).withColumn("dim", F.size("v"))
-    tops, most = _top_trees(raw)
-    rows = raw.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    placed = stored(rows.mapInArrow(_assign(tops), "id long, v array<double>, dim int, shard int"))
-    pieces = stored(placed.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("pieces")))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cut = placed.join(pieces, ["dim", "shard"]).withColumn("piece", dealt("id", "pieces"))
-    index = stored(cut.groupBy("dim", "shard", "piece").applyInArrow(_build(tops), "dim int, shard int, piece int, kind byte, place int, id long, v array<double>"))
-    spread = index.where(F.col("kind") == _SPREAD).groupBy("dim", "shard", "place").agg(F.min(F.col("v")[0]).alias("low"), F.max(F.col("v")[1]).alias("high"))
-    for (dim, shard), part in spread.orderBy("place").toPandas().groupby(["dim", "shard"]):  # at most SHARDS paths
-        tops[int(dim)].ranges[int(shard)] = part["low"].to_numpy(), part["high"].to_numpy()
-    key = ["dim", "shard", "piece", "block"]
-
-    def searched(visits: DataFrame) -> DataFrame:
-        """The k best of each piece for the queries (query_id, v, dim, shard, most) that visit its shard."""
-        met = visits.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")).join(pieces, ["dim", "shard"])
-        met = stored(met)
-        seek = visits.join(met, ["dim", "shard"]).withColumn("block", dealt("query_id", "blocks")).withColumn("piece", every("pieces"))
-        store = index.where(F.col("kind") != _SPREAD).join(met.select("dim", "shard", "blocks"), ["dim", "shard"]).withColumn("block", every("blocks"))
-        seek, store = seek.select(*key, "query_id", "v", "most"), store.select(*key, "kind", "place", "id", "v")
-        return store.groupBy(*key).cogroup(seek.groupBy(*key)).applyInArrow(_search_cell(k, relax), "query_id long, vec_id long, score double")
-
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    asked = placed.where(is_query).select(F.col("id").alias("query_id"), "v", "dim", "shard")
-    first = stored(searched(asked.withColumn("most", F.lit(float("inf")))).withColumn("rank", rank).where(F.col("rank") <= k))
-    bound = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("most"))
-    known = asked.join(bound, "query_id", "left").fillna(float("inf"), ["most"])
-    routed = stored(known.mapInArrow(_route(tops, relax), "query_id long, v array<double>, dim int, most double, shards array<int>"))
-    more = searched(routed.select("query_id", "v", "dim", F.explode("shards").alias("shard"), "most"))
+    with scratch(vectors.sparkSession) as hand_on:
+        tops, most = _top_trees(raw)
+        rows = raw.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+        placed = stored(rows.mapInArrow(_assign(tops), "id long, v array<double>, dim int, shard int"))
+        pieces = stored(placed.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("pieces")))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        cut = placed.join(pieces, ["dim", "shard"]).withColumn("piece", dealt("id", "pieces"))
+        index = hand_on(cut.groupBy("dim", "shard", "piece").applyInArrow(_build(tops), "dim int, shard int, piece int, kind byte, place int, id long, v array<double>"))
+        spread = index.where(F.col("kind") == _SPREAD).groupBy("dim", "shard", "place").agg(F.min(F.col("v")[0]).alias("low"), F.max(F.col("v")[1]).alias("high"))
+        for (dim, shard), part in spread.orderBy("place").toPandas().groupby(["dim", "shard"]):  # at most SHARDS paths
+            tops[int(dim)].ranges[int(shard)] = part["low"].to_numpy(), part["high"].to_numpy()
+        key = ["dim", "shard", "piece", "block"]
+
+        def searched(visits: DataFrame) -> DataFrame:
+            """The k best of each piece for the queries (query_id, v, dim, shard, most) that visit its shard."""
+            met = visits.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")).join(pieces, ["dim", "shard"])
+            met = hand_on(met)
+            seek = visits.join(met, ["dim", "shard"]).withColumn("block", dealt("query_id", "blocks")).withColumn("piece", every("pieces"))
+            store = index.where(F.col("kind") != _SPREAD).join(met.select("dim", "shard", "blocks"), ["dim", "shard"]).withColumn("block", every("blocks"))
+            seek, store = seek.select(*key, "query_id", "v", "most"), store.select(*key, "kind", "place", "id", "v")
+            return store.groupBy(*key).cogroup(seek.groupBy(*key)).applyInArrow(_search_cell(k, relax), "query_id long, vec_id long, score double")
+
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        asked = placed.where(is_query).select(F.col("id").alias("query_id"), "v", "dim", "shard")
+        first = hand_on(searched(asked.withColumn("most", F.lit(float("inf")))).withColumn("rank", rank).where(F.col("rank") <= k))
+        bound = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("most"))
+        known = asked.join(bound, "query_id", "left").fillna(float("inf"), ["most"])
+        routed = hand_on(known.mapInArrow(_route(tops, relax), "query_id long, v array<double>, dim int, most double, shards array<int>"))
+        more = searched(routed.select("query_id", "v", "dim", F.explode("shards").alias("shard"), "most"))
     found = first.drop("rank").union(more)
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
