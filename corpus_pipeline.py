@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tabsmith.llm import packing, pii, substring_dedup, toxicity
 from tabsmith.llm.catalog import table
 from tabsmith.llm.jaccard_join import one_of_each
-from tabsmith.llm.shared import stored
+from tabsmith.llm.shared import scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -69,8 +69,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``; the last stage's rows."""
+    """All stages in order over ``documents``; the last stage's rows.
+
+    What a stage stores for itself is deleted once its result is written, and the
+    results of all stages but the one that packing reads once that is written.
+    """
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    with scratch(spark) as last:
+        for _, stage in STAGES[:-1]:
+            with scratch(spark) as hand_on:
+                docs = hand_on(stage(spark, docs, sf_dir))
+        docs = last(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
