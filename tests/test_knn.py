@@ -131,3 +131,76 @@ def test_cells_are_not_all_read_and_no_join_meets_all_pairs(spark):
     low, high, gone = (np.array([f(train[c::40]) for c in range(40)]) for f in (lambda x: x.min(0), lambda x: x.max(0), lambda x: np.zeros(8)))
     least = knn.bounds(test, low, high, gone, "manhattan")
     assert all((least[:, c] <= whole(test, train[c::40], "manhattan").min(1)).all() for c in range(40))
+
+
+def _visited(monkeypatch):
+    """Every table of cells that receivers read, as the search stores it."""
+    from tabsmith.operators import knn
+
+    plain, plans = knn.written, []
+
+    def written(df):
+        out = plain(df)
+        if "visits" in out.columns:
+            plans.append(out)
+        return out
+
+    monkeypatch.setattr(knn, "written", written)
+    return plans
+
+
+def test_receivers_of_one_known_column_read_few_cells(spark, monkeypatch):
+    """Donors have three columns, gaps in them too; receivers know one of them or two, and read cells of just these."""
+    from pyspark.sql import functions as F
+
+    from tabsmith.operators import knn
+
+    monkeypatch.setattr(knn, "PATTERN_PAIRS", 1, raising=False)
+    plans = _visited(monkeypatch)
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(2500, 3)) * [1, 30, 30], 2)
+    x[:120, 1:] = np.nan
+    x[120:200, 2] = np.nan
+    x[200:260, 0] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "key long, a double, b double, c double")
+    got = knn_fill(df, "key", ["a", "b", "c"], k=5, per_bucket=20).orderBy("key").collect()
+    np.testing.assert_allclose(np.array([[r["a"], r["b"], r["c"]] for r in got]), brute_fill(rows, 5), rtol=1e-9)
+    read = sum(p.agg(F.sum(F.size("visits"))).first()[0] or 0 for p in plans)
+    assert read / 260 < 25  # of about 125 cells
+
+
+def test_ties_repeated_keys_and_null_keys(spark, monkeypatch):
+    """Few values that many donors share: the smallest keys answer, a receiver's own key does not."""
+    from tabsmith.operators import knn
+
+    monkeypatch.setattr(knn, "PATTERN_PAIRS", 1, raising=False)
+    monkeypatch.setattr(knn, "PIECE_ROWS", 50)
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 3, size=(900, 2)).astype(float)
+    x[::9, 1] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r], float(v)) for i, (r, v) in enumerate(zip(x, rng.normal(size=900)))]
+    df = spark.createDataFrame(rows, "key long, a double, b double, c double")
+    got = np.array([[r["a"], r["b"], r["c"]] for r in knn_fill(df, "key", ["a", "b", "c"], k=4, per_bucket=30).orderBy("key").collect()])
+    np.testing.assert_allclose(got, brute_fill(rows, 4), rtol=1e-9)
+    donors = spark.createDataFrame([(k, 1.0, float(v)) for v, k in enumerate([7, 7, 7, None, 8, 8, 9, 10, 11, 12, None, 13] * 6)], "key long, a double, y double")
+    seekers = spark.createDataFrame([(7, 1.0, 0.0), (50, 1.0, 0.0)], "key long, a double, y double")
+    whole = {(r["r_key"], r["d_key"]) for r in knn.nearest(seekers, donors, "key", ["a"], ["y"], k=3, fill_only_missing=False).collect()}
+    assert {d for r, d in whole if r == 7} <= {None, 8} and {d for r, d in whole if r == 50} <= {None, 7}
+
+
+def test_screened_distances_of_many_columns(spark):
+    """Products screen the pairs of wide tables; far offsets and near ties keep the exact order."""
+    train, test = _columns(8, 700, 20) * 1e-3 + 1e4, _columns(8, 760, 20)[700:] * 1e-3 + 1e4
+    train[50:100] = train[:50]
+    y = np.random.default_rng(9).normal(size=700)
+    for metric in ("euclidean", "nan_euclidean"):
+        got = knn_average(_frame(spark, test, np.zeros(60), 5000), _frame(spark, train, y), "key", [f"c{i}" for i in range(20)], ["y"], k=5, metric=metric, fill_only_missing=False, per_bucket=40)
+        got = {r["key"]: r["value"] for r in got.collect()}
+        want = _brute(test, train, y, 5, "euclidean_all")
+        assert len(got) == 60 and all(abs(got[5000 + i] - w) < 1e-9 for i, w in enumerate(want))
+    from tabsmith.operators.knn import _screened
+
+    usable = np.ones((60, 700), bool)
+    row, col, _ = _screened(test - 1e4, train - 1e4, usable, np.full(60, np.inf), 5)
+    assert len(row) < 60 * 20 and len(set(zip(row, col))) == len(row)
