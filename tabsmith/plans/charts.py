@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import augment, chartdata, models, moments, outliers, score
+from ..operators.ordering import written
 from ..sources import tables as tb
 from .catalog import register, rounded, sql_rounded
 from .modelling import FEATS, PLANTED_POSITIVE, SHIFT, TRIO, _aug_sql, _k13_sql, _univariate_sql, chosen, planted_folds
@@ -69,7 +70,7 @@ def _boxes_sql() -> str:
 
 @register("m2_box_before_after", _boxes_sql())
 def m2_box_before_after(spark, sf_dir):
-    df = clip_input(spark, sf_dir)
+    df = written(clip_input(spark, sf_dir))  # every fit below reads it again
     clipped = outliers.SkewClipper(inputCols=CLIP_COLS).fit(df).transform(df)
     return rounded(chartdata.box_before_after(df, clipped, moments.skew_kurtosis(df, CLIP_COLS), CLIP_COLS))
 
