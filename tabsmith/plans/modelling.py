@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import augment as aug
@@ -32,10 +35,13 @@ def planted_folds(spark, sf_dir, k: int = 5, shift: float = 0.0):
 _TABLES: dict = {}
 
 
+def _place(spark, sf_dir, name: str) -> tuple:
+    return spark.sparkContext.applicationId, name, tuple(sorted(tb.table(spark, sf_dir, "embeddings").inputFiles()))
+
+
 def once(spark, sf_dir, name: str, make):
     """A table of this application and these input files that several queries read: written by the first of them."""
-    files = tuple(sorted(tb.table(spark, sf_dir, "embeddings").inputFiles()))
-    at = (spark.sparkContext.applicationId, name, files)
+    at = _place(spark, sf_dir, name)
     if at not in _TABLES:
         _TABLES[at] = written(make())
     return _TABLES[at]
@@ -337,16 +343,19 @@ def _scores(spark, sf_dir, name: str, specs, selected: bool, augment_factor: int
     return once(spark, sf_dir, f"scores {name}", make)
 
 
-def _training(spark, sf_dir):
-    return _scores(spark, sf_dir, "training", models.SUITE, True)
+def _training(spark, sf_dir, *kinds: str):
+    """Fold scores of the training suite, or of its models of some kinds; kinds that no query has fitted yet are fitted side by side."""
+    kinds = kinds or tuple(dict.fromkeys(s.kind for s in models.SUITE))
+    new = [k for k in kinds if _place(spark, sf_dir, f"scores training {k}") not in _TABLES]
+    if new:
+        made = _scores(spark, sf_dir, f"training of {', '.join(new)}", [s for s in models.SUITE if s.kind in new], True)
+        for k in new:
+            _TABLES[_place(spark, sf_dir, f"scores training {k}")] = made.where(F.col("model").isin([s.name for s in models.SUITE if s.kind == k]))
+    return functools.reduce(DataFrame.unionByName, [_TABLES[_place(spark, sf_dir, f"scores training {k}")] for k in kinds])
 
 
 def _of_kind(kind: str):
-    def run(spark, sf_dir):
-        names = [s.name for s in models.SUITE if s.kind == kind]
-        return suite.summarise(_training(spark, sf_dir).where(F.col("model").isin(names)))
-
-    return run
+    return lambda spark, sf_dir: suite.summarise(_training(spark, sf_dir, kind))
 
 
 register("k2_linear_models")(_of_kind("linear"))
