@@ -17,20 +17,22 @@ from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean, q
 from ..functions.randomness import normal, uniform
 from . import linear
 from .augment import FACTOR, FEATURE_GROWTH, FEATURE_INTENSITY, TARGET_GROWTH, TARGET_INTENSITY
-from .knn import knn_average
+from .knn import nearest
 from .models import ModelSpec, _assemble, _ml_estimator, regression_metrics
 from .ordering import written
 from .sums import gram
 
 #: Fits that run at a time.
 WIDTH = 8
+#: Rows of a piece of the stored table: an input of few files is dealt anew from two pieces on.
+PIECE_ROWS = 32768
 
 _SCORES = "model string, fold int, r2 double, mae double, rmse double, error string"
 _SUMMARY = ("mean_r2", "std_r2", "min_r2", "max_r2", "mean_mae", "std_mae", "mean_rmse", "std_rmse")
@@ -96,40 +98,60 @@ def _linear_scores(specs: Sequence[ModelSpec], table: DataFrame, trains: DataFra
     return [(r["model"], r["fold"], r["r2"], r["mae"], r["rmse"], None) for r in per.collect()]
 
 
-def _fold_scores(spec: ModelSpec, train: DataFrame, test: DataFrame, key: str, features: Sequence[str], target: str, seed: int):
+def _neighbour_scores(specs: Sequence[ModelSpec], train: DataFrame, test: DataFrame, key: str, features: Sequence[str], target: str) -> list:
+    """Metrics of neighbour models with one metric on one fold: one search for the largest k, of which each model takes its own."""
+    train = train.withColumn("_donor", F.concat_ws("#", q(key).cast("string"), F.col("aug_round").cast("string"))) if "aug_round" in train.columns else train.withColumn("_donor", q(key).cast("string"))
+    k = [s.params.get("k", 5) for s in specs]
+    near = nearest(test.withColumn("_donor", q(key).cast("string")), train, "_donor", features, [target], k=max(k),
+                   metric=specs[0].params.get("metric", "euclidean"), fill_only_missing=False, same_key=True)
+    place = F.row_number().over(Window.partitionBy("r_key").orderBy("dist", "d_key"))
+    got = near.withColumn("_place", place).groupBy("r_key").agg(*[F.avg(F.when(F.col("_place") <= n, F.col("value"))).alias(f"_pred_{i}") for i, n in enumerate(k)])
+    preds = test.select(q(key).cast("string").alias("r_key"), q(target).alias("y")).join(got, "r_key", "left")
+    each = F.explode(F.array(*[F.struct(F.lit(s.name).alias("model"), F.col(f"_pred_{i}").alias("pred")) for i, s in enumerate(specs)]))
+    rows = {r["model"]: r for r in regression_metrics(preds.select("y", each.alias("_m")).select("y", "_m.*"), by=["model"]).collect()}  # a row for each model
+    return [rows.get(s.name, dict.fromkeys(("r2", "mae", "rmse"))) for s in specs]
+
+
+def _fold_scores(spec: ModelSpec, train: DataFrame, test: DataFrame, features: Sequence[str], target: str, seed: int):
     """Metrics of one model on one fold."""
-    if spec.kind == "knn":
-        train = train.withColumn("_donor", F.concat_ws("#", q(key).cast("string"), F.col("aug_round").cast("string"))) if "aug_round" in train.columns else train.withColumn("_donor", q(key).cast("string"))
-        got = knn_average(test.withColumn("_donor", q(key).cast("string")), train, "_donor", features, [target], k=spec.params.get("k", 5),
-                          metric=spec.params.get("metric", "euclidean"), fill_only_missing=False, same_key=True)
-        preds = test.select(q(key).cast("string").alias("_donor"), q(target).alias("y")).join(got.select("_donor", F.col("value").alias("pred")), "_donor", "left")
-    else:
-        model = _ml_estimator(spec, seed).fit(_assemble(train, features, target))
-        preds = model.transform(_assemble(test, features, target)).select(F.col("_y").alias("y"), "pred")
+    model = _ml_estimator(spec, seed).fit(_assemble(train, features, target))
+    preds = model.transform(_assemble(test, features, target)).select(F.col("_y").alias("y"), "pred")
     return regression_metrics(preds).first()
 
 
+def _dealt(table: DataFrame, key: str) -> DataFrame:
+    """A stored table in pieces of about ``PIECE_ROWS`` rows, if it has fewer."""
+    pieces = table.count() // PIECE_ROWS
+    return written(table.repartition(pieces, q(key))) if pieces > table.rdd.getNumPartitions() else table
+
+
 def fold_scores(specs: Sequence[ModelSpec], df: DataFrame, key: str, features: Sequence[str], target: str, fold: str = "fold",
                 augment_factor: int = 0, seed: int = 42, width: int = WIDTH) -> DataFrame:
     """model, fold, r2, mae, rmse, error: a row for each model and fold; a model that fails in a fold has its error there."""
     features = list(features)
     spark = df.sparkSession
-    table = written(df.select(q(key), F.col(fold).cast("int").alias("fold"), *[clean(c).alias(c) for c in [*features, target]]))
+    table = _dealt(written(df.select(q(key), F.col(fold).cast("int").alias("fold"), *[clean(c).alias(c) for c in [*features, target]])), key)
     folds = [r[0] for r in table.select("fold").distinct().orderBy("fold").collect()]
     trains = written(augment_folds(table, key, features, target, "fold", augment_factor, seed)) if augment_factor else None
 
-    def one(spec: ModelSpec, f: int):
+    def one(own: Sequence[ModelSpec], f: int):
         def run() -> list[tuple]:
             train = table.where(F.col("fold") != f) if trains is None else trains.where(F.col("train_fold") == f)
+            test = table.where(F.col("fold") == f)
             try:
-                r = _fold_scores(spec, train, table.where(F.col("fold") == f), key, features, target, seed)
-                return [(spec.name, f, r["r2"], r["mae"], r["rmse"], None)]
+                found = _neighbour_scores(own, train, test, key, features, target) if own[0].kind == "knn" else [_fold_scores(own[0], train, test, features, target, seed)]
+                return [(s.name, f, r["r2"], r["mae"], r["rmse"], None) for s, r in zip(own, found)]
             except Exception as e:  # noqa: BLE001 - a model that fails is a row of the result, as the comparison must show it
-                return [(spec.name, f, None, None, None, f"{type(e).__name__}: {e}"[:500])]
+                return [(s.name, f, None, None, None, f"{type(e).__name__}: {e}"[:500]) for s in own]
 
         return run
 
-    slow = [one(s, f) for s in sorted(specs, key=lambda s: s.kind != "gbt") if s.kind != "linear" for f in folds]
+    # boosting first, as it takes longest; neighbour models with one metric share a search
+    fits: dict = {}
+    for i, s in enumerate(sorted(specs, key=lambda s: s.kind != "gbt")):
+        if s.kind != "linear":
+            fits.setdefault(s.params.get("metric", "euclidean") if s.kind == "knn" else i, []).append(s)
+    slow = [one(own, f) for own in fits.values() for f in folds]
     straight = [s for s in specs if s.kind == "linear"]
     tasks = [*slow, *([lambda: _linear_scores(straight, table, trains, features, target)] if straight else [])]
     rows = [row for part in run_bounded(spark, tasks, width) for row in part]
