@@ -59,6 +59,8 @@ BLOCK_ROWS = 8192
 #: Bounds are lowered by this share, far above the rounding error of a distance.
 SLACK = 1e-12
 _CHUNK = 1 << 20
+#: Bounds worked out at a time: what fits a core's cache.
+_BOUNDS = 1 << 16
 #: Products screen the pairs of tables wider than this; the distances of what is left are summed as ever.
 _SCREEN_WIDTH = 8
 
@@ -237,6 +239,21 @@ def bounds(a: np.ndarray, low: np.ndarray, high: np.ndarray, gone: np.ndarray, m
     """Least possible distance of each row of a to any donor of each cell; ``size``: donors of the cells."""
     total = a.shape[1] if total is None else total
     out = np.zeros((len(a), len(low)))
+    whole = metric != "manhattan" and not gone.any() and np.isfinite(a).all() and np.isfinite(low).all() and np.isfinite(high).all()
+    if whole:  # every weight is the same
+        gap, above = np.empty_like(out), np.empty_like(out)
+        for c in range(a.shape[1]):
+            np.subtract(low[None, :, c], a[:, c, None], out=gap)
+            np.subtract(a[:, c, None], high[None, :, c], out=above)
+            np.maximum(gap, above, out=gap)
+            np.maximum(gap, 0.0, out=gap)
+            gap *= gap
+            out += gap
+        if metric == "nan_euclidean":
+            out *= total / max(a.shape[1], 1)
+        np.sqrt(out, out=out)
+        out *= 1 - SLACK
+        return out
     for c in range(a.shape[1]):
         gap = np.maximum(np.maximum(low[None, :, c] - a[:, c, None], a[:, c, None] - high[None, :, c]), 0.0)
         np.copyto(gap, 0.0, where=np.isnan(gap))
@@ -281,7 +298,7 @@ def _plan(cells: tuple, width: int, targets: int, metric: str, budget: int, tota
             need, kth = matrix(batch.column("need"), targets) > 0, matrix(batch.column("kth"), targets)
             limit = np.where(need, kth, -np.inf).max(1)
             done = np.asarray(batch.column("done")).copy()
-            step, visits = max(1, _CHUNK // len(code)), []
+            step, visits = max(1, _BOUNDS // len(code)), []
             for i in range(0, len(x), step):
                 visits += visited(x[i : i + step], limit[i : i + step], done[i : i + step])
             ends = np.concatenate(([0], np.cumsum([len(v) for v in visits]))).astype(np.int32)
@@ -294,16 +311,20 @@ def _plan(cells: tuple, width: int, targets: int, metric: str, budget: int, tota
 def _screened(a: np.ndarray, b: np.ndarray, usable: np.ndarray, most: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, columns and exact squared distances of all pairs that can be among a row's k nearest within ``most`` (squared)."""
     own, other = (a * a).sum(1), (b * b).sum(1)
-    near = own[:, None] + other[None] - 2 * (a @ b.T)
+    near = a @ (-2.0 * b).T
+    near += other  # less the square of the row itself
     # far above the rounding error of the sum and of the products
     slack = 4 * (a.shape[1] + 8) * np.finfo(float).eps * (own + other.max())
-    near[~usable] = np.inf
-    bar = most + slack
+    if not usable.all():
+        np.copyto(near, np.inf, where=~usable)
+    bar = most + slack - own
     found = near <= bar[:, None]
-    if len(b) > k and found.sum() > 8 * k * len(a):
+    if len(b) > k and np.count_nonzero(found) > 8 * k * len(a):
         bar = np.minimum(bar, np.partition(near, k - 1, axis=1)[:, k - 1] + 2 * slack)
         found = near <= bar[:, None]
-    row, col = np.nonzero(found & usable)
+    row, col = np.divmod(np.flatnonzero(found), len(b))
+    fits = usable[row, col]
+    row, col = row[fits], col[fits]
     square = np.zeros(len(row))
     for c in range(a.shape[1]):
         gap = a[row, c] - b[col, c]
