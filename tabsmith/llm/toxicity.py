@@ -7,7 +7,7 @@ and the sentence scores then locate the offending sentences.
 
 Fitting uses at most ``SAMPLE_ROWS`` labelled rows, the first in the order of a
 hash of the id, each with a text of at most ``SAMPLE_TEXT_BYTES``; these two
-parameters bound what reaches the driver.  Scoring reads every whole text in one
+parameters bound the one task that fits; the driver gets the weights.  Scoring reads every whole text in one
 pass without a shuffle, with a model of at most ``FEATURES`` weights.
 
 Edge rows: a null, empty or wordless text has no sentence and the score 0.
@@ -143,8 +143,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("id"), "id", "y").limit(SAMPLE_ROWS)
     )
     texts = docs.select(key.cast("long").alias("id"), quoted(text_col).alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-    rows = texts.join(F.broadcast(picked), "id").orderBy("id", "y", "text").limit(SAMPLE_ROWS).select("text", "y").collect()
-    return fit([r["text"] for r in rows], [int(r["y"] > 0) for r in rows])
+    sample = texts.join(F.broadcast(picked), "id").orderBy("id", "y", "text").limit(SAMPLE_ROWS).select("text", (F.col("y") > 0).cast("int").alias("y"))
+    bound_batches(sample)
+    found = sample.coalesce(1).mapInArrow(_fitted, "bias double, features binary, weights binary").first()  # the sample is one task; the texts don't pass the driver
+    return Model(found["bias"], np.frombuffer(found["features"], np.uint64), np.frombuffer(found["weights"])) if found else fit([], [])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the sample as one row."""
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column("text").to_pylist()
+        labels += batch.column("y").to_pylist()
+    model = fit(texts, labels)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([model.bias]), pa.array([model.features.astype(np.uint64).tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary())],
+        names=["bias", "features", "weights"],
+    )
 
 
 def _score(model: Model):
