@@ -100,7 +100,8 @@ def _ml_estimator(spec: ModelSpec, seed: int = 42):
     p = dict(spec.params)
     common = dict(featuresCol="_features", labelCol="_y", predictionCol="pred")
     if spec.kind == "rf":
-        return RandomForestRegressor(seed=seed, **common, **p)
+        # each row's node in each tree is kept from level to level: the same trees without a walk from the roots
+        return RandomForestRegressor(seed=seed, cacheNodeIds=True, **common, **p)
     if spec.kind == "gbt":
         return GBTRegressor(seed=seed, **common, **p)
     if spec.kind == "dt":

@@ -33,6 +33,8 @@ from .sums import gram
 WIDTH = 8
 #: Rows of a piece of the stored table: an input of few files is dealt anew from two pieces on.
 PIECE_ROWS = 32768
+#: Values of the features in a piece of the training rows of a tree fit, about; smaller pieces are read together.
+TREE_CELLS = 1 << 17
 
 _SCORES = "model string, fold int, r2 double, mae double, rmse double, error string"
 _SUMMARY = ("mean_r2", "std_r2", "min_r2", "max_r2", "mean_mae", "std_mae", "mean_rmse", "std_rmse")
@@ -125,6 +127,22 @@ def _dealt(table: DataFrame, key: str) -> DataFrame:
     return written(table.repartition(pieces, q(key))) if pieces > table.rdd.getNumPartitions() else table
 
 
+def _merged(table: DataFrame, features: Sequence[str], fits: int = 1) -> DataFrame:
+    """A stored table that ``fits`` fits share, with its small pieces read together.
+
+    Boosting runs a job for each level of each tree, so tasks of a few thousand rows would mostly start and end.
+    """
+    pieces = table.rdd.getNumPartitions()
+    group = pieces // max(1, table.count() * len(features) // (TREE_CELLS * fits))
+    return table.coalesce(-(-pieces // group)) if group > 1 else table
+
+
+def _work(spec: ModelSpec) -> tuple:
+    """Sort key: boosting first, as its trees follow one another, and of each kind the fits of most trees and levels."""
+    p = spec.params
+    return spec.kind != "gbt", -p.get("maxIter", p.get("numTrees", 1)) * p.get("maxDepth", 5)
+
+
 def fold_scores(specs: Sequence[ModelSpec], df: DataFrame, key: str, features: Sequence[str], target: str, fold: str = "fold",
                 augment_factor: int = 0, seed: int = 42, width: int = WIDTH) -> DataFrame:
     """model, fold, r2, mae, rmse, error: a row for each model and fold; a model that fails in a fold has its error there."""
@@ -133,11 +151,14 @@ def fold_scores(specs: Sequence[ModelSpec], df: DataFrame, key: str, features: S
     table = _dealt(written(df.select(q(key), F.col(fold).cast("int").alias("fold"), *[clean(c).alias(c) for c in [*features, target]])), key)
     folds = [r[0] for r in table.select("fold").distinct().orderBy("fold").collect()]
     trains = written(augment_folds(table, key, features, target, "fold", augment_factor, seed)) if augment_factor else None
+    if any(s.kind not in ("linear", "knn") for s in specs):
+        tree_rows, tree_trains = _merged(table, features), None if trains is None else _merged(trains, features, len(folds))
 
     def one(own: Sequence[ModelSpec], f: int):
         def run() -> list[tuple]:
-            train = table.where(F.col("fold") != f) if trains is None else trains.where(F.col("train_fold") == f)
-            test = table.where(F.col("fold") == f)
+            rows, noisy = (table, trains) if own[0].kind == "knn" else (tree_rows, tree_trains)
+            train = rows.where(F.col("fold") != f) if noisy is None else noisy.where(F.col("train_fold") == f)
+            test = rows.where(F.col("fold") == f)
             try:
                 found = _neighbour_scores(own, train, test, key, features, target) if own[0].kind == "knn" else [_fold_scores(own[0], train, test, features, target, seed)]
                 return [(s.name, f, r["r2"], r["mae"], r["rmse"], None) for s, r in zip(own, found)]
@@ -146,9 +167,9 @@ def fold_scores(specs: Sequence[ModelSpec], df: DataFrame, key: str, features: S
 
         return run
 
-    # boosting first, as it takes longest; neighbour models with one metric share a search
+    # neighbour models with one metric share a search
     fits: dict = {}
-    for i, s in enumerate(sorted(specs, key=lambda s: s.kind != "gbt")):
+    for i, s in enumerate(sorted(specs, key=_work)):
         if s.kind != "linear":
             fits.setdefault(s.params.get("metric", "euclidean") if s.kind == "knn" else i, []).append(s)
     slow = [one(own, f) for own in fits.values() for f in folds]

@@ -123,3 +123,33 @@ def test_sampled_texts_do_not_pass_the_driver(spark, monkeypatch):
     got = {r["row"]["doc_id"] % 3 == 0: r["score"] for r in toxicity.score(docs, model).collect()}
     assert got[True] >= 0.3 > got[False]
     assert len(toxicity.train(docs, labels.where("toxic > 1")).features) == 0
+
+
+def test_tree_fits_read_small_pieces_together(spark, monkeypatch):
+    # k4_ensemble_grid: every job of a fit had a task for each small piece of the stored table
+    cols, table = _folds(spark)
+    table = table.select("key", "fold", "y", *cols).repartition(6)
+    assert table.rdd.getNumPartitions() == 6
+    seen = []
+    monkeypatch.setattr(suite, "_fold_scores", lambda spec, train, test, *a: seen.append((train.rdd.getNumPartitions(), train.count() + test.count())) or {"r2": 1.0, "mae": 0.0, "rmse": 0.0})
+    monkeypatch.setattr(suite, "written", lambda df: table)
+    suite.fold_scores(models.ENSEMBLE_GRID, table, "key", cols, "y").collect()
+    assert seen == [(1, 300)] * 20
+    monkeypatch.setattr(suite, "TREE_CELLS", 300)  # 900 values: three pieces
+    some = suite._merged(table, cols)
+    assert some.rdd.getNumPartitions() == 3 and sorted(map(tuple, some.collect())) == sorted(map(tuple, table.collect()))
+    monkeypatch.setattr(suite, "TREE_CELLS", 100)
+    assert suite._merged(table, cols) is table and suite._merged(table, cols, fits=3).rdd.getNumPartitions() == 3
+
+
+def test_the_longest_fits_begin_first():
+    assert [s.name for s in sorted(models.ENSEMBLE_GRID, key=suite._work)] == ["GB_Aggressive", "GB_Conservative", "RF_Deep", "RF_Wide"]
+
+
+def test_forests_keep_the_nodes_of_rows_and_grow_the_same_trees(spark):
+    cols, table = _folds(spark)
+    rows = models._assemble(table.coalesce(1), cols, "y").cache()
+    forest = models._ml_estimator(models.ModelSpec("rf", "rf", dict(numTrees=12, maxDepth=10)))
+    assert forest.getCacheNodeIds()
+    assert forest.fit(rows).toDebugString.split("\n")[1:] == forest.copy({forest.cacheNodeIds: False}).fit(rows).toDebugString.split("\n")[1:]
+    rows.unpersist()
