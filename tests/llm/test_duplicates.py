@@ -4,10 +4,11 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from tabsmith.llm import jaccard_join
 from tabsmith.llm.jaccard_join import jaccard_groups, one_of_each
 from tabsmith.llm.substring_dedup import remove_repeats
 
-from .conftest import DOCS, words
+from .conftest import DOCS, edge_rows, words
 
 
 def _shingles(text):
@@ -182,3 +183,27 @@ def test_exact_words_are_the_hashed_words():
     texts = ["", " a  b\t\x0bc ", "x", None, "\n", "é ß 日 \x1c\x1f z", "long " * 50]
     w = Words(*text_buffers(pa.array(texts)))
     assert [x.encode() for x in w.exact().to_pylist()] == [w.data[a:b].tobytes() for a, b in zip(w.starts, w.ends)]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_not_shuffled_for_a_list_of_lost_rows(spark, edge_docs, monkeypatch):
+    # pipeline: a list above Spark's own broadcast threshold made the texts of all rows go through a shuffle
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = sorted(map(tuple, one_of_each(edge_docs).collect()), key=str)
+        single = spark.createDataFrame([r for r in edge_rows() if r[0] in (1, 2, 7, 8)], DOCS)
+        assert "Exchange hashpartitioning" not in _plan(one_of_each(single)) and one_of_each(single).count() == 2
+        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+        assert sorted(map(tuple, one_of_each(edge_docs).collect()), key=str) == rows
+        assert "Exchange hashpartitioning" in _plan(one_of_each(single))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_index_of_windows_is_done_before_texts_are_joined(edge_docs):
+    # pipeline, repeated_passages: shuffle files of the index and of the texts were on disk together
+    plan = _plan(remove_repeats(edge_docs))
+    assert "FlatMapGroupsInArrow" not in plan and "ShuffledHashJoin" in plan
