@@ -9,7 +9,7 @@ phrase, as no positions are kept.  Windows that straddle the border of two facto
 have an answer of their own, so a factor border never hides a repeat.  Every factor is at least ``window`` words long and becomes a duplicate
 span; the words under the spans are removed.
 
-Plan (no text is shuffled before the last join, and the index is gone by then):
+Plan (no text is shuffled before the last join):
 
 1. A slice of rows is tokenised; equal windows within the slice keep only the
    occurrences in the slice's smallest document, the others are repeats already.
@@ -17,8 +17,8 @@ Plan (no text is shuffled before the last join, and the index is gone by then):
 2. The rest goes to its block as packed arrays (8 bytes of hash, about one byte
    of position), one row per slice and block.
 3. Each block sorts its hashes and sends the repeats back to their slice.
-4. Each slice turns them into factors per document, which are stored; the shuffle
-   files of the index are deleted.
+4. Each slice turns them into factors per document, which are stored, so
+   that Spark can delete the shuffle files of the index.
 5. Factors join the texts on (id, text hash), and the kept words are written.
 
 A slice is named by a hash of all its ids and text hashes.  Windows are compared by
@@ -244,7 +244,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The factors are found and stored at once.
     """
     bound_batches(docs)
-    with scratch(docs.sparkSession) as hand_on:  # its end deletes the index's shuffle files, several times the factors and about twice the texts
+    with scratch(docs.sparkSession) as hand_on:  # after it nothing needs the index's shuffle files, which are about twice the texts
         found = hand_on(factors(docs, id_col, text_col, window))
     others = [quoted(c) for c in docs.columns if c.lower() != text_col.lower()]
     src = docs.select(F.struct(*others).alias("row"), quoted(id_col).cast("long").alias("id"), quoted(text_col).alias("text")).withColumn("fp", F.xxhash64("text"))
